@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,10 +36,17 @@ def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df
 
 
-def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in on], F.lit(True)
+def lookup(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join in which a null key matches a null key; the left keys are kept."""
+    keys = {k: f"_key_{k}" for k in on}
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(k).eqNullSafe(F.col(other)) for k, other in keys.items()],
+        F.lit(True),
     )
+    return left.join(right.withColumnsRenamed(keys), same, how).drop(*keys.values())
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prizelens.operators.joins import null_safe
+from prizelens.operators.joins import lookup
 
 PER_OCTAVE = 64
 SHIFT = 1_000_000
@@ -32,9 +32,7 @@ def value_counts_with_start(df: DataFrame, by: Sequence[str], x: str) -> DataFra
     """One row per (group, value): count, number of smaller values, group size."""
     by = list(by)
     counts, located = _counts_and_buckets(df, by, x)
-    joined = counts.join(
-        located, null_safe(counts, located, by + ["_bucket"]), "inner"
-    ).select(*[counts[c] for c in by + ["_bucket", x, "_n"]], "_below", "_total")
+    joined = lookup(counts, located, [*by, "_bucket"], "inner")
     inside = W.partitionBy(*by, "_bucket").orderBy(x)
     return joined.select(
         *by,
@@ -94,8 +92,7 @@ def exact_quantiles(
     needed = located.where(wanted)
     inside = W.partitionBy(*by, "_bucket").orderBy(x)
     ranked = (
-        counts.join(needed, null_safe(counts, needed, by + ["_bucket"]), "inner")
-        .select(*[counts[c] for c in by + ["_bucket", x, "_n"]], "_below", "_total")
+        lookup(counts, needed, [*by, "_bucket"], "inner")
         .withColumn(
             "_start",
             F.col("_below")

@@ -13,11 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prizelens.functions.text import name_key
-from prizelens.operators.joins import (
-    broadcast_if_small,
-    duplicate_keys,
-    null_safe,
-)
+from prizelens.operators.joins import broadcast_if_small, duplicate_keys, lookup
 from prizelens.operators.quantiles import exact_quantiles
 
 
@@ -114,10 +110,7 @@ def duplicate_within(
         .where("_n > 1")
         .drop("_n")
     )
-    joined = df.join(firsts, null_safe(df, firsts, keys), "left").select(
-        *[df[c] for c in df.columns], "_first"
-    )
-    return joined.withColumn(
+    return lookup(df, firsts, keys).withColumn(
         name, F.coalesce(F.col(pos) > F.col("_first"), F.lit(False))
     ).drop("_first")
 
@@ -127,12 +120,11 @@ def flag_duplicates(
 ) -> DataFrame:
     """Flag all members of a repeated key."""
     keys = list(keys)
-    repeated = duplicate_keys(df, keys)
+    repeated = duplicate_keys(df, keys).withColumnRenamed("n_rows", "_repeats")
     return (
-        df.join(repeated, null_safe(df, repeated, keys), "left")
-        .select(*[df[c] for c in df.columns], "n_rows")
-        .withColumn(name, F.col("n_rows").isNotNull())
-        .drop("n_rows")
+        lookup(df, repeated, keys)
+        .withColumn(name, F.col("_repeats").isNotNull())
+        .drop("_repeats")
     )
 
 
@@ -155,10 +147,7 @@ def iqr_flag(
     """Add ``<metric>_iqr_flag``: strictly outside the fences. Nothing is deleted."""
     by = list(by)
     fences = broadcast_if_small(iqr_fences(df, by, metric, k))
-    joined = df.join(fences, null_safe(df, fences, by), "left").select(
-        *[df[c] for c in df.columns], "lower_fence", "upper_fence"
-    )
-    return joined.withColumn(
+    return lookup(df, fences, by).withColumn(
         f"{metric}_iqr_flag",
         F.coalesce(
             (F.col(metric) < F.col("lower_fence"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prizelens.operators.joins import broadcast_if_small, null_safe, union_all
+from prizelens.operators.joins import broadcast_if_small, lookup, union_all
 from prizelens.operators.quantiles import exact_quantiles
 from prizelens.operators.rules import iqr_fences
 from prizelens.operators.windows import (
@@ -184,9 +184,7 @@ def describe_by(df: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
         F.max("value").alias("max"),
     )
     q = exact_quantiles(long, keys, "value", QUARTILES)
-    return basics.join(q, null_safe(basics, q, keys), "left").select(
-        *[basics[c] for c in basics.columns], *QUARTILES
-    )
+    return lookup(basics, q, keys)
 
 
 def robust_summary(df: DataFrame, by: str, x: str) -> DataFrame:

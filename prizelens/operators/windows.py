@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prizelens.functions.calendar import shift_period
-from prizelens.operators.joins import broadcast_if_small, null_safe
+from prizelens.operators.joins import broadcast_if_small, lookup
 from prizelens.operators.quantiles import value_counts_with_start
 from prizelens.session import ensure_checkpoint_dir
 
@@ -100,10 +100,7 @@ def share_of(df: DataFrame, within: Sequence[str], x: str, name: str) -> DataFra
     """
     within = list(within)
     totals = df.groupBy(*within).agg(F.sum(x).alias("_total"))
-    joined = df.join(totals, null_safe(df, totals, within), "left").select(
-        *[df[c] for c in df.columns], "_total"
-    )
-    return joined.withColumn(
+    return lookup(df, totals, within).withColumn(
         name,
         F.when(F.col("_total") > 0, F.col(x) / F.col("_total") * F.lit(100.0)),
     ).drop("_total")
@@ -139,9 +136,7 @@ def avg_rank(df: DataFrame, by: Sequence[str], x: str, name: str) -> DataFrame:
         x,
         (F.col("n_smaller") + (F.col("n_equal") + 1) / F.lit(2.0)).alias(name),
     )
-    return df.join(ranks, null_safe(df, ranks, by + [x]), "left").select(
-        *[df[c] for c in df.columns], name
-    )
+    return lookup(df, ranks, [*by, x])
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

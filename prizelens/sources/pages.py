@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,27 +16,36 @@ def stem(file: Column) -> Column:
 
 
 def read_pages(
-    spark: SparkSession, folder: str, meta_schema: str = PAGE_META
+    spark: SparkSession,
+    pages: str,
+    meta: str | None = None,
+    meta_schema: str = PAGE_META,
+    key: Callable[[Column], Column] = stem,
+    page_files: str = "*.html",
+    meta_files: str = "*.json",
 ) -> DataFrame:
-    """Pages joined to the metadata file with the same stem; both are required.
+    """Pages joined to the metadata file of the same key (the file stem).
 
-    The HTML text is decoded after the join, so unmatched pages cost no decoding.
+    A page without metadata is left out. ``meta`` defaults to the page folder.
     """
-    pages = (
+    content = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.html")
+        .option("pathGlobFilter", page_files)
         .option("recursiveFileLookup", True)
-        .load(folder)
-        .select(stem(F.col("path")).alias("page_id"), "content")
+        .load(pages)
+        .select(key(F.col("path")).alias("page_id"), "content")
     )
-    meta = (
+    described = (
         spark.read.schema(meta_schema)
         .option("multiLine", True)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", meta_files)
         .option("recursiveFileLookup", True)
-        .json(folder)
-        .withColumn("page_id", stem(F.col("_metadata.file_name")))
+        .json(meta or pages)
+        .withColumn("page_id", key(F.col("_metadata.file_path")))
+    )
+    return content.join(described, "page_id").select(
+        "page_id",
+        F.col("source_url").alias("url"),
+        "crawled_at",
+        F.decode("content", "UTF-8").alias("html"),
     )
-    return pages.join(meta, "page_id").withColumnRenamed("source_url", "url").withColumn(
-        "html", F.decode("content", "UTF-8")
-    ).drop("content")

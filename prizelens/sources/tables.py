@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from prizelens.operators.joins import require_columns
 
 
+WESTERN = "windows-1252"
+
+
+def _western_marks() -> tuple[str, str]:
+    """The characters where windows-1252 differs from ISO-8859-1, and their meaning."""
+    read, meant = "", ""
+    for code in range(0x80, 0xA0):
+        char = bytes([code]).decode("cp1252", errors="ignore")
+        if char:
+            read, meant = read + chr(code), meant + char
+    return read, meant
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -24,15 +37,19 @@ def read_table(
     empty text is null, so a code such as ``NA`` survives. ``encoding`` is chosen
     per path (``windows-1252`` where a file is not UTF-8).
     """
+    western = encoding == WESTERN
     reader = spark.read
     if fmt == "csv":
         reader = reader.options(
-            header=True, enforceSchema=False, encoding=encoding, nullValue="",
-            multiLine=False,
+            header=True, enforceSchema=False, nullValue="", multiLine=False,
+            encoding="ISO-8859-1" if western else encoding,
         )
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.format(fmt).load(path)
+    if western:
+        texts = [f.name for f in df.schema.fields if f.dataType == StringType()]
+        df = df.withColumns({c: F.translate(c, *_western_marks()) for c in texts})
     return require_columns(df, required) if required else df
 
 
@@ -41,10 +58,9 @@ def readable_encoding(spark: SparkSession, path: str) -> str:
 
     The bytes are tested on the executors, line by line.
     """
-    lines = spark.read.option("encoding", "UTF-8").text(path)
-    # A byte that is not UTF-8 decodes to the replacement character.
-    broken = lines.where(F.col("value").contains("�")).limit(1)
-    return "UTF-8" if broken.isEmpty() else "windows-1252"
+    lines = spark.read.text(path)
+    broken = lines.where(~F.is_valid_utf8("value")).limit(1)
+    return "UTF-8" if broken.isEmpty() else WESTERN
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:

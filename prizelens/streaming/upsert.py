@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from prizelens.operators.windows import dedupe_first
 
-VERSION = "batch"
+DELTA, BASE = "delta", "base"
 
 
-def _versions(spark: SparkSession, out_dir: str) -> list[int]:
-    """Finished versions below ``out_dir`` (a handful of folder names)."""
+def _finished(spark: SparkSession, out_dir: str, kind: str) -> list[int]:
+    """Ids of the finished ``kind=<id>`` folders below ``out_dir``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
@@ -20,21 +20,46 @@ def _versions(spark: SparkSession, out_dir: str) -> list[int]:
     for status in fs.listStatus(path):
         name = status.getPath().getName()
         done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith(f"{VERSION}=") and fs.exists(done):
+        if name.startswith(f"{kind}=") and fs.exists(done):
             found.append(int(name.split("=")[1]))
     return sorted(found)
 
 
-def read_snapshot(
-    spark: SparkSession, out_dir: str, below: int | None = None
-) -> DataFrame | None:
-    """The newest finished version (below a batch id when given)."""
-    versions = [
-        v for v in _versions(spark, out_dir) if below is None or v < below
+def _newest(rows: DataFrame, key: str, ts: str) -> DataFrame:
+    """Newest row per key; equal times are settled by the other columns."""
+    tie = [F.col(c).desc_nulls_last() for c in rows.columns if c not in (key, ts)]
+    return dedupe_first(rows, [key], [F.col(ts).desc(), *tie])
+
+
+def _parts(spark: SparkSession, out_dir: str) -> list[str]:
+    """The newest base and the deltas after it."""
+    root = out_dir.rstrip("/")
+    bases = _finished(spark, root, BASE)
+    since = bases[-1] if bases else -1
+    parts = [f"{root}/{BASE}={since}"] if bases else []
+    return parts + [
+        f"{root}/{DELTA}={i}" for i in _finished(spark, root, DELTA) if i > since
     ]
-    if not versions:
-        return None
-    return spark.read.parquet(f"{out_dir.rstrip('/')}/{VERSION}={versions[-1]}")
+
+
+def read_log(spark: SparkSession, out_dir: str, key: str, ts: str) -> DataFrame:
+    """Current state of the log: newest row per key over base and deltas."""
+    return _newest(spark.read.parquet(*_parts(spark, out_dir)), key, ts)
+
+
+def compact(spark: SparkSession, out_dir: str, key: str, ts: str) -> None:
+    """Fold the deltas so far into a new base. Deltas stay in place.
+
+    The base takes the id of the last delta it holds; it counts only once it is
+    written completely, so a lost run leaves the state as it was.
+    """
+    root = out_dir.rstrip("/")
+    deltas = _finished(spark, root, DELTA)
+    bases = _finished(spark, root, BASE)
+    if deltas and (not bases or deltas[-1] > bases[-1]):
+        read_log(spark, root, key, ts).write.mode("overwrite").parquet(
+            f"{root}/{BASE}={deltas[-1]}"
+        )
 
 
 def stream_upsert(
@@ -49,19 +74,15 @@ def stream_upsert(
 ) -> None:
     """Take in the files that arrived since the last run; newest row per key wins.
 
-    Each batch writes a full keyed snapshot under its own id from the newest
-    snapshot below that id, so a replayed batch rewrites the same result.
+    A batch writes only its own newest rows, as the delta of its batch id, so its
+    cost follows the arrivals and not the log; a replayed batch writes the same
+    delta again. ``read_log`` gives the state, ``compact`` shortens it.
     """
-    fields = [c.strip().split(" ")[0] for c in schema.split(",")]
-    tie = [F.col(c).desc_nulls_last() for c in fields if c not in (key, ts)]
+    root = out_dir.rstrip("/")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = read_snapshot(session, out_dir, below=batch_id)
-        rows = batch if before is None else before.unionByName(batch)
-        newest = dedupe_first(rows, [key], [F.col(ts).desc(), *tie])
-        newest.write.mode("overwrite").parquet(
-            f"{out_dir.rstrip('/')}/{VERSION}={batch_id}"
+        _newest(batch, key, ts).write.mode("overwrite").parquet(
+            f"{root}/{DELTA}={batch_id}"
         )
 
     reader = spark.readStream.schema(schema).format("parquet")
