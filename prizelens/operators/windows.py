@@ -186,3 +186,18 @@ def carry_forward(
     """
     at = W.partitionBy(*by).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn(name, F.last(col, ignorenulls=True).over(at))
+
+
+def surge(
+    df: DataFrame, family: str, period: str, x: str, step: str = "month", k: float = 1.5
+) -> DataFrame:
+    """Rows above the family's upper fence that also grew over the previous period."""
+    from prizelens.operators.rules import iqr_fences
+
+    grown = growth(df, family, period, x, step, consecutive=True)
+    fences = broadcast_if_small(iqr_fences(df, [family], x, k))
+    return (
+        lookup(grown, fences, [family])
+        .where((F.col(x) > F.col("upper_fence")) & (F.col(f"{x}_growth_pct") > 0))
+        .drop("lower_fence", "upper_fence")
+    )

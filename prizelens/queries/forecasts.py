@@ -1 +1,148 @@
-"""Placeholder."""
+"""Forecasting (M1-M10). Fitted models have no SQL twin; their frame does."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from prizelens.operators import forecast as fc
+from prizelens.operators.scoring import seasonal_naive
+from prizelens.queries.aggregations import rounded
+from prizelens.queries.registry import query
+from prizelens.queries.shapes import GRID, grid
+
+KEYS = ["family", "quarter", "period_start", "split"]
+SETTING = fc.FOREST_GRID[0]
+TARGETS = {"source": "target_usd", "strict_quality": "strict_target_usd"}
+
+
+def features(spark, sf, target="target_usd"):
+    """The feature table, written once: every fit below reads it several times."""
+    from prizelens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    table = grid(spark, sf).select(*KEYS, *TARGETS.values())
+    return fc.feature_table(table, target).checkpoint()
+
+
+@query(
+    "m01_seasonal_naive",
+    f"""
+    WITH {GRID}
+    SELECT family, quarter, target_usd, lag(target_usd, 4) OVER (PARTITION BY family ORDER BY period_start) AS prediction
+    FROM grid
+    """,
+)
+def naive(spark, sf):
+    return seasonal_naive(
+        grid(spark, sf), "family", "period_start", "target_usd", 4
+    ).select("family", "quarter", "target_usd", "prediction")
+
+
+@query(
+    "m02_feature_table",
+    f"""
+    WITH {GRID}
+    SELECT family, quarter, split, target_usd, lag(target_usd, 1) OVER w AS lag_1, lag(target_usd, 2) OVER w AS lag_2,
+      lag(target_usd, 4) OVER w AS lag_4,
+      CASE WHEN count(target_usd) OVER b >= 2 THEN round(avg(target_usd) OVER b, 4) END AS rolling_mean_4,
+      CASE WHEN count(target_usd) OVER b >= 2 THEN round(quantile_cont(target_usd, 0.5) OVER b, 4) END AS rolling_median_4,
+      CASE WHEN count(target_usd) OVER b >= 2 THEN round(stddev_samp(target_usd) OVER b, 2) END AS rolling_std_4,
+      CAST(row_number() OVER w - 1 AS INTEGER) AS time_index, CAST(quarter(period_start) AS VARCHAR) AS quarter_of_year
+    FROM grid WINDOW w AS (PARTITION BY family ORDER BY period_start),
+      b AS (PARTITION BY family ORDER BY period_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)
+    """,
+)
+def feature_table(spark, sf):
+    out = fc.feature_table(grid(spark, sf), "target_usd").select(
+        "family", "quarter", "split", "target_usd", *fc.NUMERIC, "quarter_of_year"
+    )
+    return rounded(rounded(out, 4, "rolling_mean_4", "rolling_median_4"), 2, "rolling_std_4")
+
+
+@query("m03_linear_regression")
+def linear_regression(spark, sf):
+    rows = features(spark, sf)
+    fitted = fc.fit_linear(fc.fit_rows_of(rows, "target_usd", ["train"]), "target_usd")
+    return fitted.predict(fc.predict_rows_of(rows, "validation"), "prediction").select(
+        *KEYS, "target_usd", "prediction"
+    )
+
+
+@query("m04_random_forest")
+def random_forest(spark, sf):
+    rows = features(spark, sf)
+    train = fc.fit_rows_of(rows, "target_usd", ["train"])
+    fitted = fc.fit_forest(train, "target_usd", SETTING)
+    return fitted.predict(fc.predict_rows_of(rows, "validation"), "prediction").select(
+        *KEYS, "target_usd", "prediction"
+    )
+
+
+@query("m05_forest_tuning")
+def forest_tuning(spark, sf):
+    return fc.tune_forest(features(spark, sf), "target_usd")
+
+
+FRAME = """SELECT family, quarter, split, '{policy}' AS target_policy, {t} AS actual_usd,
+      greatest(lag_4, 0.0) AS prediction_seasonal_naive, {t} - greatest(lag_4, 0.0) AS residual_seasonal_naive,
+      {t} IS NOT NULL AS evaluation_available,
+      CASE WHEN {t} IS NOT NULL THEN 'evaluated' ELSE 'target_missing_prediction_only' END AS evaluation_status,
+      'rolling_one_step' AS protocol, true AS models_predict
+    FROM (SELECT *, lag({t}, 4) OVER (PARTITION BY family ORDER BY period_start) AS lag_4 FROM grid)
+    WHERE split <> 'train' AND lag_4 IS NOT NULL"""
+
+
+def _frame(predictions):
+    both = F.lit(True)
+    for m in ("linear_regression", "random_forest"):
+        both = both & F.coalesce(F.col(f"prediction_{m}") >= 0, F.lit(False))
+    out = predictions.withColumn("models_predict", both).drop("period_start")
+    return out.select(
+        [c for c in out.columns if not c.endswith(("linear_regression", "random_forest"))]
+    )
+
+
+@query(
+    "m06_rolling_one_step",
+    f"WITH {GRID} " + FRAME.format(policy="source", t="target_usd"),
+)
+def rolling_one_step(spark, sf):
+    predictions, _, _ = fc.rolling_one_step(
+        features(spark, sf), "target_usd", "source", SETTING
+    )
+    return _frame(predictions)
+
+
+@query("m07_prediction_table")
+def prediction_table(spark, sf):
+    predictions, _, _ = fc.rolling_one_step(
+        features(spark, sf), "target_usd", "source", SETTING
+    )
+    return predictions
+
+
+@query(
+    "m08_target_policies",
+    f"WITH {GRID} "
+    + " UNION ALL ".join(FRAME.format(policy=p, t=t) for p, t in TARGETS.items()),
+)
+def target_policies(spark, sf):
+    settings = dict.fromkeys(TARGETS, SETTING)
+    rows = grid(spark, sf).select(*KEYS, *TARGETS.values())
+    return _frame(fc.run_policies(rows, TARGETS, settings))
+
+
+@query("m09_primary_model")
+def primary_model(spark, sf):
+    rows = grid(spark, sf).select(*KEYS, *TARGETS.values())
+    predictions = fc.run_policies(rows, {"source": "target_usd"}, {"source": SETTING})
+    return fc.select_primary(predictions)
+
+
+@query("m10_model_diagnostics")
+def model_diagnostics(spark, sf):
+    rows = features(spark, sf)
+    train = fc.fit_rows_of(rows, "target_usd", ["train", "validation"])
+    linear = fc.fit_linear(train, "target_usd")
+    forest = fc.fit_forest(train, "target_usd", SETTING)
+    return fc.diagnostics(linear).unionByName(fc.diagnostics(forest))
