@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from prizelens.functions.text import name_key
 from prizelens.operators.joins import broadcast_if_small, duplicate_keys, lookup
@@ -72,12 +73,16 @@ def null_ambiguous_ids(
 ) -> DataFrame:
     """Null an id that names more than one item inside its parent; keep the rows.
 
-    Adds ``<item_id>_raw`` and ``identity_status``.
+    Adds ``<item_id>_raw`` and ``identity_status``. Text names are compared
+    case-folded.
     """
+    key = F.col(name)
+    if children.schema[name].dataType == StringType():
+        key = name_key(key)
     ambiguous = (
         children.where(F.col(item_id).isNotNull() & F.col(name).isNotNull())
         .groupBy(parent, item_id)
-        .agg(F.count_distinct(name_key(F.col(name).cast("string"))).alias("_names"))
+        .agg(F.count_distinct(key).alias("_names"))
         .where("_names > 1")
         .select(parent, item_id, F.lit(True).alias("_ambiguous"))
     )

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prizelens.operators.joins import broadcast_if_small, lookup, union_all
+from prizelens.operators.joins import lookup, union_all
 from prizelens.operators.quantiles import exact_quantiles
-from prizelens.operators.rules import iqr_fences
 from prizelens.operators.windows import (
     add_lags,
-    avg_rank,
     from_first_observed,
     share_of,
     top_n,
@@ -278,6 +277,18 @@ def pearson(x: str, y: str) -> Column:
     )
 
 
+def series_rank(x: str, *part: str) -> Column:
+    """Tie-averaged rank inside a series; null stays null.
+
+    For tables with one row per (family, period): the window is as long as the
+    calendar. Raw rows are ranked by ``windows.avg_rank``.
+    """
+    place = F.rank().over(W.partitionBy(*part).orderBy(F.col(x).asc_nulls_last()))
+    ties = F.count(F.lit(1)).over(W.partitionBy(*part, x))
+    rank = place.cast("double") + (ties.cast("double") - 1) / F.lit(2.0)
+    return F.when(F.col(x).isNotNull(), rank)
+
+
 def corr_by(
     df: DataFrame,
     by: str,
@@ -286,16 +297,15 @@ def corr_by(
 ) -> DataFrame:
     """Correlations per family over rows complete in every named measure.
 
-    ``pairs`` holds (output, x, y).
+    ``pairs`` holds (output, x, y); ``df`` has one row per (family, period). One
+    shuffle by family serves the ranks and the aggregate.
     """
     cols = sorted({c for _, x, y in pairs for c in (x, y)})
     rows = df.select(by, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(
         subset=cols
     )
     if method == "spearman":
-        for c in cols:
-            rows = avg_rank(rows, [by], c, f"_r_{c}")
-        rows = rows.select(by, *[F.col(f"_r_{c}").alias(c) for c in cols])
+        rows = rows.select(by, *[series_rank(c, by).alias(c) for c in cols])
     elif method != "pearson":
         raise ValueError("method must be pearson or spearman")
     return rows.groupBy(by).agg(
@@ -306,36 +316,48 @@ def corr_by(
 def corr_trimmed(df: DataFrame, by: str, x: str, y: str, k: float = 1.5) -> DataFrame:
     """Both correlations on all rows and on rows inside both fences.
 
-    Fewer than three rows or no variance gives null.
+    Fewer than three rows or no variance gives null. ``df`` has one row per
+    (family, period); everything runs on one shuffle by family.
     """
-    rows = df.select(by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
-    rows = rows.dropna(subset=[x, y])
-    inside = rows
-    for c in (x, y):
-        fences = broadcast_if_small(iqr_fences(rows, [by], c, k)).select(
-            F.col(by).alias("_by"),
-            F.col("lower_fence").alias(f"_lo_{c}"),
-            F.col("upper_fence").alias(f"_hi_{c}"),
+    rows = df.select(
+        by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
+    ).dropna(subset=["_x", "_y"])
+    family = W.partitionBy(by)
+    inside = F.lit(True)
+    for c in ("_x", "_y"):
+        q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).over(family)
+        spread = F.lit(k) * (q[1] - q[0])
+        inside = inside & F.col(c).between(q[0] - spread, q[1] + spread)
+    rows = rows.withColumn("_in", inside)
+    rows = rows.withColumns(
+        {
+            "_rx": series_rank("_x", by),
+            "_ry": series_rank("_y", by),
+            "_tx": series_rank("_x", by, "_in"),
+            "_ty": series_rank("_y", by, "_in"),
+        }
+    )
+    kept = {c: F.when(F.col("_in"), F.col(c)) for c in ("_x", "_y", "_tx", "_ty")}
+    rows = rows.withColumns({f"_k{c}": v for c, v in kept.items()})
+    wide = rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_all"),
+        F.count_if("_in").alias("n_in"),
+        pearson("_x", "_y").alias("p_all"),
+        pearson("_rx", "_ry").alias("s_all"),
+        pearson("_k_x", "_k_y").alias("p_in"),
+        pearson("_k_tx", "_k_ty").alias("s_in"),
+    )
+    entries = [
+        F.struct(
+            F.lit(sample).alias("sample"),
+            F.lit(method).alias("method"),
+            F.col(f"n_{part}").alias("n"),
+            F.when(F.col(f"n_{part}") >= 3, F.col(f"{letter}_{part}")).alias("corr"),
         )
-        inside = inside.join(fences, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
-    inside = inside.where(
-        F.col(x).between(F.col(f"_lo_{x}"), F.col(f"_hi_{x}"))
-        & F.col(y).between(F.col(f"_lo_{y}"), F.col(f"_hi_{y}"))
-    ).select(by, x, y)
-    parts = []
-    for label, part in (("all_rows", rows), ("inside_fences", inside)):
-        for method in ("pearson", "spearman"):
-            out = corr_by(part, by, [("corr", x, y)], method)
-            parts.append(
-                out.select(
-                    by,
-                    F.lit(label).alias("sample"),
-                    "method",
-                    "n",
-                    F.when(F.col("n") >= 3, F.col("corr")).alias("corr"),
-                )
-            )
-    return union_all(*parts)
+        for sample, part in (("all_rows", "all"), ("inside_fences", "in"))
+        for method, letter in (("pearson", "p"), ("spearman", "s"))
+    ]
+    return wide.select(by, F.inline(F.array(*entries))).where(F.col("n") > 0)
 
 
 def autocorr_by(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prizelens.functions.text import label_or
 from prizelens.operators.checks import require_passed, run_checks
-from prizelens.operators.joins import apply_null_policy, checked_join, enrich, split_by_keys
+from prizelens.operators.joins import apply_null_policy, assert_unique, enrich, split_by_keys
 from prizelens.operators.rules import flag_duplicates
 from prizelens.operators.stats import monthly_rollup, pct
 
@@ -73,14 +73,16 @@ def monthly_panel(
     parent keep null money and zero counts.
     """
     keys = ["family", "month_start"]
+    assert_unique(attention, keys, "attention")
     dated = parents.withColumn("month_start", F.trunc("start_date", "month"))
     inside, outside = split_by_keys(dated, attention, keys)
     money = monthly_rollup(
         inside, "family", "start_date", "pool_cents", "eligible", "quality_note", "version"
     )
-    joined = checked_join(
-        attention, money, keys, "left", "one_to_one", indicator="month_observed"
-    )
+    # The roll-up is unique on its keys by construction.
+    joined = attention.join(
+        money.withColumn("_seen", F.lit(True)), keys, "left"
+    ).withColumn("month_observed", F.col("_seen").isNotNull()).drop("_seen")
     counts = ["observed_count", "known_pool_count", "reconciled_count", "flagged_count"]
     panel = enrich(
         apply_null_policy(joined, counts),

@@ -28,6 +28,7 @@ from prizelens.queries.shapes import (
     table,
     user_grid,
 )
+from prizelens.session import ensure_checkpoint_dir
 
 
 @query(
@@ -120,6 +121,9 @@ def game_monthly_panel(spark, sf):
         )
         .agg(F.sum(F.round("l_quantity").cast("bigint")).alias("hours"))
     )
+    # The attention table is written once; checks and panel read it several times.
+    ensure_checkpoint_dir(spark)
+    att = att.checkpoint()
     platform = att.groupBy("month_start").agg(F.sum("hours").alias("hours"))
     panel, _ = monthly_panel(att, parents(spark, sf), platform)
     panel_checks(panel)
