@@ -76,15 +76,18 @@ def null_ambiguous_ids(
     Adds ``<item_id>_raw`` and ``identity_status``. Text names are compared
     case-folded.
     """
-    key = F.col(name)
-    if children.schema[name].dataType == StringType():
-        key = name_key(key)
+    is_text = children.schema[name].dataType == StringType()
+    key = name_key(F.col(name)) if is_text else F.col(name)
+    # Smallest and largest differ: cheaper than a distinct count, but only numbers
+    # keep it a hash aggregate.
+    several = (
+        F.count_distinct(key) > 1 if is_text else F.min(key) != F.max(key)
+    )
     ambiguous = (
         children.where(F.col(item_id).isNotNull() & F.col(name).isNotNull())
         .groupBy(parent, item_id)
-        .agg(F.count_distinct(key).alias("_names"))
-        .where("_names > 1")
-        .select(parent, item_id, F.lit(True).alias("_ambiguous"))
+        .agg(several.alias("_ambiguous"))
+        .where("_ambiguous")
     )
     raw = F.col(item_id)
     return (
