@@ -177,15 +177,43 @@ def _number_by_id(placed: DataFrame, name: str) -> DataFrame:
     )
 
 
+# Positions per stretch when a document is cut into pieces of bounded length.
+STRETCH = 100_000
+
+
 def carry_forward(
-    df: DataFrame, by: Sequence[str], pos: str, col: str, name: str
+    df: DataFrame,
+    by: Sequence[str],
+    pos: str,
+    col: str,
+    name: str,
+    stretch: int = STRETCH,
 ) -> DataFrame:
     """Last non-null value so far in position order (a heading over its items).
 
-    ``by`` is the document the positions belong to.
+    ``by`` is the document, ``pos`` a whole number. A document is cut into
+    stretches of positions, so a huge one is spread over many tasks: each stretch
+    carries its own values forward, and the last value of the stretches before it
+    fills the items ahead of its first one.
     """
-    at = W.partitionBy(*by).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(col, ignorenulls=True).over(at))
+    by = list(by)
+    keys = [*by, "_stretch"]
+    cut = df.withColumn("_stretch", F.floor(F.col(pos) / stretch))
+    inside = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+    local = cut.withColumn("_local", F.last(col, ignorenulls=True).over(inside))
+    known = F.col(col).isNotNull()
+    ends = cut.groupBy(*keys).agg(
+        F.max_by(F.when(known, F.col(col)), F.when(known, F.col(pos))).alias("_end")
+    )
+    before = W.partitionBy(*by).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(
+        *keys, F.last("_end", ignorenulls=True).over(before).alias("_before")
+    )
+    return (
+        lookup(local, carried, keys)
+        .withColumn(name, F.coalesce("_local", "_before"))
+        .drop("_local", "_before", "_stretch")
+    )
 
 
 def surge(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prizelens.functions.money import cents
 from prizelens.operators import joins as j
 from prizelens.operators import scoring as s
-from prizelens.operators.checks import check_close
+from prizelens.operators.checks import check_close, run_checks
 from prizelens.operators.grid import calendar_rows
 from prizelens.operators.stats import quality_sensitivity
 from prizelens.plans.attention import monthly_panel, panel_checks
@@ -437,6 +437,24 @@ def largest_differences(spark, sf):
     )
 
 
+@query(
+    "o4_sample_of_bad_ids",
+    """
+    SELECT 'outside_scope' AS "check", count(*) AS bad_rows,
+      (SELECT string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FROM (
+        SELECT o_orderkey AS k FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' ORDER BY k LIMIT 20)) AS sample_ids
+    FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'
+    """,
+)
+def sample_of_bad_ids(spark, sf):
+    out = run_checks(
+        table(spark, sf, "orders"),
+        {"outside_scope": F.col("o_orderdate") < "1996-01-01"},
+        "o_orderkey",
+    )
+    return out.select("check", "bad_rows", F.array_join("sample_ids", ",").alias("sample_ids"))
+
+
 @query(
     "o5_best_candidate",
     f"""

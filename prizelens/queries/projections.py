@@ -10,6 +10,7 @@ from prizelens.functions import text as t
 from prizelens.functions.urls import canonical_url, url_matches_id
 from prizelens.operators.checks import numeric_checks, run_checks
 from prizelens.operators.joins import apply_null_policy, complete_pairs
+from prizelens.operators.stats import data_dictionary
 from prizelens.queries.registry import query
 from prizelens.queries.shapes import (
     ATTENTION,
@@ -607,6 +608,24 @@ def log10p1(spark, sf):
     )
 
 
+@query(
+    "p34_unit_hint",
+    """
+    SELECT column_name, CASE WHEN ends_with(column_name, 'cents') THEN 'USD cents'
+        WHEN ends_with(column_name, 'usd') THEN 'USD' WHEN ends_with(column_name, 'pct') THEN 'percent'
+        ELSE 'see schema' END AS unit_hint
+    FROM (SELECT unnest(['parent_id', 'pool_cents', 'pool_usd', 'pool_pct']) AS column_name)
+    """,
+)
+def unit_hint(spark, sf):
+    pool = F.col("pool_cents")
+    rows = parents(spark, sf).select(
+        "parent_id", "pool_cents", m.cents_to_usd(pool).alias("pool_usd"),
+        (pool / F.lit(1e6)).alias("pool_pct"),
+    )
+    return data_dictionary({"parents": rows}).select("column_name", "unit_hint")
+
+
 @query(
     "p35_surrogate_key",
     f"""

@@ -61,6 +61,17 @@ def test_global_rank_is_contiguous_with_ties(spark):
     assert sorted(x["place"] for x in out) == list(range(1, 5001))
 
 
+def test_carry_forward_over_stretches(spark):
+    rng = random.Random(1)
+    data = [("hot", i, rng.choice([None, None, None, f"h{i}"])) for i in range(3, 200)] + [("b", 5, None), ("b", 6, "x")]
+    df = spark.createDataFrame(data, "d string, p int, v string")
+    for stretch in (7, 1000):
+        out = w.carry_forward(df, ["d"], "p", "v", "head", stretch)
+        pdf = out.orderBy("d", "p").toPandas()
+        expected = pdf.groupby("d").v.ffill()
+        assert [x or None for x in pdf["head"].fillna("")] == [x or None for x in expected.fillna("")]
+
+
 FACTS = [
     ("late", D(2020, 7, 1), 5), ("late", D(2021, 1, 1), 7),
     ("gap", D(2020, 1, 1), 1), ("gap", D(2021, 4, 1), 0),

@@ -26,7 +26,7 @@ def test_every_survey_section_has_queries():
     starts = {n.split("_")[0] for n in QUERIES}
     expected = (
         [f"s{i:02d}" for i in range(1, 16)]
-        + [f"p{i:02d}" for i in range(1, 39) if i != 34]
+        + [f"p{i:02d}" for i in range(1, 39)]
         + [f"q{i:02d}" for i in range(1, 27)]
         + [f"j{i:02d}" for i in range(1, 12)]
         + [f"a{i:02d}" for i in range(1, 44)]
@@ -34,6 +34,6 @@ def test_every_survey_section_has_queries():
         + [f"t{i:02d}" for i in range(1, 9)]
         + [f"m{i:02d}" for i in range(1, 11)]
         + [f"x{i:02d}" for i in range(1, 14)]
-        + ["r1", "o1", "o2", "o3", "o5"]
+        + ["r1", "o1", "o2", "o3", "o4", "o5"]
     )
     assert sorted(set(expected) - starts) == []
