@@ -371,8 +371,8 @@ def autocorrelation(spark, sf):
     WITH {PREDICTIONS}, e AS (SELECT *, CASE WHEN evaluation_available THEN actual_usd END AS a,
         CASE WHEN evaluation_available THEN residual_usd END AS r FROM long)
     SELECT target_policy, split, model, CASE WHEN grouping(family) = 1 THEN 'Overall' ELSE family END AS family,
-           count(*) AS n_total, count(a) AS n_evaluated, round(avg(abs(r)), 2) AS mae_usd,
-           round(sqrt(avg(r * r)), 2) AS rmse_usd, round(count(a) / count(*) * 100, 6) AS coverage_pct,
+           count(*) AS n_total, count(a) AS n_evaluated, round(avg(abs(r)), 6) AS mae_usd,
+           round(sqrt(avg(r * r)), 6) AS rmse_usd, round(count(a) / count(*) * 100, 6) AS coverage_pct,
            CASE WHEN count(a) >= 4 THEN round(1 - sum(r * r) / (var_pop(a) * count(a)), 5) END AS r2_diagnostic
     FROM e GROUP BY GROUPING SETS ((target_policy, split, model, family), (target_policy, split, model))
     """,
@@ -380,7 +380,7 @@ def autocorrelation(spark, sf):
 def model_scores(spark, sf):
     out = sc.score(long_predictions(spark, sf), ["target_policy", "split", "model"], "family")
     return rounded(
-        rounded(rounded(out, 2, "mae_usd", "rmse_usd"), 6, "coverage_pct"), 5, "r2_diagnostic"
+        rounded(rounded(out, 6, "mae_usd", "rmse_usd"), 6, "coverage_pct"), 5, "r2_diagnostic"
     )
 
 
@@ -391,10 +391,10 @@ def model_scores(spark, sf):
     SELECT target_policy, split, model, model_label,
            CASE WHEN grouping(family) = 1 THEN 'Overall' ELSE family END AS family,
            count(*) AS total_periods, count(*) FILTER (evaluation_available) AS evaluated_periods,
-           round(sum(actual_usd) FILTER (evaluation_available), 2) AS actual_usd,
-           round(sum(predicted_usd) FILTER (evaluation_available), 2) AS predicted_evaluated_usd,
-           round(sum(predicted_usd), 2) AS predicted_all_usd, round(avg(residual_usd), 2) AS mean_residual_usd,
-           round(avg(abs(residual_usd)), 2) AS mae_usd, round(sqrt(avg(residual_usd ** 2)), 2) AS rmse_usd,
+           round(sum(actual_usd) FILTER (evaluation_available), 6) AS actual_usd,
+           round(sum(predicted_usd) FILTER (evaluation_available), 6) AS predicted_evaluated_usd,
+           round(sum(predicted_usd), 6) AS predicted_all_usd, round(avg(residual_usd), 6) AS mean_residual_usd,
+           round(avg(abs(residual_usd)), 6) AS mae_usd, round(sqrt(avg(residual_usd ** 2)), 6) AS rmse_usd,
            round(count(*) FILTER (evaluation_available) / count(*) * 100, 6) AS coverage_pct
     FROM long GROUP BY GROUPING SETS ((target_policy, split, model, model_label, family),
                                       (target_policy, split, model, model_label))
@@ -405,13 +405,13 @@ def forecast_summary(spark, sf):
         long_predictions(spark, sf), ["target_policy", "split", "model", "model_label"], "family"
     )
     money = [c for c in out.columns if c.endswith("_usd")]
-    return rounded(rounded(out, 2, *money), 6, "coverage_pct")
+    return rounded(rounded(out, 6, *money), 6, "coverage_pct")
 
 
 BASELINE_SQL = f"""
     WITH {GRID}, p AS (SELECT *, lag(target_usd, 4) OVER (PARTITION BY family ORDER BY period_start) AS prediction FROM grid)
-    SELECT family, split, count(prediction - target_usd) AS n, round(avg(abs(prediction - target_usd)), 2) AS mae,
-           round(sqrt(avg((prediction - target_usd) ** 2)), 2) AS rmse
+    SELECT family, split, count(prediction - target_usd) AS n, round(avg(abs(prediction - target_usd)), 6) AS mae,
+           round(sqrt(avg((prediction - target_usd) ** 2)), 6) AS rmse
     FROM p WHERE split <> 'train' GROUP BY ALL
     """
 
@@ -420,7 +420,7 @@ BASELINE_SQL = f"""
 def baseline_scores(spark, sf):
     predicted = sc.seasonal_naive(grid(spark, sf), "family", "period_start", "target_usd", 4)
     rows = predicted.where(F.col("split") != "train")
-    return rounded(sc.baseline_scores(rows, ["family", "split"], "target_usd"), 2, "mae", "rmse")
+    return rounded(sc.baseline_scores(rows, ["family", "split"], "target_usd"), 6, "mae", "rmse")
 
 
 @query(
@@ -431,8 +431,8 @@ def baseline_scores(spark, sf):
     u AS (SELECT family, month_start, split, 'n_rows' AS metric, CAST(n_rows AS DOUBLE) AS x FROM s
           UNION ALL SELECT family, month_start, split, 'pool_cents', CAST(pool_cents AS DOUBLE) FROM s),
     p AS (SELECT *, lag(x, 12) OVER (PARTITION BY family, metric ORDER BY month_start) AS y FROM u)
-    SELECT family, metric, split, count(y - x) AS n, round(avg(abs(y - x)), 2) AS mae,
-           round(sqrt(avg((y - x) ** 2)), 2) AS rmse FROM p WHERE split <> 'train' GROUP BY ALL
+    SELECT family, metric, split, count(y - x) AS n, round(avg(abs(y - x)), 6) AS mae,
+           round(sqrt(avg((y - x) ** 2)), 6) AS rmse FROM p WHERE split <> 'train' GROUP BY ALL
     """,
 )
 def monthly_baseline_scores(spark, sf):
@@ -444,7 +444,7 @@ def monthly_baseline_scores(spark, sf):
             predicted.where(F.col("split") != "train"), ["family", "split"], metric
         )
         parts.append(scores.withColumn("metric", F.lit(metric)))
-    return rounded(st.union_all(*parts), 2, "mae", "rmse")
+    return rounded(st.union_all(*parts), 6, "mae", "rmse")
 
 
 @query(
@@ -726,7 +726,7 @@ def peak_and_lowest_period(spark, sf):
     "a34_error_share",
     f"""
     WITH {PREDICTIONS}, e AS (SELECT * FROM long WHERE evaluation_available AND model = 'trailing_mean')
-    SELECT family, round(sum(absolute_error_usd), 2) AS abs_error_usd,
+    SELECT family, round(sum(absolute_error_usd), 4) AS abs_error_usd,
            round(sum(absolute_error_usd) / (SELECT sum(absolute_error_usd) FROM e) * 100, 6) AS error_share_pct
     FROM e GROUP BY family
     """,
@@ -734,7 +734,7 @@ def peak_and_lowest_period(spark, sf):
 def error_share(spark, sf):
     rows = long_predictions(spark, sf).where(F.col("model") == "trailing_mean")
     out = sc.error_share(rows, ["family"])
-    return rounded(rounded(out, 2, "abs_error_usd"), 6, "error_share_pct")
+    return rounded(rounded(out, 4, "abs_error_usd"), 6, "error_share_pct")
 
 
 @query(

@@ -167,7 +167,7 @@ def average_rank(spark, sf):
     f"""
     WITH {PREDICTIONS}, e AS (SELECT * FROM long WHERE evaluation_available AND model = 'trailing_mean')
     SELECT row_number() OVER (ORDER BY absolute_error_usd DESC, family, quarter) AS absolute_error_rank,
-           family, quarter, round(absolute_error_usd, 2) AS absolute_error_usd,
+           family, quarter, round(absolute_error_usd, 4) AS absolute_error_usd,
            round(absolute_error_usd / (SELECT sum(absolute_error_usd) FROM e) * 100, 6) AS absolute_error_share_pct
     FROM e
     """,
@@ -178,7 +178,7 @@ def global_error_rank(spark, sf):
         "absolute_error_rank", "family", "quarter", "absolute_error_usd",
         "absolute_error_share_pct",
     )
-    return rounded(rounded(out, 2, "absolute_error_usd"), 6, "absolute_error_share_pct")
+    return rounded(rounded(out, 4, "absolute_error_usd"), 6, "absolute_error_share_pct")
 
 
 @query(
