@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prizelens.operators import windows as w
-from prizelens.operators.rules import iqr_flag
 from prizelens.operators.scoring import error_analysis
 from prizelens.queries.aggregations import rounded
 from prizelens.queries.registry import query
@@ -13,8 +12,6 @@ from prizelens.queries.shapes import (
     CHILDREN,
     GRID,
     MONTHS,
-    OWNER_COUNTRY,
-    PANEL,
     PARENTS,
     PREDICTIONS,
     USER_DAYS,
@@ -23,8 +20,6 @@ from prizelens.queries.shapes import (
     grid,
     long_predictions,
     months,
-    owner_country,
-    panel,
     parents,
     table,
     user_days,
