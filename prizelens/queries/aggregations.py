@@ -552,7 +552,7 @@ def reconciliation_of_orders(spark, sf):
            CASE WHEN diff_cents < 0 THEN 'placements_below_pool' WHEN diff_cents > 0 THEN 'placements_above_pool'
                 ELSE 'equal' END AS direction,
            CASE WHEN diff_cents = 0 THEN 'matched' WHEN abs(diff_cents) <= 2 THEN 'rounding_difference'
-                ELSE 'needs_review' END AS status, 0 AS negative_amounts
+                ELSE 'needs_review' END AS status, CAST(0 AS BIGINT) AS negative_amounts
     FROM (SELECT parent_id, pool_cents, child_cents, child_rows, duplicate_names, child_cents - pool_cents AS diff_cents
           FROM pools JOIN t USING (parent_id))
     """,

@@ -220,7 +220,7 @@ def listed_family_calendar(spark, sf):
 
 @query(
     "j09_predictions_against_actuals",
-    "SELECT 'actual_usd' AS column_name, 0 AS bad_rows, true AS passed",
+    "SELECT 'actual_usd' AS column_name, CAST(0 AS BIGINT) AS bad_rows, true AS passed",
 )
 def predictions_against_actuals(spark, sf):
     stored = predictions(spark, sf).select("family", "quarter", "actual_usd")

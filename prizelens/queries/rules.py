@@ -304,7 +304,7 @@ def cleaning_children(spark, sf):
     "q04_complete_cleaning_partition",
     f"""
     WITH {PARENTS}
-    SELECT count(*) AS n_input, 0 AS misplaced FROM parents
+    SELECT count(*) AS n_input, CAST(0 AS BIGINT) AS misplaced FROM parents
     """,
 )
 def complete_cleaning_partition(spark, sf):
@@ -346,7 +346,7 @@ def quarantine_record(spark, sf):
 @query(
     "q04_complete_partition",
     f"""
-    WITH {PARENTS} SELECT parent_id, 1 AS in_input, 2 AS in_parts FROM parents WHERE version = 'F'
+    WITH {PARENTS} SELECT parent_id, CAST(1 AS BIGINT) AS in_input, CAST(2 AS BIGINT) AS in_parts FROM parents WHERE version = 'F'
     """,
 )
 def complete_partition(spark, sf):
@@ -510,7 +510,7 @@ def check_suite(spark, sf):
 @query(
     "q11_key_check",
     """
-    SELECT CAST(sum(n) AS BIGINT) AS n_rows, 0 AS empty_key_rows, count(*) FILTER (n > 1) AS repeated_keys,
+    SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS empty_key_rows, count(*) FILTER (n > 1) AS repeated_keys,
            count(*) FILTER (n > 1) = 0 AS passed
     FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
     """,
@@ -771,7 +771,7 @@ def disjoint_sets(spark, sf):
 
 @query(
     "q26_minimum_rows",
-    "SELECT count(*) AS n_rows, 2000 AS minimum, count(*) >= 2000 AS met FROM lineitem",
+    "SELECT count(*) AS n_rows, CAST(2000 AS BIGINT) AS minimum, count(*) >= 2000 AS met FROM lineitem",
 )
 def minimum_rows(spark, sf):
     return c.check_min_rows(table(spark, sf, "lineitem"), 2000)

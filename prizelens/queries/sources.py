@@ -57,9 +57,9 @@ def csv_scan(spark, sf):
     return read_table(spark, path, "customer_id bigint, code string, segment string")
 
 
-@query("s02_required_columns", "SELECT o_orderkey, o_orderdate FROM orders")
+@query("s02_required_columns", "SELECT o_orderkey, o_orderpriority FROM orders")
 def required_columns(spark, sf):
-    needed = ["o_orderkey", "o_orderdate"]
+    needed = ["o_orderkey", "o_orderpriority"]
     return require_columns(table(spark, sf, "orders"), needed).select(*needed)
 
 
@@ -419,7 +419,7 @@ def streaming_upsert(spark, sf):
 
 @query(
     "s13_log_key_is_unique",
-    "SELECT count(*) AS n_rows, 0 AS empty_key_rows, 0 AS repeated_keys, true AS passed FROM orders",
+    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS empty_key_rows, CAST(0 AS BIGINT) AS repeated_keys, true AS passed FROM orders",
 )
 def log_key_is_unique(spark, sf):
     first, second = _log_batches(spark, sf)
