@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prizelens.llm.common import table
+from prizelens.llm.quality import quality_verdicts
 from prizelens.llm.token_counts import count_tokens
 
 QUERIES: dict = {}
@@ -33,3 +34,9 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     out = count_tokens(docs, F.col("text"), path, public_tokenizers.PATTERN)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    return quality_verdicts(table(spark, sf, "documents"))
