@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prizelens.llm.common import table
+from prizelens.llm.common import table, word_count
+from prizelens.llm.mixing import mix
 from prizelens.llm.quality import quality_verdicts
 from prizelens.llm.token_counts import count_tokens
 
@@ -40,3 +41,17 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality_verdicts(table(spark, sf, "documents"))
+
+
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes from every document, with its source's target."""
+    docs = table(spark, sf, "documents")
+    copies, targets = mix(docs, "doc_id", "source", word_count(F.col("text")))
+    sources = targets.select(F.col("stratum").alias("_s"), "source_size", "target")
+    rows = copies.join(sources, F.col("stratum").eqNullSafe(F.col("_s")))
+    return rows.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies",
+        F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_row"),
+    ).drop("_row")
