@@ -10,6 +10,7 @@ from prizelens.llm.common import table, word_count
 from prizelens.llm.mixing import mix
 from prizelens.llm.quality import quality_verdicts
 from prizelens.llm.token_counts import count_tokens
+from prizelens.llm.warc import round_trip
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,11 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies",
         F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_row"),
     ).drop("_row")
+
+
+@query("op3_warc")
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """One WARC record per page, written and read back."""
+    return round_trip(table(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
