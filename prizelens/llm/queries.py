@@ -10,7 +10,9 @@ from prizelens.llm.common import table, word_count
 from prizelens.llm.mixing import mix
 from prizelens.llm.quality import quality_verdicts
 from prizelens.llm.token_counts import count_tokens
+from prizelens.llm.token_files import byte_bpe_encoder, read_documents, write_ids
 from prizelens.llm.warc import round_trip
+from prizelens.session import new_run_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +66,13 @@ def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(table(spark, sf, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of all documents written to files and read back."""
+    path = public_tokenizers.path(BYTE_BPE)
+    folder = new_run_dir(spark, "ids")
+    encode = byte_bpe_encoder(path, public_tokenizers.PATTERN)
+    files = write_ids(table(spark, sf, "documents"), "doc_id", "text", folder, encode, 16)
+    return read_documents(files, folder)
