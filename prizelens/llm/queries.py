@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prizelens.llm.common import table, word_count
 from prizelens.llm.mixing import mix
+from prizelens.llm.neardup import near_duplicates
 from prizelens.llm.quality import quality_verdicts
 from prizelens.llm.token_counts import count_tokens
 from prizelens.llm.token_files import byte_bpe_encoder, read_documents, write_ids
@@ -76,3 +77,9 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     encode = byte_bpe_encoder(path, public_tokenizers.PATTERN)
     files = write_ids(table(spark, sf, "documents"), "doc_id", "text", folder, encode, 16)
     return read_documents(files, folder)
+
+
+@query("op4_minhash_neardup")
+def op4_minhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents with similar sets of two-word shingles."""
+    return near_duplicates(table(spark, sf, "documents"), k=2, percent=80)
