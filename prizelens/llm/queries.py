@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prizelens.llm.common import table, word_count
+from prizelens.llm.linededup import dedup_lines
 from prizelens.llm.mixing import mix
 from prizelens.llm.neardup import near_duplicates
 from prizelens.llm.quality import quality_verdicts
@@ -83,3 +84,10 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
 def op4_minhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
     """Components of documents with similar sets of two-word shingles."""
     return near_duplicates(table(spark, sf, "documents"), k=2, percent=80)
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document less the passages that stand in earlier ones."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return dedup_lines(docs)
