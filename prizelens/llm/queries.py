@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prizelens.llm.common import table, word_count
+from prizelens.llm.extraction import extract_text
 from prizelens.llm.linededup import dedup_lines
 from prizelens.llm.mixing import mix
 from prizelens.llm.neardup import near_duplicates
@@ -91,3 +92,10 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document less the passages that stand in earlier ones."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return dedup_lines(docs)
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", "n_chars")
