@@ -11,6 +11,7 @@ from prizelens.llm.extraction import extract_text
 from prizelens.llm.linededup import dedup_lines
 from prizelens.llm.mixing import mix
 from prizelens.llm.neardup import near_duplicates
+from prizelens.llm.pieces import decoded, encoded
 from prizelens.llm.quality import quality_verdicts
 from prizelens.llm.token_counts import count_tokens
 from prizelens.llm.token_files import byte_bpe_encoder, read_documents, write_ids
@@ -99,3 +100,19 @@ def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every whole text with merge-dropout, and whether they decode to the text."""
+    path = public_tokenizers.path(PIECE_BPE)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ids = docs.withColumn("ids", encoded(F.col("text"), F.col("doc_id"), path))
+    back = ids.withColumn("back", decoded(F.col("ids"), path))
+    return back.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"),
+        F.col("back").eqNullSafe(F.col("text")).alias("lossless"),
+    )
