@@ -126,6 +126,7 @@ class ByteBpe:
         except KeyError:
             if len(self.parts) > MEMO_TOKENS:
                 self.parts.clear()
-            for p in set(parts) - self.parts.keys():
-                self.parts[p] = np.asarray(self.part(p), "<u4").tobytes()
+            for p in parts:
+                if p not in self.parts:
+                    self.parts[p] = np.asarray(self.part(p), "<u4").tobytes()
             return b"".join(map(self.parts.__getitem__, parts))
