@@ -15,6 +15,7 @@ from prizelens.llm.pieces import decoded, encoded
 from prizelens.llm.quality import quality_verdicts
 from prizelens.llm.token_counts import count_tokens
 from prizelens.llm.token_files import byte_bpe_encoder, read_documents, write_ids
+from prizelens.llm.vectorgraph import linked_vectors
 from prizelens.llm.warc import round_trip
 from prizelens.session import new_run_dir
 
@@ -116,3 +117,9 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"),
         F.col("back").eqNullSafe(F.col("text")).alias("lossless"),
     )
+
+
+@query("op6_embedding_neardup")
+def op6_embedding_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of at least 0.98."""
+    return linked_vectors(table(spark, sf, "embeddings"))
