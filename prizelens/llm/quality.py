@@ -193,10 +193,10 @@ def quality_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns as they are.
 
-    The measures are computed twice, for the thresholds and for the verdict: that costs
-    less than shuffling or storing all texts to attach a verdict to them.
+    Documents are stored once with their measures: thresholds then read the measures
+    alone, and no filter is pushed into the array expressions that compute them.
     """
     packed = docs.select(F.struct("*").alias("_row"), "lang", "source", text)
-    seen = measured(packed, text).where(~F.col("base_failed"))
-    limits = stored(thresholds(seen.drop("_row", text)), "thresholds")
+    seen = stored(measured(packed, text).drop(text), "measured").where(~F.col("base_failed"))
+    limits = stored(thresholds(seen.drop("_row")), "thresholds")
     return with_verdict(seen, limits).where("kept").select("_row.*")
