@@ -7,10 +7,11 @@ shares a table unless it misses all left or all right bands, about
 ``2 (1 - s**WIDTH)**SIDE``: 6 in 10,000 at 0.8, 7 in 100,000 at 0.85.
 
 Texts with equal shingle sets are one class and only classes are compared. Within a table
-entry, one head at a time is compared with the members that are not yet in its component,
-by their full sets, and then leaves the entry, until all that remain are of one
-component. So a large group of copies costs a few stars, never all its pairs, and no pair
-that an entry holds together is left undecided.
+entry, a few heads at a time are compared with the members that are not yet in their
+component, by their full sets, and then leave the entry, until all that remain are of one
+component or so few that their pairs are compared at once. So a large group of copies
+costs a few stars, never all its pairs, and no pair that an entry holds together is left
+undecided.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prizelens.llm.common import cut, stored
+from prizelens.llm.common import stored
 from prizelens.llm.components import components
 
 SIDE, WIDTH = 8, 2
+HEADS = 4  # compared with an entry at a time, after the first
+SMALL = 32  # members of an entry whose pairs are compared at once
 SEED = 20_240
 ROWS_AT_ONCE = 16_384  # shingles hashed at once, which bounds a task's memory
 MANY = 0xFF51AFD7ED558CCD  # odd multiplier
@@ -125,40 +128,54 @@ def table_keys(reps: DataFrame) -> DataFrame:
     return reps.select(pairs.alias("key"), "nid", "n")
 
 
-def similar_sizes(percent: int):
-    small, large = F.least("n", "head_n"), F.greatest("n", "head_n")
-    return 100 * small >= percent * large
+def similar_sizes(percent: int, n: str, m: str):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough."""
-    one = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * union).select("a", "b")
-
-
-def heads(members: DataFrame, count: int, turn: int) -> DataFrame:
-    """Entries that still hold several components, with up to ``count`` heads each."""
-    order = lambda h: F.col("nid") if count == 1 else F.xxhash64("nid", F.lit(turn * 1000 + h))
+    """The components ``a, b`` of the pairs ``x, y`` whose full sets are similar enough."""
+    one = sets.select(F.col("nid").alias("x"), F.col("shingles").alias("sx"))
+    two = sets.select(F.col("nid").alias("y"), F.col("shingles").alias("sy"))
+    both = F.size(F.array_intersect("sx", "sy"))
+    union = F.size("sx") + F.size("sy") - both
+    found = pairs.join(one, "x").join(two, "y").where(100 * both >= percent * union)
+    return found.select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
+
+
+def ordered_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``x > y`` with their components, of ``nid, n, comp`` and ``h``."""
+    near = left.where("comp <> h.comp").where(similar_sizes(percent, "n", "h.n"))
+    flip = F.col("nid") < F.col("h.nid")
+    return near.select(
+        F.greatest("nid", "h.nid").alias("x"), F.least("nid", "h.nid").alias("y"),
+        F.when(flip, F.col("h.comp")).otherwise(F.col("comp")).alias("cx"),
+        F.when(flip, F.col("comp")).otherwise(F.col("h.comp")).alias("cy"),
+    ).distinct()
+
+
+def open_entries(members: DataFrame, turn: int) -> DataFrame:
+    """Entries that still hold several components: their size and heads.
+
+    The first head is the smallest class, later ones are drawn by hashes of the class
+    alone, so that a class heads all entries it shares with the same others.
+    """
+    order = lambda h: F.col("nid") if turn == 0 else F.xxhash64("nid", F.lit(turn * 1000 + h))
+    count = 1 if turn == 0 else HEADS
     found = members.groupBy("key").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"),
         *(F.min(F.struct(order(h).alias("o"), "nid", "n", "comp")).alias(f"h{h}") for h in range(count)),
     ).where("c0 < c1")
-    return found.select("key", F.array(*(f"h{h}" for h in range(count))).alias("heads"))
+    return found.select("key", "size", F.array(*(f"h{h}" for h in range(count))).alias("heads"))
 
 
 def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``nid, comp`` of every class that is linked to a smaller one.
+    """``nid, comp`` of every class.
 
     ``reps`` has ``nid, doc_id, cls, n, bands``; ``texts`` has ``doc_id, text``.
     """
     keys = table_keys(reps)
     entries = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = stored(
-        keys.join(entries, "key").withColumn("comp", F.col("nid")), "minhash-entries"
-    )
+    members = stored(keys.join(entries, "key").withColumn("comp", F.col("nid")), "minhash-entries")
     wanted = members.select("nid").distinct().join(reps, "nid").select(
         "nid", "cls", F.col("doc_id").alias("_d")
     )
@@ -167,34 +184,33 @@ def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> D
         .select("nid", "cls", "text").mapInArrow(set_maker(k), SETS_SQL).dropDuplicates(["nid"]),
         "shingle-sets",
     )
-    links, turn, count = None, 0, 1
+    labels, turn = reps.select("nid", F.col("nid").alias("comp")), 0
     while True:
-        chosen = cut(heads(members, count, turn))
+        chosen = stored(open_entries(members, turn), "minhash-heads")
         if chosen.isEmpty():
-            break
+            return labels
         together = members.join(chosen, "key")
-        head = together.select("nid", "n", "comp", F.explode("heads").alias("h"))
-        pairs = (
-            head.select("nid", "n", "comp", F.col("h.nid").alias("head"), F.col("h.n").alias("head_n"),
-                        F.col("h.comp").alias("head_comp"))
-            .where("comp <> head_comp").where(similar_sizes(percent))
-            .select(F.greatest("nid", "head").alias("a"), F.least("nid", "head").alias("b")).distinct()
+        small = F.lit(turn > 0) & (F.col("size") <= SMALL)
+        stars = ordered_pairs(together.where(~small).withColumn("h", F.explode("heads")), percent)
+        few = together.where(small).select("key", "nid", "n", "comp")
+        other = few.select(F.col("key").alias("_k"), F.struct("nid", "n", "comp").alias("h"))
+        # Entries of at most SMALL members are settled at once, pair by pair.
+        all_of_few = ordered_pairs(
+            few.join(other, F.col("key") == F.col("_k")).where("nid > h.nid"), percent
         )
-        new = cut(verified(pairs, sets, percent))
-        links = new if links is None else cut(links.union(new))
-        comps = components(links)
-        rest = together.where(~F.exists("heads", lambda h: h["nid"] == F.col("nid")))
+        pairs = stars if turn == 0 else stars.union(all_of_few).distinct()
+        merged = components(verified(pairs, sets, percent))
+        moved = merged.select(F.col("id").alias("_id"), "component")
+        rest = together.where(~small).where(~F.exists("heads", lambda h: h["nid"] == F.col("nid")))
         members = stored(
-            rest.select("key", "nid", "n").join(comps.withColumnRenamed("id", "_n"),
-                                                F.col("nid") == F.col("_n"), "left")
-            .select("key", "nid", "n", F.coalesce("component", "nid").alias("comp")),
-            "minhash-entries",
+            rest.select("key", "nid", "n", "comp").join(moved, F.col("comp") == F.col("_id"), "left")
+            .select("key", "nid", "n", F.coalesce("component", "comp").alias("comp")), "minhash-entries",
+        )
+        labels = stored(
+            labels.join(moved, F.col("comp") == F.col("_id"), "left")
+            .select("nid", F.coalesce("component", "comp").alias("comp")), "minhash-labels",
         )
         turn += 1
-        count = 1 if turn < 2 else min(2 * count, 16)
-    if links is None:
-        return reps.select("nid", F.col("nid").alias("comp")).limit(0)
-    return components(links).withColumnsRenamed({"id": "nid", "component": "comp"})
 
 
 def near_duplicates(
@@ -217,10 +233,7 @@ def near_duplicates(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     reps = stored(reps.withColumn("nid", F.monotonically_increasing_id()), "minhash-classes")
-    comps = stored(linked_classes(reps, texts, k, percent), "minhash-components")
-    labelled = reps.select("cls", "nid", "doc_id").join(comps, "nid", "left").withColumn(
-        "comp", F.coalesce("comp", "nid")
-    )
+    labelled = reps.select("cls", "nid", "doc_id").join(linked_classes(reps, texts, k, percent), "nid")
     least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     answer = labelled.join(least, "comp").select(F.col("cls").alias("_c"), "component_id")
     slim = signed.select("doc_id", "n", "cls")
