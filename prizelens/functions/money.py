@@ -10,7 +10,7 @@ WIDE = "decimal(38,18)"
 
 # Text shapes of displayed money, counts and durations.
 USD_IN_BRACKETS = r"(?i)\(\s*\$\s*([\d,]+(?:\.\d+)?)\s+USD\s*\)"
-DISPLAYED_USD = r"^\$\d+(?:\.\d{1,2})?$"
+DISPLAYED_USD = r"^\$(\d+(?:\.\d{1,2})?)$"
 DURATION = r"(?i)^\s*(\d+(?:\.\d+)?)\s*h(?:\s*(\d+)\s*m)?\s*$"
 BLANK = r"(?U)\s+"
 
@@ -43,7 +43,7 @@ def to_cents(col: Column) -> Column:
     """Amount to integer cents; null for bad, negative or fractional cents."""
     value = plain_amount(col).try_cast(WIDE)
     return F.when(
-        is_cent_exact(col), (value.cast("decimal(20,2)") * 100).cast("bigint")
+        is_cent_exact(col), (value.try_cast("decimal(30,2)") * 100).try_cast("bigint")
     )
 
 
@@ -80,9 +80,9 @@ def extract_usd(text: Column, currency: Column) -> Column:
 def displayed_usd(text: Column) -> Column:
     """``$`` and digits only; K/M suffixes and other currencies are null."""
     compact = F.regexp_replace(text, BLANK, "")
-    return F.when(
-        compact.rlike(DISPLAYED_USD), F.substring(compact, 2, 40).try_cast(MONEY)
-    )
+    # Leading zeros go first: a number of any length then casts by its value.
+    amount = F.regexp_replace(F.regexp_extract(compact, DISPLAYED_USD, 1), r"^0+(?=\d)", "")
+    return F.when(compact.rlike(DISPLAYED_USD), amount.try_cast(MONEY))
 
 
 def compact_int(text: Column) -> Column:
@@ -103,8 +103,8 @@ def duration_hours(text: Column) -> Column:
 
 def rank_number(col: Column) -> Column:
     """Whole rank of at least 1, else null."""
-    value = col.try_cast("decimal(20,6)")
-    return F.when((value == F.floor(value)) & (value >= 1), value.cast("int"))
+    value = col.try_cast("decimal(38,6)")
+    return F.when((value == F.floor(value)) & (value >= 1), value.try_cast("bigint"))
 
 
 def rank_number_reason(col: Column) -> Column:

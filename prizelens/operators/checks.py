@@ -246,12 +246,18 @@ def compare_reference(
     texts: Sequence[str],
     tol: float = 1e-6,
 ) -> DataFrame:
-    """Per key: names of the fields that differ from the reference values."""
+    """Per key: names of the fields that differ from the reference values.
+
+    A key that only one side has is not accepted; the difference says which lacks it.
+    """
     ref = reference.select(
         F.col(key).alias("_key"),
+        F.lit(True).alias("_in_reference"),
         *[F.col(c).alias(f"_r_{c}") for c in [*numbers, *texts]],
     )
-    joined = df.join(ref, F.col(key) == F.col("_key"), "inner")
+    joined = df.withColumn("_in_data", F.lit(True)).join(
+        ref, F.col(key).eqNullSafe(F.col("_key")), "full_outer"
+    )
     diffs = [
         F.when(
             ~F.coalesce(F.abs(F.col(c) - F.col(f"_r_{c}")) <= tol, F.lit(False)),
@@ -260,8 +266,11 @@ def compare_reference(
         for c in numbers
     ] + [F.when(~F.col(c).eqNullSafe(F.col(f"_r_{c}")), F.lit(c)) for c in texts]
     return joined.select(
-        key,
-        F.array_join(F.array_compact(F.array(*diffs)), " | ").alias("differing_fields"),
+        F.coalesce(key, "_key").alias(key),
+        F.when(F.col("_in_data").isNull(), F.lit("missing_in_data"))
+        .when(F.col("_in_reference").isNull(), F.lit("missing_in_reference"))
+        .otherwise(F.array_join(F.array_compact(F.array(*diffs)), " | "))
+        .alias("differing_fields"),
     ).withColumn("accepted", F.col("differing_fields") == "")
 
 

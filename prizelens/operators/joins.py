@@ -8,26 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prizelens.session import ensure_checkpoint_dir
-
-# A side is broadcast only after its row count has been checked against this.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a derived side once and broadcast it when its size is proven.
-
-    The result is written through ``checkpoint`` (shared storage), so it is not
-    computed again by the join and survives executor loss. A larger side comes
-    back unhinted and joins by shuffle.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    return kept
-
-
 def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """Raise at analysis time when a column is missing; no job runs."""
     missing = sorted(set(cols) - set(df.columns))

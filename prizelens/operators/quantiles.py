@@ -1,9 +1,10 @@
 """Exact order statistics that never gather a group in one task.
 
-Values are first reduced to (value, count) with map-side combining, so repeats
-cost nothing. A value's *bucket* (1024 per power of two, in value order) gives a
-small histogram per group; its running total tells where each wanted rank lies.
-Only values of the wanted buckets are then ordered, one bucket per task.
+Values are first reduced to (value, count) with map-side combining, so repeats cost
+nothing. The distinct values are then range-partitioned by (group, value): Spark draws
+the bounds from the data, so a crowded range of dates, ids or prices spreads as evenly as
+any other. Counts per (group, partition) give each partition's offset; only the wanted
+partitions are ordered inside, each on its own.
 """
 
 from __future__ import annotations
@@ -15,28 +16,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prizelens.operators.joins import lookup
-
-PER_OCTAVE = 1024
-SHIFT = 1_000_000
-
-
-def bucket_of(x: Column) -> Column:
-    """Order-preserving bucket number of a value (about 0.07 % wide).
-
-    The narrow buckets keep a crowded range of values spread over many tasks.
-    """
-    size = F.floor(F.log2(F.abs(x.cast("double"))) * PER_OCTAVE).cast("bigint") + SHIFT
-    return F.when(x == 0, F.lit(0).cast("bigint")).otherwise(
-        F.when(x < 0, -size).otherwise(size)
-    )
+from prizelens.session import ensure_checkpoint_dir
 
 
 def value_counts_with_start(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """One row per (group, value): count, number of smaller values, group size."""
     by = list(by)
-    counts, located = _counts_and_buckets(df, by, x)
-    joined = lookup(counts, located, [*by, "_bucket"], "inner")
-    inside = W.partitionBy(*by, "_bucket").orderBy(x)
+    counts, located = _counts_and_parts(df, by, x)
+    joined = lookup(counts, located, [*by, "_part"], "inner")
+    inside = W.partitionBy(*by, "_part").orderBy(x)
     return joined.select(
         *by,
         x,
@@ -52,26 +40,28 @@ def value_counts_with_start(df: DataFrame, by: Sequence[str], x: str) -> DataFra
     )
 
 
-def _counts_and_buckets(df: DataFrame, by: list[str], x: str):
+def _counts_and_parts(df: DataFrame, by: list[str], x: str):
+    ensure_checkpoint_dir(df.sparkSession)
     counts = (
         df.where(F.col(x).isNotNull())
         .groupBy(*by, x)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", bucket_of(F.col(x)))
+        .repartitionByRange(*by, x)
+        .withColumn("_part", F.spark_partition_id())
+        .checkpoint()  # fixes which partition a value is in
     )
-    histogram = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_in_bucket"))
-    # 1024 buckets per power of two: a group has some ten thousand at most, and
-    # never more than distinct values, so this window stays small.
-    ordered = W.partitionBy(*by).orderBy("_bucket")
-    located = histogram.select(
+    sizes = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_in_part"))
+    # One row per group and partition it reaches into.
+    ordered = W.partitionBy(*by).orderBy("_part")
+    located = sizes.select(
         *by,
-        "_bucket",
-        "_in_bucket",
+        "_part",
+        "_in_part",
         F.coalesce(
-            F.sum("_in_bucket").over(ordered.rowsBetween(W.unboundedPreceding, -1)),
+            F.sum("_in_part").over(ordered.rowsBetween(W.unboundedPreceding, -1)),
             F.lit(0),
         ).alias("_below"),
-        F.sum("_in_bucket").over(W.partitionBy(*by)).alias("_total"),
+        F.sum("_in_part").over(W.partitionBy(*by)).alias("_total"),
     )
     return counts, located
 
@@ -84,19 +74,19 @@ def exact_quantiles(
     ``probs`` maps output column to probability. Groups without values are absent.
     """
     by = list(by)
-    counts, located = _counts_and_buckets(df, by, x)
+    counts, located = _counts_and_parts(df, by, x)
     position = {name: F.lit(p) * (F.col("_total") - 1) for name, p in probs.items()}
     wanted = F.lit(False)
     for pos in position.values():
         for rank in (F.floor(pos), F.ceil(pos)):
             wanted = wanted | (
                 (rank >= F.col("_below"))
-                & (rank < F.col("_below") + F.col("_in_bucket"))
+                & (rank < F.col("_below") + F.col("_in_part"))
             )
     needed = located.where(wanted)
-    inside = W.partitionBy(*by, "_bucket").orderBy(x)
+    inside = W.partitionBy(*by, "_part").orderBy(x)
     ranked = (
-        lookup(counts, needed, [*by, "_bucket"], "inner")
+        lookup(counts, needed, [*by, "_part"], "inner")
         .withColumn(
             "_start",
             F.col("_below")

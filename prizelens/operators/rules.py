@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from prizelens.functions.text import name_key
-from prizelens.operators.joins import broadcast_if_small, duplicate_keys, lookup
+from prizelens.operators.joins import duplicate_keys, lookup
 from prizelens.operators.quantiles import exact_quantiles
 
 
@@ -154,7 +154,7 @@ def iqr_flag(
 ) -> DataFrame:
     """Add ``<metric>_iqr_flag``: strictly outside the fences. Nothing is deleted."""
     by = list(by)
-    fences = broadcast_if_small(iqr_fences(df, by, metric, k))
+    fences = iqr_fences(df, by, metric, k)
     return lookup(df, fences, by).withColumn(
         f"{metric}_iqr_flag",
         F.coalesce(

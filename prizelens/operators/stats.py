@@ -147,18 +147,29 @@ def topk_share(
 
 
 def histogram_pct(
-    df: DataFrame, by: str, x: str, low: float, high: float, bins: int
+    df: DataFrame,
+    by: str,
+    x: str,
+    bins: int,
+    low: float | None = None,
+    high: float | None = None,
 ) -> DataFrame:
-    """Percent of a family's rows per equal bin; the last bin includes ``high``."""
-    value = F.col(x)
-    slot = F.least(
-        F.width_bucket(value.cast("double"), F.lit(low), F.lit(high), F.lit(bins)),
-        F.lit(bins),
-    )
-    counts = (
-        df.where(value.between(low, high))
-        .groupBy(by, slot.cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+    """Percent of a family's rows per equal bin; the last bin includes ``high``.
+
+    Without bounds the bins span all values. Rows below ``low`` are bin 0 and rows above
+    ``high`` bin ``bins + 1``: they stay and count in the percent base. Null is no value.
+    """
+    rows = df.where(F.col(x).isNotNull())
+    if low is None or high is None:
+        ends = rows.agg(F.min(x).cast("double"), F.max(x).cast("double")).first()
+        low = (ends[0] or 0.0) if low is None else low
+        high = (ends[1] or 0.0) if high is None else high
+    value = F.col(x).cast("double")
+    width = max((high - low) / bins, 1e-300)
+    inside = F.least(F.floor((value - low) / width) + 1, F.lit(bins))
+    slot = F.when(value < low, 0).when(value > high, bins + 1).otherwise(inside)
+    counts = rows.groupBy(by, slot.cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n_rows")
     )
     return share_of(counts, [by], "n_rows", "pct_of_family")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prizelens.functions.calendar import shift_period
-from prizelens.operators.joins import broadcast_if_small, lookup
+from prizelens.operators.joins import lookup
 from prizelens.operators.quantiles import value_counts_with_start
 from prizelens.session import ensure_checkpoint_dir
 
@@ -169,7 +169,7 @@ def _number_by_id(placed: DataFrame, name: str) -> DataFrame:
         ).alias("_offset"),
     )
     keyed = placed.withColumn("_part", part)
-    return keyed.join(broadcast_if_small(offsets), "_part").select(
+    return keyed.join(F.broadcast(offsets), "_part").select(
         *[c for c in placed.columns if c != "_id"],
         (
             F.col("_offset") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
@@ -223,7 +223,7 @@ def surge(
     from prizelens.operators.rules import iqr_fences
 
     grown = growth(df, family, period, x, step, consecutive=True)
-    fences = broadcast_if_small(iqr_fences(df, [family], x, k))
+    fences = iqr_fences(df, [family], x, k)
     return (
         lookup(grown, fences, [family])
         .where((F.col(x) > F.col("upper_fence")) & (F.col(f"{x}_growth_pct") > 0))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from prizelens.functions import calendar as cal
 from prizelens.functions import money as m
 from prizelens.functions import text as t
-from prizelens.operators.joins import broadcast_if_small, union_all
+from prizelens.operators.joins import union_all
 from prizelens.operators.rules import first_reason
 from prizelens.session import ensure_checkpoint_dir
 from prizelens.sources.log import (
@@ -106,7 +106,7 @@ def judge_parents(
     """Every log row decoded, with its ``parent_reason`` and its ``gate_reason``."""
     decoded = decode_payload(log, "tournament_json", TOURNAMENT_SCHEMA, "t")
     decoded = decode_payload(decoded, "placements_json", PLACEMENTS_SCHEMA, "items")
-    joined = decoded.join(broadcast_if_small(config), "game_slug", "left").withColumn(
+    joined = decoded.join(config, "game_slug", "left").withColumn(
         "tournament_name", t.clean_text(F.col("t.tournament_name_raw"))
     )
     judged = joined.withColumn("parent_reason", parent_reason(low, high, first_year))

@@ -805,8 +805,9 @@ def kpi(spark, sf):
     "a39_histogram",
     f"""
     WITH {PARENTS}, v AS (SELECT family, round(log10(1 + pool_cents), 6) AS x FROM parents),
-    b AS (SELECT family, CAST(least(floor(12 * (x - 5) / 3) + 1, 12) AS INTEGER) AS bin, count(*) AS n_rows
-          FROM v WHERE x BETWEEN 5 AND 8 GROUP BY ALL)
+    b AS (SELECT family, CAST(CASE WHEN x < 5.5 THEN 0 WHEN x > 7.5 THEN 13
+                                   ELSE least(floor((x - 5.5) / (CAST(2 AS DOUBLE) / 12)) + 1, 12) END AS INTEGER) AS bin, count(*) AS n_rows
+          FROM v GROUP BY ALL)
     SELECT family, bin, n_rows, round(n_rows / sum(n_rows) OVER (PARTITION BY family) * 100, 6) AS pct_of_family FROM b
     """,
 )
@@ -814,7 +815,7 @@ def histogram(spark, sf):
     rows = parents(spark, sf).select(
         "family", F.round(log10p1(F.col("pool_cents")), 6).alias("x")
     )
-    return rounded(st.histogram_pct(rows, "family", "x", 5.0, 8.0, 12), 6, "pct_of_family")
+    return rounded(st.histogram_pct(rows, "family", "x", 12, 5.5, 7.5), 6, "pct_of_family")
 
 
 @query(

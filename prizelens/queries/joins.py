@@ -87,10 +87,10 @@ def enrich_with_platform_total(spark, sf):
     "j03_monthly_panel",
     f"""
     WITH {PARENTS}, att AS (
-      SELECT l_linestatus AS dummy, o_orderpriority AS family,
+      SELECT o_orderpriority AS family,
              CAST(date_trunc('month', l_shipdate) AS DATE) AS month_start,
              CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS hours
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O' GROUP BY ALL),
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
     platform AS (SELECT month_start, CAST(sum(hours) AS BIGINT) AS platform_hours FROM att GROUP BY ALL),
     money AS (SELECT family, CAST(date_trunc('month', start_date) AS DATE) AS month_start,
         count(*) AS observed_count, count(pool_cents) AS known_pool_count,
@@ -109,11 +109,10 @@ def enrich_with_platform_total(spark, sf):
     """,
 )
 def game_monthly_panel(spark, sf):
-    """Attention = open lines shipped per month; money = orders per month."""
+    """Attention = lines shipped per month; money = orders per month."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     att = (
         table(spark, sf, "lineitem")
-        .where(F.col("l_linestatus") == "O")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(
             F.col("o_orderpriority").alias("family"),

@@ -158,7 +158,7 @@ def strict_dates(spark, sf):
     "p07_rank_number",
     """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-           CASE WHEN raw >= 1 AND raw = floor(raw) THEN CAST(raw AS INTEGER) END AS rank,
+           CASE WHEN raw >= 1 AND raw = floor(raw) THEN CAST(raw AS BIGINT) END AS rank,
            CASE WHEN raw < 1 OR raw <> floor(raw) THEN 'invalid_rank' END AS reason
     FROM (SELECT *, CAST(l_quantity / 2 - 1 AS DECIMAL(20,6)) AS raw FROM lineitem)
     """,
@@ -221,12 +221,14 @@ def extract_usd(spark, sf):
     "p10_displayed_usd",
     """
     SELECT o_orderkey,
-           CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS DECIMAL(18,2)) END AS usd
+           CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS DECIMAL(18,2)) + 0.5 END AS usd
     FROM orders
     """,
 )
 def displayed_usd(spark, sf):
-    raw = F.concat(F.lit("$ "), F.col("o_custkey"))
+    # Some amounts are padded with zeros beyond any fixed prefix.
+    zeros = F.when(F.col("o_orderkey") % 2 == 0, F.repeat(F.lit("0"), 45)).otherwise("")
+    raw = F.concat(F.lit("$ "), zeros, F.col("o_custkey"), F.lit(".50"))
     return table(spark, sf, "orders").select(
         "o_orderkey",
         m.displayed_usd(

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prizelens.sources.tables import western_marks
+
 PAGE_META = "source_url string, crawled_at string"
 
 
@@ -43,9 +45,12 @@ def read_pages(
         .json(meta or pages)
         .withColumn("page_id", key(F.col("_metadata.file_path")))
     )
+    text = F.col("content").cast("string")
+    western = F.translate(F.decode("content", "ISO-8859-1"), *western_marks())
     return content.join(described, "page_id").select(
         "page_id",
         F.col("source_url").alias("url"),
         "crawled_at",
-        F.decode("content", "UTF-8").alias("html"),
+        # Page by page: bytes that are not UTF-8 are read as Western text.
+        F.when(F.is_valid_utf8(text), text).otherwise(western).alias("html"),
     )

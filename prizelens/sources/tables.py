@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from prizelens.operators.joins import require_columns
 WESTERN = "windows-1252"
 
 
-def _western_marks() -> tuple[str, str]:
+def western_marks() -> tuple[str, str]:
     """The characters where windows-1252 differs from ISO-8859-1, and their meaning."""
     read, meant = "", ""
     for code in range(0x80, 0xA0):
@@ -25,23 +27,35 @@ def _western_marks() -> tuple[str, str]:
 
 def read_table(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: StructType | str | None = None,
     fmt: str = "csv",
     encoding: str = "UTF-8",
     required: list[str] | None = None,
+    multi_line: bool = False,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Scan a table with a declared schema.
 
     CSV: header row, columns matched by name, byte-order mark dropped, and only
-    empty text is null, so a code such as ``NA`` survives. ``encoding`` is chosen
-    per path (``windows-1252`` where a file is not UTF-8).
+    empty text is null, so a code such as ``NA`` survives. A cell that does not fit
+    stops the scan unless ``mode`` says otherwise. ``multi_line`` reads quoted line
+    breaks, at the price of one task per file. ``encoding`` holds for all of ``path``
+    unless it is ``auto``: then each file is read by its own (``windows-1252`` where it
+    is not UTF-8).
     """
+    if encoding == "auto":
+        parts = [
+            read_table(spark, files, schema, fmt, name, required, multi_line, mode)
+            for name, files in file_encodings(spark, path).items()
+        ]
+        return reduce(lambda a, b: a.unionByName(b), parts)
     western = encoding == WESTERN
     reader = spark.read
     if fmt == "csv":
         reader = reader.options(
-            header=True, enforceSchema=False, nullValue="", multiLine=False,
+            header=True, enforceSchema=False, nullValue="", multiLine=multi_line, mode=mode,
+            escape='"',
             encoding="ISO-8859-1" if western else encoding,
         )
     if schema is not None:
@@ -49,7 +63,7 @@ def read_table(
     df = reader.format(fmt).load(path)
     if western:
         texts = [f.name for f in df.schema.fields if f.dataType == StringType()]
-        df = df.withColumns({c: F.translate(c, *_western_marks()) for c in texts})
+        df = df.withColumns({c: F.translate(c, *western_marks()) for c in texts})
     return require_columns(df, required) if required else df
 
 
@@ -63,6 +77,17 @@ def readable_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if broken.isEmpty() else WESTERN
 
 
+def file_encodings(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """The files of ``path`` by encoding; tested line by line on the executors."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok")
+    )
+    found: dict[str, list[str]] = {}
+    for row in lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).orderBy("file").collect():
+        found.setdefault("UTF-8" if row.ok else WESTERN, []).append(row.file)
+    return found or {"UTF-8": path if isinstance(path, list) else [path]}
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty ``loc`` texts of an XML url list; the namespace is ignored."""
     rows = (
