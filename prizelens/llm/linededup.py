@@ -146,8 +146,12 @@ def repeated_places(slim: DataFrame) -> DataFrame:
     )
     place = F.struct("doc_id", "tag", "start")
     # The first place of every text that repeats; grouping by the bytes compares them.
-    first = parts.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
-    later = parts.join(first.drop("c"), "bytes").where(~place.eqNullSafe(F.col("first")))
+    # Stored, so that the join deals both sides anew and can split a hot passage.
+    first = stored(
+        parts.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("c"))
+        .where("c > 1").drop("c"), "first-places",
+    )
+    later = parts.join(first, "bytes").where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tag").agg(
         F.collect_list(F.struct("start", "n")).alias("spans")
     )
