@@ -9,13 +9,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    StandardScaler,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+    VectorSlicer,
+)
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prizelens.functions.money import clip_zero
 from prizelens.operators.joins import union_all
+from prizelens.operators.quantiles import exact_quantiles
 from prizelens.operators.scoring import (
     baseline_scores,
     predictions_long,
@@ -41,9 +49,6 @@ MODELS = {
     "linear_regression": "Linear regression",
     "random_forest": "Random forest",
 }
-# Most levels a dummy-coded column may have (they become model columns).
-MAX_LEVELS = 2_000
-
 
 @dataclass(frozen=True)
 class ForestSetting:
@@ -75,56 +80,78 @@ def feature_table(grid: DataFrame, target: str) -> DataFrame:
 
 @dataclass
 class Design:
-    """What was learnt from the fit rows: medians, levels, gap indicators."""
+    """What was learnt from the fit rows: medians, gap indicators, category levels.
+
+    Levels stay inside the indexer and become one sparse vector per category, so their
+    number is not limited; a level that the fit rows do not have is all zeros.
+    """
 
     medians: dict[str, float]
-    levels: dict[str, list[str]]
+    indexer: StringIndexerModel
+    drop_first: bool
     indicators: list[str] = field(default_factory=list)
 
+    @property
+    def levels(self) -> dict[str, tuple[str, ...]]:
+        return dict(zip(CATEGORICAL, self.indexer.labelsArray))
+
+    @property
+    def gaps(self) -> list[str]:
+        return [f"{c}_missing" for c in self.indicators]
+
     @property
     def columns(self) -> list[str]:
-        dummies = [f"{c}_{v}" for c, vs in self.levels.items() for v in vs]
-        return [*self.medians, *[f"{c}_missing" for c in self.indicators], *dummies]
+        first = 1 if self.drop_first else 0
+        dummies = [f"{c}_{v}" for c, vs in self.levels.items() for v in vs[first:]]
+        return [*self.medians, *self.gaps, *dummies]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Filled numbers, indicators and dummies; unseen levels are all zero."""
-        cols = {}
-        for c in self.indicators:
-            cols[f"{c}_missing"] = F.col(c).isNull().cast("double")
-        for c, levels in self.levels.items():
-            for v in levels:
-                cols[f"{c}_{v}"] = F.coalesce(
-                    (F.col(c) == v).cast("double"), F.lit(0.0)
-                )
+        """Filled numbers and indicators."""
+        cols = {f"{c}_missing": F.col(c).isNull().cast("double") for c in self.indicators}
         for c, m in self.medians.items():
             cols[c] = F.coalesce(F.col(c).cast("double"), F.lit(m))
         return df.withColumns(cols)
 
+    def stages(self) -> tuple[list, list[str]]:
+        """Pipeline stages for the categories, and the columns of their vectors."""
+        encoder = OneHotEncoder(
+            inputCols=[f"_ix_{c}" for c in CATEGORICAL],
+            outputCols=[f"_oh_{c}" for c in CATEGORICAL],
+            dropLast=True,  # the last index is that of unseen levels
+        )
+        stages, vectors = [self.indexer, encoder], []
+        for c, levels in self.levels.items():
+            if not self.drop_first:
+                vectors.append(f"_oh_{c}")
+            elif len(levels) > 1:
+                stages.append(
+                    VectorSlicer(
+                        inputCol=f"_oh_{c}", outputCol=f"_cut_{c}", indices=list(range(1, len(levels)))
+                    )
+                )
+                vectors.append(f"_cut_{c}")
+        return stages, vectors
+
 
 def learn_design(fit_rows: DataFrame, drop_first: bool, indicators: bool) -> Design:
-    """One small aggregate per kind: interpolated medians, gaps, category levels."""
-    stats = fit_rows.agg(
-        *[F.percentile(F.col(c), F.lit(0.5)).alias(f"m_{c}") for c in NUMERIC],
-        *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in NUMERIC],
-    ).first()
+    """Exact medians, gaps and category levels of the fit rows."""
+    long = fit_rows.select(
+        F.explode(
+            F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in NUMERIC))
+        ).alias("_x")
+    ).select("_x.name", "_x.value")
+    found = {r["name"]: r["median"] for r in exact_quantiles(long, ["name"], "value", {"median": 0.5}).collect()}
+    gaps = fit_rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in NUMERIC]).first()
     # A feature without any value in the fit rows cannot be filled: it is left out.
-    medians = {c: stats[f"m_{c}"] for c in NUMERIC if stats[f"m_{c}"] is not None}
-    levels = {}
-    for c in CATEGORICAL:
-        rows = (
-            fit_rows.where(F.col(c).isNotNull())
-            .select(c)
-            .distinct()
-            .orderBy(c)
-            .limit(MAX_LEVELS + 1)
-            .collect()
-        )
-        if len(rows) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
-        names = [r[0] for r in rows]
-        levels[c] = names[1:] if drop_first else names
-    missing = [c for c in medians if stats[f"n_{c}"] > 0] if indicators else []
-    return Design(medians, levels, missing)
+    medians = {c: found[c] for c in NUMERIC if c in found}
+    indexer = StringIndexer(
+        inputCols=CATEGORICAL,
+        outputCols=[f"_ix_{c}" for c in CATEGORICAL],
+        stringOrderType="alphabetAsc",
+        handleInvalid="keep",
+    ).fit(fit_rows)
+    missing = [c for c in medians if gaps[c] > 0] if indicators else []
+    return Design(medians, indexer, drop_first, missing)
 
 
 @dataclass
@@ -149,10 +176,10 @@ class Fitted:
 def fit_linear(fit_rows: DataFrame, target: str) -> Fitted:
     """Median fill, dummies without the first level, scaling, least squares."""
     design = learn_design(fit_rows, drop_first=True, indicators=False)
-    numbers = list(design.medians)
-    dummies = [c for c in design.columns if c not in numbers]
+    coded, dummies = design.stages()
     stages = [
-        VectorAssembler(inputCols=numbers, outputCol="_numbers"),
+        *coded,
+        VectorAssembler(inputCols=list(design.medians), outputCol="_numbers"),
         StandardScaler(
             inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True
         ),
@@ -162,7 +189,7 @@ def fit_linear(fit_rows: DataFrame, target: str) -> Fitted:
             labelCol=target,
             predictionCol="_prediction",
             regParam=0.0,
-            solver="normal",
+            solver="auto",
             standardization=False,
         ),
     ]
@@ -174,8 +201,12 @@ def fit_forest(
 ) -> Fitted:
     """Median fill plus gap indicators, full dummies, bagged regression trees."""
     design = learn_design(fit_rows, drop_first=False, indicators=True)
+    coded, dummies = design.stages()
     stages = [
-        VectorAssembler(inputCols=design.columns, outputCol="_features"),
+        *coded,
+        VectorAssembler(
+            inputCols=[*design.medians, *design.gaps, *dummies], outputCol="_features"
+        ),
         RandomForestRegressor(
             featuresCol="_features",
             labelCol=target,
@@ -290,6 +321,7 @@ def run_policies(
             setting = FOREST_GRID[best["candidate_id"] - 1]
         predictions, _, _ = rolling_one_step(featured, target, policy, setting, trees)
         parts.append(predictions)
+        featured.unpersist()
     return union_all(*parts)
 
 

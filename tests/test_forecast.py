@@ -73,3 +73,17 @@ def test_unseen_levels_and_gaps(spark, grid):
     got = fitted.predict(fc.predict_rows_of(rows, "validation"), "p")
     assert got.where("p IS NULL").count() == 0
     assert set(got.columns) == {*rows.columns, "p"}
+
+
+def test_levels_have_no_limit(spark):
+    """3,000 families fit and predict; a family that the fit rows lack is all zeros."""
+    rows = spark.range(6_000).select(
+        F.concat(F.lit("f"), F.col("id") % 3_000).alias("family"),
+        F.lit("1").alias("quarter_of_year"),
+        *((F.col("id") % (7 + i)).cast("double").alias(c) for i, c in enumerate(fc.NUMERIC)),
+        (F.col("id") % 3_000).cast("double").alias("target"),
+    )
+    fitted = fc.fit_forest(rows, "target", fc.FOREST_GRID[0], trees=2)
+    assert len(fitted.design.levels["family"]) == 3_000
+    other = rows.limit(5).withColumn("family", F.lit("unseen"))
+    assert fitted.predict(other, "p").where("p is not null").count() == 5
