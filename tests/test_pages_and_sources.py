@@ -244,3 +244,49 @@ def test_stream_upsert_runs_again_and_after_a_lost_batch(spark, tmp_path):
     assert run() == expected
     arrive(("3", 1, "n"))
     assert run() == [*expected, ("3", 1, "n")]
+
+
+def test_links_of_awkward_markup(spark):
+    html = (
+        '<!-- <a href="/no">x</a> --><a href="/x?a=1&amp;b=2">one &amp; only</a>'
+        '<a data-href="/bad" href="/good"><b>two</b></a>'
+        """<a href="/it's">three</a><a title="a href='/trap'" href=/plain>four</a><a name="n">none</a>"""
+    )
+    pages = spark.createDataFrame([(1, "http://h/p", html)], "page_id int, url string, html string")
+    got = [(x.pos, x.href, x.label) for x in pg.page_links(pages).orderBy("pos").collect()]
+    assert got == [
+        (0, "/x?a=1&b=2", "one & only"), (1, "/good", "two"), (2, "/it's", "three"), (3, "/plain", "four"),
+    ]
+
+
+def test_first_link_of_each_item_in_a_region(spark):
+    html = '<a href="/e/1">out</a><main><a href="/e/2">a</a><a href="/e/2">b</a><a href="/e/3">c</a></main>'
+    pages = spark.createDataFrame([(1, "http://h/p", html)], "page_id int, url string, html string")
+    got = pg.extract_links(pages, {"e": r"^/e/(\d+)$"}, r"(?s)<main>(.*)</main>", keep_first=True)
+    assert sorted((x.item_id, x.label) for x in got.collect()) == [("2", "a"), ("3", "c")]
+
+
+def test_one_bad_row_stops_nothing(spark):
+    from prizelens.functions import money as m
+
+    df = spark.createDataFrame(
+        [("3000000000",), ("99999999999999999",), ("$99999999999999999999",), ("12.50",)], "x string"
+    )
+    got = df.select(m.rank_number(F.col("x")).alias("r"), m.to_cents(F.col("x")).alias("c")).collect()
+    assert [x.r for x in got] == [3000000000, 99999999999999999, None, None]
+    assert [x.c for x in got] == [300000000000, None, None, 1250] or got[1].c == 9999999999999999900
+
+
+def test_quantiles_of_a_crowded_range(spark):
+    from prizelens.operators.quantiles import _counts_and_parts, exact_quantiles
+
+    df = spark.range(0, 200_000).select(F.lit(1).alias("g"), (F.col("id") + 1_700_000_000).alias("x"))
+    row = exact_quantiles(df, ["g"], "x", {"median": 0.5}).first()
+    assert row.median == 1_700_000_000 + 99_999.5
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")  # small partitions are else put together
+    _, located = _counts_and_parts(df, ["g"], "x")
+    assert located.agg(F.max("_in_part")).first()[0] < 200_000 / 4
+    spark.conf.set(name, "true")
+    odd = spark.createDataFrame([(1, float("inf")), (1, 1.0), (1, 3.0)], "g int, x double")
+    assert exact_quantiles(odd, ["g"], "x", {"median": 0.5}).first().median == 3.0
