@@ -136,7 +136,7 @@ def vectors(spark):
             rows.append((n, rng.normal(size=16).tolist(), label, "a", 1))
             n += 1
     for _ in range(150):  # a group of near copies, some of them exact
-        base = np.arange(1, 17) + (rng.normal(size=16) * 0.4 if rng.random() < 0.8 else 0)
+        base = np.arange(1.0, 17.0) + (rng.normal(size=16) * 0.4 if rng.random() < 0.8 else 0)
         rows.append((n, base.tolist(), 1, "a", 1))
         n += 1
     for bad in (None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0]):
