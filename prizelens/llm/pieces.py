@@ -6,7 +6,8 @@ merged length falls below the dropout rate. So the same seed gives the same piec
 machine, another seed or variant gives others, and all decode to the same text.
 
 Texts are cut into units where no piece of the vocabulary reaches across (before spaces
-that follow something else, and around line feeds, which the loader verifies). Each
+that follow something else, around line feeds, between letters and marks; the loader looks
+these up in the vocabulary). Each
 occurrence of a unit draws one of ``VARIANTS`` variants by a keyed hash of the document
 and its place, so a worker can remember the segmentations of frequent units.
 """
@@ -27,10 +28,12 @@ from prizelens.llm.common import worker_memo
 
 VARIANTS = 4
 MEMO_UNITS = 600_000  # a full memo is emptied and fills again; results do not depend on it
+TEXTS = 500  # encoded together
+TOGETHER, SHORT = 4_096, 64  # units segmented side by side, and their length at most
 SPACE = "▁"  # how the vocabulary writes a space
 MASK = (1 << 64) - 1
-UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-PLAIN = re.compile(r" +[^ ]*|[^ ]+")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = ".,;:!?#$%&*|"
 
 
 class Pieces:
@@ -60,8 +63,8 @@ class Pieces:
         if any(" " in t.lstrip(" ") for t in self.ids):
             raise ValueError("a piece reaches across a space")
         self.byte_ids = [byte_ids[b] for b in range(256)]
-        # Line feeds are cut apart only if no longer piece holds one.
-        self.unit = PLAIN if any("\n" in t and len(t) > 1 for t in self.ids) else UNIT
+        self.pair_tables()
+        self.unit = self.unit_pattern()
         self.memo: dict[tuple, list[dict[str, bytes]]] = {}
         self.known = 0
 
@@ -116,33 +119,146 @@ class Pieces:
                     out.append(i)
         return out
 
-    def encode(self, text: str, doc: int, seed: int, dropout: float) -> bytes:
-        """Ids as little-endian 32-bit integers. ``doc`` keys the draws of variants."""
-        if not text:
-            return b""
-        units = self.unit.findall(" " + text)  # the model's dummy prefix
+    def unit_pattern(self) -> re.Pattern:
+        """Cuts before spaces, around line feeds and between a letter and a mark, each
+        only as far as no piece of the vocabulary reaches across."""
+        after_letter = {c for t in self.ids for c in re.findall(f"(?<=[{LETTERS}]).", t, re.S)}
+        marks = "".join(re.escape(c) for c in MARKS if c not in after_letter)
+        words = f" *[{LETTERS}]+(?=[{marks}])|" if marks else ""
+        if any("\n" in t and len(t) > 1 for t in self.ids):
+            return re.compile(words + r" +[^ ]*|[^ ]+")
+        return re.compile(words + r" +[^ \n]*|[^ \n]+|\n")
+
+    def pair_tables(self) -> None:
+        """Symbols by number (pieces, then characters that are none) and what pairs make."""
+        chars = {c for t in self.ids for c in t}
+        number = dict(self.ids)
+        for c in sorted(chars - number.keys()):
+            number[c] = len(self.bytes_of) + len(number) - len(self.ids)
+        self.symbol = number
+        made = {
+            (number[t[:k]] << 32) | number[t[k:]]: (i, -self.scores[t])
+            for t, i in self.ids.items() if len(t) > 1
+            for k in range(1, len(t)) if t[:k] in number and t[k:] in number
+        }
+        self.pair = np.array(sorted(made), np.int64)
+        self.merged = np.array([made[k][0] for k in self.pair.tolist()], np.int64)
+        self.cost = np.array([made[k][1] for k in self.pair.tolist()])
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged symbol and cost of pairs of symbols; infinite where there is none."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        good = (self.pair[at] == key) & (left >= 0) & (right >= 0)
+        return self.merged[at], np.where(good, self.cost[at], np.inf)
+
+    def segment_many(self, units: list[str], keys: np.ndarray, below: int) -> list[bytes]:
+        """``segment`` of many short units side by side: one agenda per row."""
+        n, width = len(units), max(map(len, units))
+        number = self.symbol
+        sym = np.full((n, width + 1), -1, np.int64)
+        for r, u in enumerate(units):
+            sym[r, : len(u)] = [number.get(c, -2) for c in u]
+        start = np.tile(np.arange(width + 1), (n, 1))
+        made, cost = self.pairs(sym[:, :-1], sym[:, 1:])
+        rows, col = np.arange(n), np.arange(width)
+        while len(rows):
+            i = cost.argmin(1)
+            go = np.flatnonzero(cost[np.arange(len(rows)), i] < np.inf)
+            if len(go) < len(rows):  # rows without candidates are done
+                rows, cost, made, i = rows[go], cost[go], made[go], i[go]
+                if not len(rows):
+                    break
+            own = np.arange(len(rows))
+            first = start[rows, i]
+            ends = start[rows, np.minimum(i + 2, width)]
+            if below:
+                h = keys[rows] + first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                h += (ends - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+                skip = ((h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) < below
+                cost[own[skip], i[skip]] = np.inf
+                own, i = own[~skip], i[~skip]
+            if not len(own):
+                continue
+            r = rows[own]
+            take = col + (col > i[:, None])  # drop position i + 1
+            whole = np.concatenate([take, np.full((len(own), 1), width)], 1)
+            new = made[own, i]
+            sym[r] = np.take_along_axis(sym[r], whole, 1)
+            start[r] = np.take_along_axis(start[r], whole, 1)
+            sym[r, i] = new
+            # Costs belong to pairs: the one merged goes, its neighbours are new.
+            short = np.minimum(take, width - 1)
+            cost[own] = np.where(take < width, np.take_along_axis(cost[own], short, 1), np.inf)
+            made[own] = np.take_along_axis(made[own], short, 1)
+            made[own, i], cost[own, i] = self.pairs(new, sym[r, i + 1])
+            at = np.flatnonzero(i > 0)
+            made[own[at], i[at] - 1], cost[own[at], i[at] - 1] = self.pairs(sym[r[at], i[at] - 1], new[at])
+        out, most = [], len(self.bytes_of)
+        size = (sym != -1).sum(1)
+        plain = ((sym < most) & (sym != -2)).all(1)
+        codes = sym.astype("<i4")
+        for r, u in enumerate(units):
+            if plain[r]:
+                out.append(codes[r, : size[r]].tobytes())
+                continue
+            ids: list[int] = []
+            for k in range(size[r]):
+                x = int(sym[r, k])
+                if 0 <= x < most:
+                    ids.append(x)
+                else:
+                    ids += [self.byte_ids[b] for b in u[start[r, k]].encode()]
+            out.append(np.array(ids, "<i4").tobytes())
+        return out
+
+    def learn(self, missing: list[tuple[int, str]], memo: list[dict], seed: int, below: int) -> None:
+        """Segment units that are not remembered, those of like length together."""
+        missing.sort(key=lambda m: len(m[1]))
+        keys = np.fromiter(
+            (xxhash.xxh3_64_intdigest(u.encode(), seed * VARIANTS + v) for v, u in missing),
+            np.uint64, len(missing),
+        )
+        for first in range(0, len(missing), TOGETHER):
+            part = missing[first : first + TOGETHER]
+            units, own = [u for _, u in part], keys[first : first + TOGETHER]
+            if len(units[-1]) <= SHORT:
+                found = self.segment_many(units, own, below)
+            else:
+                found = [
+                    np.array(self.segment(u, int(k), below), "<i4").tobytes() for u, k in zip(units, own)
+                ]
+            for (v, u), ids in zip(part, found):
+                memo[v][u] = ids
+        self.known += len(missing)
+
+    def draws(self, n: int, doc: int, seed: int) -> list[int]:
+        """The variant of each of a document's units."""
+        x = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x += np.uint64(xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True), seed))
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()
+
+    def encode_many(self, texts: list[str], docs: list[int], seed: int, dropout: float) -> list[bytes]:
+        """Ids as little-endian 32-bit integers. ``docs`` key the draws of variants."""
         below = round(dropout * (1 << 32))
+        if self.known >= MEMO_UNITS:
+            self.memo.clear()
+            self.known = 0
         memo = self.memo.setdefault((seed, below), [{} for _ in range(VARIANTS)])
-        if below:
-            x = np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            x += np.uint64(xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True), seed))
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-            variants = ((x >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()
-        else:
-            variants = [0] * len(units)
-        out = []
-        for unit, v in zip(units, variants):
-            ids = memo[v].get(unit)
-            if ids is None:
-                key = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), seed * VARIANTS + v)
-                ids = np.array(self.segment(unit, key, below), "<i4").tobytes()
-                if self.known >= MEMO_UNITS:
-                    self.memo.clear()
-                    memo, self.known = self.memo.setdefault((seed, below), [{} for _ in range(VARIANTS)]), 0
-                memo[v][unit] = ids
-                self.known += 1
-            out.append(ids)
-        return b"".join(out)
+        cut, missing = [], set()
+        for text, doc in zip(texts, docs):
+            units = self.unit.findall(" " + text) if text else []  # the model's dummy prefix
+            draws = self.draws(len(units), doc, seed) if below else [0] * len(units)
+            cut.append((units, draws))
+            missing.update((v, u) for u, v in zip(units, draws) if u not in memo[v])
+        if missing:
+            self.learn(list(missing), memo, seed, below)
+        return [b"".join([memo[v][u] for u, v in zip(units, draws)]) for units, draws in cut]
+
+    def encode(self, text: str, doc: int, seed: int, dropout: float) -> bytes:
+        return self.encode_many([text], [doc], seed, dropout)[0]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode()
@@ -158,16 +274,15 @@ def encode_pieces(path: str, seed: int, dropout: float):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array, keys: pa.Array) -> pa.Array:
         pieces = Pieces.of_worker(path)
-        parts, lengths, valid = [], np.zeros(len(texts), np.int64), []
-        for i, (t, k) in enumerate(zip(texts, keys)):
-            valid.append(t.is_valid)
-            if t.is_valid:
-                code = pieces.encode(t.as_py(), k.as_py() if k.is_valid else -1, seed, dropout)
-                parts.append(code)
-                lengths[i] = len(code) // 4
+        parts: list[bytes] = []
+        for first in range(0, len(texts), TEXTS):
+            some = [t or "" for t in texts.slice(first, TEXTS).to_pylist()]
+            docs = [-1 if k is None else k for k in keys.slice(first, TEXTS).to_pylist()]
+            parts += pieces.encode_many(some, docs, seed, dropout)
         values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
+        lengths = [len(p) // 4 for p in parts]
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        mask = pa.array([not v for v in valid])
+        mask = texts.is_null()
         return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
 
     return encode
