@@ -43,6 +43,13 @@ HEADLINE = [
     "w09_average_rank",
     "w10_global_rank_of_rows",
     "x01_links",
+    "q02_cleaning_parents",
+    "q06_duplicate_within_parent",
+    "a28_seasonality",
+    "x04_result_rows",
+    "x05_breakdown_rows",
+    "x10_batch_audit",
+    "r1_streaming_upsert",
 ]
 
 

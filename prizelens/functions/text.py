@@ -12,6 +12,12 @@ from pyspark.sql.types import StringType
 # Every code point that Python's ``str.split`` treats as a blank.
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 NON_ASCII = r"[^\x00-\x7F]"
+# Characters that NFC may change or join to others: marks, Hangul letters, and the blocks
+# that hold characters with a canonical form of their own. All others stay as they are.
+MAY_COMPOSE = (
+    r"[\p{M}\u0374\u037E\u0387\u0958-\u0DDF\u0F43-\u0FB9\u1000-\u11FF\u1B00-\u1B4F\u1F00-\u1FFF"
+    r"\u2000-\u2001\u2126\u212A-\u212B\u2329-\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4F\x{10000}-\x{10FFFF}]"
+)
 
 # Page titles that mark an access check instead of content.
 CHALLENGE_TITLES = "just a moment|access denied|attention required"
@@ -33,8 +39,8 @@ def _fold(values: pd.Series) -> pd.Series:
 
 
 def compose(col: Column) -> Column:
-    """Unicode NFC. Pure-ASCII text never reaches Python: it is sent as null."""
-    return F.coalesce(_compose(F.when(col.rlike(NON_ASCII), col)), col)
+    """Unicode NFC. Text that NFC cannot change never reaches Python: it is sent as null."""
+    return F.coalesce(_compose(F.when(col.rlike(MAY_COMPOSE), col)), col)
 
 
 def squeeze(col: Column) -> Column:

@@ -547,17 +547,11 @@ def identity_summary(df: DataFrame, parent: str, status: str) -> DataFrame:
 
 
 def run_summary(df: DataFrame, code: str) -> DataFrame:
-    """One row: number of rows and a map from code to rows (a fixed vocabulary)."""
-    return (
-        df.groupBy(code)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .agg(
-            F.sum("_n").alias("n_rows"),
-            F.map_from_entries(
-                F.array_sort(F.collect_list(F.struct(F.col(code), F.col("_n"))))
-            ).alias("rows_by_code"),
-        )
+    """Rows per code, and one row without code for all (``is_total``)."""
+    out = df.groupingSets([[code], []], code).agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.grouping(code) == 1).alias("is_total")
     )
+    return out.select(code, "is_total", "n_rows")
 
 
 def discovery_coverage(
@@ -616,21 +610,13 @@ def section_profile(df: DataFrame, section: str, event: str, item: str) -> DataF
 
 
 def consolidate_urls(df: DataFrame, url: str, source: str) -> DataFrame:
-    """One row per URL with its sources in order; repeats are removed first."""
-    return (
-        df.groupBy(url, source)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy(url)
-        .agg(
-            F.sum("_n").alias("observations"),
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(source)), lambda s: s.cast("string")
-                ),
-                " | ",
-            ).alias("sources"),
-        )
+    """One row per URL and source: its observations, those of the URL, and the number of
+    sources the URL has. A URL of any number of sources is rows, never one cell."""
+    pairs = df.groupBy(url, source).agg(F.count(F.lit(1)).alias("observations"))
+    urls = pairs.groupBy(url).agg(
+        F.sum("observations").alias("url_observations"), F.count(F.lit(1)).alias("n_sources")
     )
+    return lookup(pairs, urls, [url], "inner")
 
 
 def kpi_rows(df: DataFrame, section: str, family: str, metrics: dict[str, tuple[str, str]]):

@@ -770,18 +770,12 @@ def absent_periods(spark, sf):
 @query(
     "a37_run_summary",
     """
-    SELECT count(*) AS n_rows,
-      (SELECT string_agg(s || '=' || n, ', ' ORDER BY s) FROM (
-         SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL)) AS rows_by_code FROM orders
+    SELECT o_orderstatus, false AS is_total, count(*) AS n_rows FROM orders GROUP BY ALL
+    UNION ALL SELECT NULL, true, count(*) FROM orders
     """,
 )
 def run_summary(spark, sf):
-    out = st.run_summary(table(spark, sf, "orders"), "o_orderstatus")
-    pairs = F.transform(
-        F.array_sort(F.map_entries("rows_by_code")),
-        lambda e: F.concat(e["key"], F.lit("="), e["value"]),
-    )
-    return out.withColumn("rows_by_code", F.array_join(pairs, ", "))
+    return st.run_summary(table(spark, sf, "orders"), "o_orderstatus")
 
 
 @query(
@@ -874,15 +868,14 @@ def section_profile(spark, sf):
 @query(
     "a43_url_consolidation",
     """
-    SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, count(*) AS observations,
-           string_agg(DISTINCT substr(url, 1, 8), ' | ' ORDER BY substr(url, 1, 8)) AS sources
-    FROM pages GROUP BY ALL
+    WITH p AS (SELECT '/user/' || user_id AS url, event_type AS source, count(*) AS observations FROM events GROUP BY ALL)
+    SELECT *, CAST(sum(observations) OVER (PARTITION BY url) AS BIGINT) AS url_observations,
+           count(*) OVER (PARTITION BY url) AS n_sources FROM p
     """,
 )
 def url_consolidation(spark, sf):
-    from prizelens.functions.urls import host
-
-    rows = table(spark, sf, "pages").select(
-        host(F.col("url")).alias("host"), F.substring("url", 1, 8).alias("start")
+    """The page of a user, as seen by each kind of event."""
+    rows = table(spark, sf, "events").select(
+        F.concat(F.lit("/user/"), F.col("user_id")).alias("url"), F.col("event_type").alias("source")
     )
-    return st.consolidate_urls(rows, "host", "start")
+    return st.consolidate_urls(rows, "url", "source")

@@ -115,3 +115,17 @@ def test_labels(spark):
     assert got == ["n", "z", "p", "z"]
     clipped = values(spark, [-1.0, None, 2.0], m.clip_zero(F.col("v")), "v double")
     assert clipped == [0.0, None, 2.0]
+
+
+def test_text_outside_the_gate_is_in_normal_form():
+    import unicodedata
+
+    import regex
+
+    from prizelens.functions.text import MAY_COMPOSE
+
+    gate = regex.compile(MAY_COMPOSE.replace("\\x{10000}-\\x{10FFFF}", "\\U00010000-\\U0010FFFF"))
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
+        if not gate.match(c):
+            for base in ("a", "A", "e", "\u0915", "\u1100", "\uac00"):
+                assert unicodedata.is_normalized("NFC", base + c), hex(ord(c))
