@@ -29,7 +29,8 @@ from prizelens.llm.components import components
 
 SIDE, WIDTH = 8, 2
 HEADS = 4  # compared with an entry at a time, after the first
-SMALL = 32  # members of an entry whose pairs are compared at once
+SMALL = 32  # members of an entry whose pairs are compared at once; four times as many
+# with every turn, so that the turns stay few
 SEED = 20_240
 ROWS_AT_ONCE = 16_384  # shingles hashed at once, which bounds a task's memory
 MANY = 0xFF51AFD7ED558CCD  # odd multiplier
@@ -190,14 +191,14 @@ def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> D
         if chosen.isEmpty():
             return labels
         together = members.join(chosen, "key")
-        small = F.lit(turn > 0) & (F.col("size") <= SMALL)
+        small = F.lit(turn > 0) & (F.col("size") <= SMALL * 4 ** max(0, turn - 1))
         stars = ordered_pairs(together.where(~small).withColumn("h", F.explode("heads")), percent)
         few = together.where(small).select("key", "nid", "n", "comp")
         other = few.select(F.col("key").alias("_k"), F.struct("nid", "n", "comp").alias("h"))
-        # Entries of at most SMALL members are settled at once, pair by pair.
-        all_of_few = ordered_pairs(
-            few.join(other, F.col("key") == F.col("_k")).where("nid > h.nid"), percent
-        )
+        # Small entries are settled at once, pair by pair.
+        both = (F.col("key") == F.col("_k")) & (F.col("nid") > F.col("h.nid"))
+        both = both & (F.col("comp") != F.col("h.comp")) & similar_sizes(percent, "n", "h.n")
+        all_of_few = ordered_pairs(few.join(other, both), percent)
         pairs = stars if turn == 0 else stars.union(all_of_few).distinct()
         merged = components(verified(pairs, sets, percent))
         moved = merged.select(F.col("id").alias("_id"), "component")
