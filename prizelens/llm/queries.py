@@ -45,7 +45,49 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-@query("op9_quality_rules")
+QUALITY_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+tri AS (SELECT rid, i, ws[i : i + 2] AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (
+          SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM tri
+          QUALIFY count(*) OVER (PARTITION BY rid, k) > 1) GROUP BY rid),
+m AS (SELECT rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines,
+             coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+s AS (SELECT rid, lang, source, measure, least_spread,
+             (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS bucket, v
+      FROM (SELECT rid, lang, source, unnest([
+              {'measure': 'symbol_share', 'least_spread': 40, 'v': CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END},
+              {'measure': 'dup_line_share', 'least_spread': 50, 'v': CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END},
+              {'measure': 'repeat_share', 'least_spread': 50, 'v': CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END},
+              {'measure': 'word_length', 'least_spread': 500, 'v': CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END}
+            ], recursive := true) FROM b WHERE NOT base_failed)),
+g AS (SELECT lvl, lang, source, measure, least_spread, bucket, count(*) AS n FROM (
+        SELECT 1 AS lvl, lang, source, measure, least_spread, bucket FROM s
+        UNION ALL SELECT 2, lang, NULL, measure, least_spread, bucket FROM s
+        UNION ALL SELECT 3, NULL, NULL, measure, least_spread, bucket FROM s) GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, measure ORDER BY bucket) AS upto,
+             sum(n) OVER (PARTITION BY lvl, lang, source, measure) AS rows_ FROM g),
+q AS (SELECT lvl, lang, source, measure, any_value(least_spread) AS least_spread, max(rows_) AS rows_,
+             min(bucket) FILTER (100 * upto >= 25 * rows_) AS q25, min(bucket) FILTER (100 * upto >= 75 * rows_) AS q75
+      FROM u GROUP BY ALL),
+f AS (SELECT *, q75 + 8 * greatest(q75 - q25, least_spread) AS fence FROM q),
+verdict AS (SELECT s.rid, bool_and(s.v <= CASE WHEN a.rows_ >= 200 THEN a.fence WHEN l.rows_ >= 200 THEN l.fence ELSE c.fence END) AS inside
+  FROM s JOIN f a ON a.lvl = 1 AND a.measure = s.measure AND a.lang IS NOT DISTINCT FROM s.lang AND a.source IS NOT DISTINCT FROM s.source
+         JOIN f l ON l.lvl = 2 AND l.measure = s.measure AND l.lang IS NOT DISTINCT FROM s.lang
+         JOIN f c ON c.lvl = 3 AND c.measure = s.measure GROUP BY s.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       base_failed, NOT base_failed AND coalesce(inside, false) AS kept
+FROM b LEFT JOIN verdict USING (rid)
+"""
+
+
+@query("op9_quality_rules", QUALITY_SQL)
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality_verdicts(table(spark, sf, "documents"))
@@ -119,7 +161,17 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op6_embedding_neardup")
+VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r(x, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.x, r.c FROM r JOIN l ON l.y = r.x)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = v.vec_id) AS n_links, c AS component_id, vec_id = c AS kept
+FROM v JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) ON x = vec_id
+"""
+
+
+@query("op6_embedding_neardup", VECTOR_SQL)
 def op6_embedding_neardup(spark: SparkSession, sf: str) -> DataFrame:
     """Links and components of vectors of one label with a cosine of at least 0.98."""
     return linked_vectors(table(spark, sf, "embeddings"))

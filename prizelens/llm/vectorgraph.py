@@ -243,7 +243,7 @@ def found_links(classes: DataFrame, least: float, overlap: int, beam: int) -> Da
     part = F.pmod(F.xxhash64("nid", F.lit(3)), F.lit(1_000_000)) * F.col("n_group")
     centres = cut(
         sized.where(part < SAMPLE * 1_000_000).select("nid", "label", "dim", "embedding", "n_group")
-        .groupBy("label", "dim").applyInPandas(fit_centres, "label int, dim int, centre int, c array<double>")
+        .groupBy("label", "dim").applyInPandas(fit_centres, "label long, dim int, centre int, c array<double>")
     )
     chunks = F.ceil(F.col("n_group") / 20_000).cast("int")
     rows = sized.select("nid", "label", "dim", "embedding", F.pmod(F.xxhash64("nid"), chunks).cast("int").alias("chunk"))
@@ -331,7 +331,7 @@ def linked_vectors(
     null. Other columns are not read; an empty table gives an empty result.
     """
     slim = vectors.select(
-        F.col(key).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"),
+        F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"),
         F.col(embedding).alias("embedding"),
     ).withColumns({
         "ok": F.col("label").isNotNull() & usable(F.col("embedding")),
