@@ -213,7 +213,8 @@ def file_reader(folder: str):
 
 def read_documents(files: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
-    spread = files.select("ordinal", "file").repartitionByRange(F.col("ordinal"))
+    # A task per file: the rows are tiny, so their number must say so.
+    spread = files.select("ordinal", "file").repartitionByRange(max(1, files.count()), "ordinal")
     rows = spread.mapInPandas(file_reader(folder), DOCS)
     # One row per file: a window without a key, bounded by the number of write tasks.
     before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
