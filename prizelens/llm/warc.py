@@ -28,6 +28,7 @@ from prizelens.session import new_run_dir
 FILE_BYTES = 1 << 30  # a file is closed once it holds this much
 GAP_BYTES = 64 << 10  # ranges closer than this are read together
 READ_BYTES = 8 << 20  # and up to this much at once
+TASK_BYTES = 16 << 20  # of archives that a task reads, about
 LEVEL = 6
 INDEX = (
     "file string, offset long, length long, page_id long, url string, digest string,"
@@ -223,7 +224,10 @@ def read_archives(
     Revisits have no payload but the length and digest of the one they refer to. A record
     that does not match its digest stops the job.
     """
-    placed = index.select("file", "offset", "length").repartitionByRange("file", "offset")
+    # Index rows are tiny next to what they name, so the archives' bytes set the tasks.
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = 1 + total // TASK_BYTES
+    placed = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset")
     placed = placed.sortWithinPartitions("file", "offset")
     return placed.mapInPandas(archive_reader(folder, gap, most, payloads), READ)
 
