@@ -5,13 +5,17 @@ Vectors of one label are compared by cosine. Equal vectors are one class, and cl
 1. dealt to overlapping shards: the ``OVERLAP`` nearest of the label's cluster centres
    (fitted on a bounded sample); a shard of many classes falls into blocks by hash;
 2. joined to a graph in each block: every class keeps, of its closest ones, those that no
-   kept one is clearly closer to (robust pruning), and gets edges back;
+   kept one is clearly closer to (robust pruning), some of a pool drawn from the whole
+   block, and gets edges back; parts that stay apart are tied to the block's medoid;
 3. the adjacency lists of a class's blocks are united into one flat graph;
-4. searched: every class looks in the blocks of its nearest shard, greedily from the
-   block's medoid with a beam, then outward over everything found within the range until
-   nothing new turns up. Only what the search visits is compared, in double precision;
-5. audited: on a bounded set of queries the links found are held against all vectors of
-   the label. Below ``RECALL`` the search is repeated with more overlap and a wider beam.
+4. searched: every class looks in the blocks of its nearest shard, greedily with a beam
+   from itself and the closest of a sample of entry points, then outward over everything
+   found within the range until nothing new turns up. Only what the search visits is
+   compared, in double precision;
+5. audited: on a bounded set of queries per label the links found are held against all
+   vectors of the label. A label below ``RECALL``, over its links or as the mean over its
+   queries, is searched again with more overlap and a wider beam; one that stays below is
+   compared in full, chunk by chunk.
 
 A block is bounded, and so is every task; a label, shard or group of near copies of any
 size is many blocks. Links are counted where they are found and leave a block only as a
@@ -20,6 +24,7 @@ spanning forest, so a large group costs rows in proportion to its members.
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +40,9 @@ SHARD_ROWS = 1_000  # classes per centre, before overlap
 BLOCK_ROWS = 3_000
 OVERLAP, BEAM = 3, 16
 DEGREE, POOL, ALPHA = 24, 64, 1.2
+FAR_DEGREE, FAR_POOL = 8, 64  # of the pool drawn from the whole block
+ENTRIES = 64  # entry points per block, besides its medoid
+CHUNK_ROWS = 20_000  # classes compared in full at once
 QUERIES_AT_ONCE = 256
 AUDIT_QUERIES = 200  # per label
 RECALL = 0.999
@@ -83,19 +91,40 @@ def shard_chooser(overlap: int):
     return choose
 
 
-def pruned(v: np.ndarray, node: int, pool: np.ndarray, sims: np.ndarray) -> list[int]:
-    """Robust pruning: neighbours of ``node`` out of ``pool`` (closest first)."""
+def pruned(v: np.ndarray, pool: np.ndarray, sims: np.ndarray, most: int) -> list[int]:
+    """Robust pruning: up to ``most`` neighbours out of ``pool`` (closest first)."""
     apart = 1 - sims
     alive, kept = np.ones(len(pool), bool), []
     for i in range(len(pool)):
         if alive[i]:
             kept.append(int(pool[i]))
-            if len(kept) == DEGREE:
+            if len(kept) == most:
                 break
             alive &= ALPHA * (1 - v[pool] @ v[pool[i]]) > apart
     return kept
 
 
+def medoid(v: np.ndarray) -> int:
+    return int((v @ v.mean(0)).argmax())
+
+
+def tie_parts(lists: list[set[int]], middle: int) -> None:
+    """Edges between ``middle`` and a member of every part it does not reach."""
+    seen = [False] * len(lists)
+    for first in (middle, *range(len(lists))):
+        if seen[first]:
+            continue
+        if first != middle:
+            lists[first].add(middle)
+            lists[middle].add(first)
+        seen[first], left = True, [first]
+        while left:
+            for j in lists[left.pop()]:
+                if not seen[j]:
+                    seen[j] = True
+                    left.append(j)
+
+
 def build_graph(rows: pd.DataFrame) -> pd.DataFrame:
     """Adjacency lists of one block."""
     rows = rows.sort_values("nid")
@@ -103,6 +132,7 @@ def build_graph(rows: pd.DataFrame) -> pd.DataFrame:
     n = len(v)
     lists: list[set[int]] = [set() for _ in range(n)]
     most = min(POOL, n - 1)
+    far = np.random.default_rng(n)
     for start in range(0, n, QUERIES_AT_ONCE):
         sims = v[start : start + QUERIES_AT_ONCE] @ v.T
         for i, row in enumerate(sims):
@@ -110,39 +140,60 @@ def build_graph(rows: pd.DataFrame) -> pd.DataFrame:
             if most:
                 pool = np.argpartition(-row, most - 1)[:most]
                 pool = pool[np.lexsort((pool, -row[pool]))]
-                for j in pruned(v, start + i, pool, row[pool]):
+                wide = np.unique(far.integers(0, n, FAR_POOL))
+                wide = wide[wide != start + i]
+                wide = wide[np.argsort(-row[wide], kind="stable")]
+                near = pruned(v, pool, row[pool], DEGREE) + pruned(v, wide, row[wide], FAR_DEGREE)
+                for j in near:
                     lists[start + i].add(j)
-                    if len(lists[j]) < 2 * DEGREE:
+                    if len(lists[j]) < 2 * (DEGREE + FAR_DEGREE):
                         lists[j].add(start + i)
+    tie_parts(lists, medoid(v))
     return pd.DataFrame({"nid": ids, "near": [ids[sorted(x)].tolist() for x in lists]})
 
 
 class Block:
-    """The united graph on the members of a block."""
+    """The united graph on the members of a block; without lists, the members alone."""
 
     def __init__(self, rows: pd.DataFrame):
         rows = rows.sort_values("nid")
         self.ids, self.v = rows["nid"].to_numpy(), matrix(rows["embedding"])
         self.count = rows["n"].to_numpy()
+        if "near" not in rows:
+            return
         place = {nid: i for i, nid in enumerate(self.ids.tolist())}
         lists = [[place[x] for x in near if x in place] for near in rows["near"]]
         width = max(1, max(map(len, lists)))
         self.near = np.full((len(lists), width), -1)
         for i, x in enumerate(lists):
             self.near[i, : len(x)] = x
-        self.medoid = int((self.v @ self.v.mean(0)).argmax())
+        n = len(lists)
+        drawn = np.random.default_rng(n).choice(n, min(ENTRIES, n), replace=False)
+        self.entries = np.union1d(drawn, [medoid(self.v)])
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> np.ndarray:
-        """Which members each query finds with a cosine of at least ``least``."""
+    def compared(self, q: np.ndarray, least: float) -> np.ndarray:
+        """``within`` by comparing all."""
+        return q @ self.v.T >= least
+
+    def within(self, q: np.ndarray, own: np.ndarray, least: float, beam: int) -> np.ndarray:
+        """Which members each query finds with a cosine of at least ``least``; ``own`` are
+        the ids of the queries, which start from themselves where they are members."""
         k, n = len(q), len(self.v)
         seen, found = np.zeros((k, n), bool), np.zeros((k, n), bool)
         rows = np.arange(k)
-        ids = np.full((k, beam), -1)
-        sims = np.full((k, beam), -np.inf)
+        at = np.minimum(np.searchsorted(self.ids, own), n - 1)
+        starts = np.concatenate([np.tile(self.entries, (k, 1)), at[:, None]], 1)
+        near = np.einsum("ij,ikj->ik", q, self.v[starts])
+        near[:, -1][(self.ids[at] != own) | np.isin(at, self.entries)] = -np.inf
+        who, col = np.nonzero(near > -np.inf)
+        seen[who, starts[who, col]] = True
+        found[who, starts[who, col]] = near[who, col] >= least
+        best = np.argsort(-near, axis=1, kind="stable")[:, :beam]
+        ids, sims = np.full((k, beam), -1), np.full((k, beam), -np.inf)
+        ids[:, : best.shape[1]] = starts[rows[:, None], best]
+        sims[:, : best.shape[1]] = near[rows[:, None], best]
+        ids[sims == -np.inf] = -1
         done = np.zeros((k, beam), bool)
-        ids[:, 0], sims[:, 0] = self.medoid, q @ self.v[self.medoid]
-        seen[:, self.medoid] = True
-        found[:, self.medoid] = sims[:, 0] >= least
         while True:
             open_sims = np.where(done | (ids < 0), -np.inf, sims)
             pick = open_sims.argmax(1)
@@ -188,7 +239,9 @@ class Block:
 FOUND_SQL = "nid long, links long, target long"
 
 
-def searcher(least: float, beam: int):
+def searcher(least: float, beam: int | None):
+    """Search with a beam, or without one by comparing all."""
+
     def search(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         """Per query: the number of vectors found, and links that span what is linked."""
         if not len(queries) or not len(members):
@@ -207,7 +260,8 @@ def searcher(least: float, beam: int):
         out = []
         for start in range(0, len(ids), QUERIES_AT_ONCE):
             part = ids[start : start + QUERIES_AT_ONCE]
-            found = block.within(v[start : start + QUERIES_AT_ONCE], least, beam)
+            some = v[start : start + QUERIES_AT_ONCE]
+            found = block.compared(some, least) if beam is None else block.within(some, part, least, beam)
             found &= block.ids[None, :] != part[:, None]
             for nid, hit in zip(part.tolist(), found):
                 hit = np.flatnonzero(hit)
@@ -293,28 +347,50 @@ def true_counter(least: float):
     return count
 
 
-def audit(classes: DataFrame, links: DataFrame, least: float) -> tuple[int, int]:
-    """Links of up to about ``AUDIT_QUERIES`` classes per label: found, and there."""
+def in_chunks(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``n_group``, their ``chunks`` and the own ``chunk``."""
     groups = classes.groupBy("label", "dim").agg(F.count("*").alias("n_group"))
-    sized = classes.join(groups, ["label", "dim"])
-    chunks = F.ceil(F.col("n_group") / 20_000).cast("int")
-    rows = sized.select(
-        "label", "dim", "nid", "n", "embedding", F.pmod(F.xxhash64("nid"), chunks).cast("int").alias("chunk")
+    sized = classes.join(groups, ["label", "dim"]).withColumn(
+        "chunks", F.ceil(F.col("n_group") / CHUNK_ROWS).cast("int")
     )
+    return sized.withColumn("chunk", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
+
+
+def all_links(classes: DataFrame, least: float) -> DataFrame:
+    """What ``found_links`` gives, by comparing all vectors of a label."""
+    rows = in_chunks(classes)
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    asked = stored(
+        rows.select("label", "dim", F.col("chunk").alias("mine"), every.alias("chunk"), "nid", "embedding"),
+        "vector-queries",
+    )
+    there = rows.select("label", "dim", every.alias("mine"), "chunk", "nid", "embedding", "n")
+    keys = ["label", "dim", "mine", "chunk"]
+    return stored(
+        asked.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(searcher(least, None), FOUND_SQL),
+        "vector-links",
+    )
+
+
+def failed_labels(classes: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """``label, dim`` where up to about ``AUDIT_QUERIES`` classes miss too many links: of
+    all links of the label, or in the mean of its queries."""
+    sized = in_chunks(classes)
+    rows = sized.select("label", "dim", "nid", "n", "embedding", "chunk")
     drawn = F.pmod(F.xxhash64("nid", F.lit(9)), F.lit(1_000_000)) * F.col("n_group") < AUDIT_QUERIES * 1_000_000
     asked = stored(sized.where(drawn).select(
-        "label", "dim", "nid", "embedding", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")
+        "label", "dim", "nid", "embedding", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     ), "vector-audit")
     keys = ["label", "dim", "chunk"]
     there = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(
         true_counter(least), "nid long, links long"
-    ).groupBy("nid").agg(F.sum("links").alias("there"))
+    ).groupBy("nid").agg(F.sum("links").alias("there")).where("there > 0")
     got = links.groupBy("nid").agg(F.sum("links").alias("got"))
-    row = there.join(got, "nid", "left").agg(
-        F.coalesce(F.sum(F.least(F.coalesce("got", F.lit(0)), "there")), F.lit(0)),
-        F.coalesce(F.sum("there"), F.lit(0)),
-    ).first()
-    return row[0], row[1]
+    judged = there.join(got, "nid", "left").join(asked.select("nid", "label", "dim").distinct(), "nid")
+    hit = F.least(F.coalesce("got", F.lit(0)), "there")
+    return judged.groupBy("label", "dim").agg(
+        F.sum(hit).alias("found"), F.sum("there").alias("there"), F.avg(hit / F.col("there")).alias("mean")
+    ).where((F.col("found") < RECALL * F.col("there")) | (F.col("mean") < RECALL)).select("label", "dim")
 
 
 def linked_vectors(
@@ -345,13 +421,20 @@ def linked_vectors(
         "vector-classes",
     )
     plain = classes.select("nid", "label", "dim", "embedding", "n")
+    tries, left = [], plain
     for attempt in range(RETRIES + 1):
-        links = found_links(plain, least, OVERLAP << attempt, BEAM << attempt)
-        found, there = audit(plain, links, least)
-        if found >= RECALL * there:
+        tries.append(found_links(left, least, OVERLAP << attempt, BEAM << attempt))
+        failed = stored(failed_labels(left, tries[-1], least), "vector-failed")
+        left = left.join(failed, ["label", "dim"], "left_semi")
+        if failed.isEmpty():
             break
+    else:
+        tries.append(all_links(left, least))
+    # What any try found is there, so links add up and the largest count is the best.
+    links = reduce(DataFrame.union, tries)
     comps = components(links.where("target is not null").select(F.col("nid").alias("a"), F.col("target").alias("b")))
-    counts = links.groupBy("nid").agg(F.sum("links").alias("others"))
+    counts = reduce(DataFrame.union, (x.groupBy("nid").agg(F.sum("links").alias("others")) for x in tries))
+    counts = counts.groupBy("nid").agg(F.max("others").alias("others"))
     labelled = (
         classes.select("nid", "h1", "h2", "vec_id", "n").join(counts, "nid", "left")
         .join(comps.withColumnRenamed("id", "_n"), F.col("nid") == F.col("_n"), "left")

@@ -5,6 +5,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,29 @@ def test_linked_vectors(vectors):
     assert vectorgraph.linked_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("groups, size, others", [(2, 300, 0), (10, 80, 0), (8, 100, 200), (2, 300, 100)])
+def test_groups_of_near_copies_without_bridges_are_found(groups, size, others):
+    rng = np.random.default_rng(groups)
+    v = np.concatenate([c + 0.01 * rng.normal(size=(size, 32)) for c in rng.normal(size=(groups, 32))])
+    v = np.concatenate([v, rng.normal(size=(others, 32))])
+    rows = pd.DataFrame({"nid": np.arange(len(v)) * 3, "embedding": v.tolist(), "n": 1})
+    members = rows.merge(vectorgraph.build_graph(rows), on="nid")
+    got = vectorgraph.searcher(0.98, 16)(rows, members).groupby("nid")["links"].sum().to_numpy()
+    m = vectorgraph.matrix(rows["embedding"])
+    assert (got == (m @ m.T >= 0.98).sum(1) - 1).all()
+
+
+@pytest.mark.parametrize("found", [True, False])
+def test_labels_whose_links_are_missed_are_compared_in_full(vectors, monkeypatch, found):
+    df, rows = vectors
+    want = sorted(map(str, vectorgraph.linked_vectors(df).collect()))
+    if not found:  # a search that finds nothing
+        monkeypatch.setattr(vectorgraph, "found_links", lambda classes, *_: classes.select(
+            "nid", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("target")))
+    monkeypatch.setattr(vectorgraph, "CHUNK_ROWS", 40)
+    assert sorted(map(str, vectorgraph.linked_vectors(df).collect())) == want
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, before = docs.columns, docs
