@@ -75,10 +75,7 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
     return mixed(acc)
 
 
-SIGNED = pa.schema([
-    ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())),
-])
-SIGNED_SQL = "doc_id long, n long, cls binary, bands array<long>"
+SIGNED_SQL = "n long, cls binary, bands array<long>"
 SETS_SQL = "nid long, shingles array<long>"
 
 
@@ -88,6 +85,7 @@ def digest(shingles: np.ndarray) -> bytes:
 
 def signer(k: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sizes, classes and bands of the texts, behind the other columns."""
         for batch in batches:
             n, cls, bands = [], [], []
             for text in batch.column("text"):
@@ -95,9 +93,10 @@ def signer(k: int):
                 n.append(len(s))
                 cls.append(digest(s) if len(s) else None)
                 bands.append(band_hashes(s).view(np.int64) if len(s) else None)
+            own = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))], schema=SIGNED,
+                [*(batch.column(c) for c in own), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
+                 pa.array(bands, pa.list_(pa.int64()))], names=[*own, "n", "cls", "bands"],
             )
 
     return sign
@@ -214,6 +213,24 @@ def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> D
         turn += 1
 
 
+def signed_classes(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``texts`` with ``n`` and ``cls``, and ``cls, comp, doc_id`` per class.
+
+    ``texts`` has ``doc_id, text`` and may have more whole numbers, which the rows keep;
+    ``doc_id`` of a class is the smallest of its rows.
+    """
+    own = [c for c in texts.columns if c != "text"]
+    columns = ", ".join([*(f"{c} long" for c in own), SIGNED_SQL])
+    signed = stored(texts.mapInArrow(signer(k), columns), "minhash-signatures")
+    # Equal sets have equal bands and sizes.
+    reps = signed.where("n > 0").groupBy("cls").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    )
+    reps = stored(reps.withColumn("nid", F.monotonically_increasing_id()), "minhash-classes")
+    labelled = reps.select("cls", "nid", "doc_id").join(linked_classes(reps, texts, k, percent), "nid")
+    return signed.select(*own, "n", "cls"), labelled.select("cls", "comp", "doc_id")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -228,16 +245,9 @@ def near_duplicates(
     all keys of its component are null. Other columns are not read.
     """
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(texts.mapInArrow(signer(k), SIGNED_SQL), "minhash-signatures")
-    # Equal sets have equal bands and sizes.
-    reps = signed.where("n > 0").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
-    )
-    reps = stored(reps.withColumn("nid", F.monotonically_increasing_id()), "minhash-classes")
-    labelled = reps.select("cls", "nid", "doc_id").join(linked_classes(reps, texts, k, percent), "nid")
+    slim, labelled = signed_classes(texts, k, percent)
     least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     answer = labelled.join(least, "comp").select(F.col("cls").alias("_c"), "component_id")
-    slim = signed.select("doc_id", "n", "cls")
     full = slim.where("n > 0").join(answer, F.col("cls") == F.col("_c")).drop("_c")
     empty = slim.where("n = 0").withColumn("component_id", F.col("doc_id"))
     return full.unionByName(empty).select(
@@ -249,10 +259,23 @@ def near_duplicates(
 def without_near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
-    """One document of each group of near duplicates, with its own columns."""
-    gone = stored(
-        near_duplicates(docs, key, text, k, percent).where(~F.col("kept"))
-        .select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates",
+    """One row of each group of near duplicates, with its own columns.
+
+    Rows are told apart by an id of their own, whatever their keys: of each group, repeated
+    rows included, the row of the smallest key stays (null last). A row without words stays.
+    """
+    rows = stored(docs.select(
+        F.monotonically_increasing_id().alias("_rid"), F.col(key).cast("long").alias("_key"),
+        F.col(text).alias("_text"), F.struct(*(F.col(c) for c in docs.columns if c != text)).alias("_row"),
+    ), "near-duplicate-rows")
+    texts = rows.select(F.col("_rid").alias("doc_id"), F.col("_key").alias("key"), F.col("_text").alias("text"))
+    slim, labelled = signed_classes(texts, k, percent)
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "doc_id")
+    best = (
+        slim.where("n > 0").join(labelled.select(F.col("cls").alias("_c"), "comp"), F.col("cls") == F.col("_c"))
+        .groupBy("comp").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_kept"))
+    )
+    kept = stored(best.union(slim.where("n = 0").select("doc_id")), "near-duplicates-kept")
+    return rows.join(kept, F.col("_rid") == F.col("_kept"), "left_semi").select(
+        *(F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns)
     )
-    packed = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_key"))
-    return packed.join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")

@@ -206,6 +206,19 @@ def test_near_duplicates(docs, nothing, rows, k):
     assert {x.doc_id for x in out.collect()} == {x.doc_id for x in got if x.kept}
 
 
+def test_near_duplicates_go_by_row_and_not_by_key(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    table = [
+        (1, text(1)), (None, text(1) + " more"), (None, text(2)), (None, ""), (None, None),  # one copy among null keys
+        (5, text(3)), (6, text(4)), (6, text(3)),  # a key with two texts, one of them a copy
+        (None, text(5)), (None, text(5)), (7, text(6)), (7, text(6)),  # copies with equal keys
+    ]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = neardup.without_near_duplicates(df)
+    want = [(1, text(1)), (None, text(2)), (None, ""), (None, None), (5, text(3)), (6, text(4)), (None, text(5)), (7, text(6))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_tensored_bands_share_a_table_where_sets_are_similar():
     rng = np.random.default_rng(5)
     missed = 0
