@@ -7,15 +7,22 @@ hashes with different seeds cut every text independently, so that short passages
 are likely to hold a whole chunk. A line of at least ``LONG_WORDS`` words is a passage by
 itself and always a chunk of its own.
 
+Besides, the shortest runs of whole lines that reach ``LONG_WORDS`` words, one from each
+line onward and one from each line back, are chunks. Those of a shared passage lie in it
+and cover it from its first line to its last, so every shared passage of so many words goes
+whole, wherever it stands; the layers find shorter ones.
+
 Chunk hashes are counted over all documents; only chunks whose hash repeats are looked at
-again, by their bytes. Equal bytes keep their first place (smallest key, then position)
-and lose all others. Counting is slim and partially aggregated; a passage that stands in
+again, by a 160-bit digest of their bytes (the runs overlap, so that the bytes themselves
+would be many times the text). Equal ones keep their first place (smallest key, then
+position) and lose all others, but for those that overlap the first. Counting is slim and partially aggregated; a passage that stands in
 a third of all documents is a hot key in partial aggregates and in joins that adaptive
 execution splits, never a group in one task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +45,7 @@ CHUNKS = pa.schema([
     ("start", pa.int32()), ("n", pa.int32()),
 ])
 CHUNKS_SQL = "doc_id long, tag long, hash long, start int, n int"
-PARTS_SQL = "doc_id long, tag long, start int, n int, bytes binary"
+PARTS_SQL = "doc_id long, tag long, start int, n int, digest binary"
 
 
 def chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
@@ -71,9 +78,25 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
         for a, b in zip(begin[good].tolist(), end[good].tolist()):
             if (a, b - a) not in found:
                 found[a, b - a] = xxhash.xxh3_64_intdigest(hashes[a:b].tobytes())
+    for a, b in passages(lines):
+        if (a, b - a) not in found:
+            found[a, b - a] = xxhash.xxh3_64_intdigest(hashes[a:b].tobytes())
     return [(a, n, h) for (a, n), h in found.items()]
 
 
+def passages(lines: list[bytes]) -> list[tuple[int, int]]:
+    """``(start, end)`` of the shortest runs of at least ``LONG_WORDS`` words, from every
+    line with a word onward and back."""
+    k = len(lines)
+    words_to = np.concatenate([[0], np.cumsum([len(x.split()) for x in lines])])
+    filled = np.flatnonzero(np.diff(words_to))
+    end = np.searchsorted(words_to, words_to[filled] + LONG_WORDS)
+    onward = zip(filled[end <= k].tolist(), end[end <= k].tolist())
+    last = filled[words_to[filled + 1] >= LONG_WORDS] + 1
+    start = np.searchsorted(words_to, words_to[last] - LONG_WORDS, side="right") - 1
+    return sorted({*onward, *zip(start.tolist(), last.tolist())})
+
+
 def text_lines(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
@@ -95,18 +118,19 @@ def find_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def take_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted chunks of each document."""
+    """Digests of the wanted chunks of each document."""
     for batch in batches:
         rows = []
         for d, t, text, wanted in zip(*(batch.column(c) for c in ("doc_id", "tag", "text", "wanted"))):
             lines = text_lines(text.as_py())
             for w in wanted.as_py():
                 part = b"\n".join(lines[w["start"] : w["start"] + w["n"]])
-                rows.append((d.as_py(), t.as_py(), w["start"], w["n"], part))
+                digest = hashlib.blake2b(part, digest_size=20).digest()
+                rows.append((d.as_py(), t.as_py(), w["start"], w["n"], digest))
         cols = list(zip(*rows)) or [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "tag", "start", "n", "bytes"]
+            [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "tag", "start", "n", "digest"]
         )
 
 
@@ -145,13 +169,17 @@ def repeated_places(slim: DataFrame) -> DataFrame:
         .mapInArrow(take_parts, PARTS_SQL), "repeated-chunks",
     )
     place = F.struct("doc_id", "tag", "start")
-    # The first place of every text that repeats; grouping by the bytes compares them.
+    # The first place of every text that repeats.
     # Stored, so that the join deals both sides anew and can split a hot passage.
     first = stored(
-        parts.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("c"))
+        parts.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("c"))
         .where("c > 1").drop("c"), "first-places",
     )
-    later = parts.join(first, "bytes").where(~place.eqNullSafe(F.col("first")))
+    overlaps = (
+        F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("tag").eqNullSafe(F.col("first.tag"))
+        & (F.col("start") < F.col("first.start") + F.col("n"))
+    )
+    later = parts.join(first, "digest").where(~overlaps)
     return later.groupBy("doc_id", "tag").agg(
         F.collect_list(F.struct("start", "n")).alias("spans")
     )
@@ -160,8 +188,8 @@ def repeated_places(slim: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its repeated passages, and ``n_lines``, ``n_removed``.
 
-    Removed are the lines of chunks of at least two lines with words (or of one line of
-    50 words) whose bytes stand earlier: in a document of smaller key (null first), or
+    Removed are the lines of every passage of whole lines and at least 50 words, and of
+    shorter chunks of at least two lines with words, that stands earlier: in a document of smaller key (null first), or
     further up in the same one. Rows that repeat both key and text are one document in
     this and keep or lose the same lines. A null text stays null and counts one line; an
     empty text has nothing to lose. Columns that are named like the new ones are replaced.

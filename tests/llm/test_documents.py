@@ -266,6 +266,33 @@ def test_shared_passages_are_cut_alike_and_go(spark):
     assert got[6].n_removed == 0 and got[7].text == texts[7][1]
 
 
+@pytest.mark.parametrize("n_lines, n_words", [(2, 26), (3, 18), (4, 13), (7, 27), (55, 1)])
+def test_passages_of_few_lines_go_whole(spark, n_lines, n_words):
+    rng = random.Random(n_lines)
+    line = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    texts, want = [], {}
+    for i in range(20):  # pairs of documents that share one passage amid other lines
+        passage = [line(n_words) for _ in range(n_lines)]
+        for j in (0, 1):
+            head, tail = [line(9)] * rng.randint(1, 3), [line(8)] * rng.randint(1, 3)
+            texts.append((2 * i + j, "\n".join(head + passage + tail)))
+            want[2 * i + j] = (n_lines if j else 0, passage)
+    got = linededup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    for x in got:
+        removed, passage = want[x.doc_id]
+        assert x.n_removed >= removed and ("\n".join(passage) in x.text) == (removed == 0)
+        assert removed == 0 or not set(passage) & set(x.text.split("\n"))
+
+
+def test_a_repeated_line_keeps_one_passage(spark):
+    texts = [(1, "\n".join(["word"] * 120)), (2, "\n".join(["word"] * 119))]
+    spans = linededup.repeated_places(spark.createDataFrame(
+        [(i, i, t) for i, t in texts], "doc_id long, tag long, text string"
+    )).collect()
+    gone = {x.doc_id: {i for s in x.spans for i in range(s.start, s.start + s.n)} for x in spans}
+    assert len(gone[2]) == 119 and not gone[1] & {0, 1}
+
+
 def test_pieces(docs, nothing, rows):
     model = Pieces(PIECES)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
