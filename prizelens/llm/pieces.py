@@ -1,15 +1,17 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 The agenda of candidate merges is worked off by score as the library does, but a candidate
-is skipped when a keyed hash of the seed, the variant, the text unit, the place and the
-merged length falls below the dropout rate. So the same seed gives the same pieces on any
-machine, another seed or variant gives others, and all decode to the same text.
+is skipped when a keyed hash of the seed, the document, the place of the text unit in it,
+the place of the candidate and the merged length falls below the dropout rate. So the same
+seed gives the same pieces on any machine, every occurrence of a unit draws afresh, and all
+decode to the same text.
 
 Texts are cut into units where no piece of the vocabulary reaches across (before spaces
 that follow something else, around line feeds, between letters and marks; the loader looks
-these up in the vocabulary). Each
-occurrence of a unit draws one of ``VARIANTS`` variants by a keyed hash of the document
-and its place, so a worker can remember the segmentations of frequent units.
+these up in the vocabulary).
+A worker remembers forms of a unit by the candidates that they skip: an occurrence starts
+at the form that skips none, hashes the merges that led to it, and goes on to the form that
+also skips the first of them that it must. Beyond ``DEPTH`` skips it is segmented by itself.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from prizelens.llm.common import worker_memo
 
-VARIANTS = 4
+DEPTH = 2  # skips that remembered forms have at most
+AT_ONCE = 100_000  # occurrences worked on together, which bounds a task's memory
 MEMO_UNITS = 600_000  # a full memo is emptied and fills again; results do not depend on it
 TEXTS = 500  # encoded together
 TOGETHER, SHORT = 4_096, 64  # units segmented side by side, and their length at most
@@ -36,6 +39,17 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = ".,;:!?#$%&*|"
 
 
+LENGTHS = 2 * SHORT  # a candidate's code is its place times this, plus its length
+
+
+def skipped(keys: np.ndarray, codes: np.ndarray, below: int) -> np.ndarray:
+    """Which candidates their keys skip, as in ``Pieces.segment``."""
+    h = keys + (codes // LENGTHS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h += (codes % LENGTHS).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) < below
+
+
 class Pieces:
     """A BPE model with byte fallback; spaces are kept as spaces inside."""
 
@@ -65,8 +79,7 @@ class Pieces:
         self.byte_ids = [byte_ids[b] for b in range(256)]
         self.pair_tables()
         self.unit = self.unit_pattern()
-        self.memo: dict[tuple, list[dict[str, bytes]]] = {}
-        self.known = 0
+        self.forget()
 
     @classmethod
     def of_worker(cls, path: str) -> Pieces:
@@ -75,6 +88,15 @@ class Pieces:
             memo[path] = cls(path)
         return memo[path]
 
+    def forget(self) -> None:
+        """Empty the memo. Form 0 stands for units that are not remembered."""
+        self.root: dict[str, int] = {}
+        self.child: dict[int, int] = {}  # of a form and the place of a merge among its own
+        self.forms: list[bytes] = [b""]
+        self.origin: list[tuple[str, tuple[int, ...]]] = [("", ())]  # unit and skips
+        self.first, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.merges = np.zeros(0, np.int64)
+
     def segment(self, unit: str, key: int, below: int) -> list[int]:
         """Ids of one unit; candidates whose hash with ``key`` is under ``below`` are skipped."""
         scores, symbols, n = self.scores, list(unit), len(unit)
@@ -152,8 +174,14 @@ class Pieces:
         good = (self.pair[at] == key) & (left >= 0) & (right >= 0)
         return self.merged[at], np.where(good, self.cost[at], np.inf)
 
-    def segment_many(self, units: list[str], keys: np.ndarray, below: int) -> list[bytes]:
-        """``segment`` of many short units side by side: one agenda per row."""
+    def segment_many(
+        self, units: list[str], keys: np.ndarray | None, below: int, skips: np.ndarray | None = None,
+    ) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """``segment`` of many short units side by side: one agenda per row.
+
+        With ``skips`` (codes of candidates per row) these are skipped instead. Besides the
+        ids: the codes of the merges made, row after row, and their number per row.
+        """
         n, width = len(units), max(map(len, units))
         number = self.symbol
         sym = np.full((n, width + 1), -1, np.int64)
@@ -161,7 +189,7 @@ class Pieces:
             sym[r, : len(u)] = [number.get(c, -2) for c in u]
         start = np.tile(np.arange(width + 1), (n, 1))
         made, cost = self.pairs(sym[:, :-1], sym[:, 1:])
-        rows, col = np.arange(n), np.arange(width)
+        rows, col, trail = np.arange(n), np.arange(width), []
         while len(rows):
             i = cost.argmin(1)
             go = np.flatnonzero(cost[np.arange(len(rows)), i] < np.inf)
@@ -172,13 +200,14 @@ class Pieces:
             own = np.arange(len(rows))
             first = start[rows, i]
             ends = start[rows, np.minimum(i + 2, width)]
-            if below:
-                h = keys[rows] + first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                h += (ends - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-                skip = ((h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) < below
-                cost[own[skip], i[skip]] = np.inf
-                own, i = own[~skip], i[~skip]
+            code = first * LENGTHS + ends - first
+            if skips is not None:
+                skip = (skips[rows] == code[:, None]).any(1)
+            else:
+                skip = skipped(keys[rows], code, below) if below else np.zeros(len(rows), bool)
+            cost[own[skip], i[skip]] = np.inf
+            own, i = own[~skip], i[~skip]
+            trail.append((rows[own], code[~skip]))
             if not len(own):
                 continue
             r = rows[own]
@@ -211,51 +240,95 @@ class Pieces:
                 else:
                     ids += [self.byte_ids[b] for b in u[start[r, k]].encode()]
             out.append(np.array(ids, "<i4").tobytes())
+        made_by = np.concatenate([t[0] for t in trail] or [np.zeros(0, np.int64)])
+        codes = np.concatenate([t[1] for t in trail] or [np.zeros(0, np.int64)])
+        return out, codes[np.argsort(made_by, kind="stable")], np.bincount(made_by, minlength=n)
+
+    def learn(self, wanted: list[tuple[str, tuple[int, ...]]]) -> list[int]:
+        """Remember the forms of short units with their skips, those of like length together."""
+        order = sorted(range(len(wanted)), key=lambda k: len(wanted[k][0]))
+        numbers = [0] * len(wanted)
+        merges, counts = [self.merges], [self.count]
+        for at in range(0, len(order), TOGETHER):
+            part = [wanted[k] for k in order[at : at + TOGETHER]]
+            skips = np.array([s + (-1,) * (DEPTH - len(s)) for _, s in part], np.int64)
+            found, codes, count = self.segment_many([u for u, _ in part], None, 0, skips)
+            for k, number in zip(order[at : at + TOGETHER], range(len(self.forms), len(self.forms) + len(part))):
+                numbers[k] = number
+            self.forms += found
+            self.origin += part
+            merges.append(codes)
+            counts.append(count)
+        self.merges, self.count = np.concatenate(merges), np.concatenate(counts)
+        self.first = np.cumsum(self.count) - self.count
+        return numbers
+
+    def alone(self, units: list[str], keys: np.ndarray, below: int) -> list[bytes]:
+        """Occurrences that are not remembered."""
+        out = [b""] * len(units)
+        order = sorted(range(len(units)), key=lambda k: len(units[k]))
+        for at in range(0, len(order), TOGETHER):
+            part = order[at : at + TOGETHER]
+            if len(units[part[-1]]) <= SHORT:
+                found = self.segment_many([units[k] for k in part], keys[part], below)[0]
+            else:
+                found = [np.array(self.segment(units[k], int(keys[k]), below), "<i4").tobytes() for k in part]
+            for k, ids in zip(part, found):
+                out[k] = ids
         return out
 
-    def learn(self, missing: list[tuple[int, str]], memo: list[dict], seed: int, below: int) -> None:
-        """Segment units that are not remembered, those of like length together."""
-        missing.sort(key=lambda m: len(m[1]))
-        keys = np.fromiter(
-            (xxhash.xxh3_64_intdigest(u.encode(), seed * VARIANTS + v) for v, u in missing),
-            np.uint64, len(missing),
-        )
-        for first in range(0, len(missing), TOGETHER):
-            part = missing[first : first + TOGETHER]
-            units, own = [u for _, u in part], keys[first : first + TOGETHER]
-            if len(units[-1]) <= SHORT:
-                found = self.segment_many(units, own, below)
-            else:
-                found = [
-                    np.array(self.segment(u, int(k), below), "<i4").tobytes() for u, k in zip(units, own)
-                ]
-            for (v, u), ids in zip(part, found):
-                memo[v][u] = ids
-        self.known += len(missing)
-
-    def draws(self, n: int, doc: int, seed: int) -> list[int]:
-        """The variant of each of a document's units."""
+    def occurrences(self, units: list[str], keys: np.ndarray, below: int) -> list[bytes]:
+        """The ids of units, each with its own key."""
+        if len(self.forms) >= MEMO_UNITS:
+            self.forget()
+        new = [u for u in dict.fromkeys(units) if len(u) <= SHORT and u not in self.root]
+        self.root.update(zip(new, self.learn([(u, ()) for u in new])))
+        form = np.fromiter((self.root.get(u, 0) for u in units), np.int64, len(units))
+        alone, left = np.flatnonzero(form == 0), np.arange(len(units))
+        for depth in range(DEPTH + 1 if below else 0):
+            count = self.count[form[left]]
+            who = np.repeat(np.arange(len(left)), count)
+            place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+            codes = self.merges[self.first[form[left]][who] + place]
+            hit = np.flatnonzero(skipped(keys[left][who], codes, below))
+            who, at = np.unique(who[hit], return_index=True)  # the first of each
+            left, place = left[who], place[hit[at]]
+            if depth == DEPTH:
+                alone = np.concatenate([alone, left])
+                break
+            steps, back = np.unique(form[left] * SHORT + place, return_inverse=True)
+            missing = [x for x in steps.tolist() if x not in self.child]
+            wanted = []
+            for x in missing:
+                unit, skips = self.origin[x // SHORT]
+                wanted.append((unit, (*skips, int(self.merges[self.first[x // SHORT] + x % SHORT]))))
+            self.child.update(zip(missing, self.learn(wanted)))
+            form[left] = np.array([self.child[x] for x in steps.tolist()], np.int64)[back]
+        out = [self.forms[f] for f in form.tolist()]
+        for k, ids in zip(alone.tolist(), self.alone([units[k] for k in alone], keys[alone], below)):
+            out[k] = ids
+        return out
+
+    def draws(self, n: int, doc: int, seed: int) -> np.ndarray:
+        """The key of each of a document's units."""
         x = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x += np.uint64(xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True), seed))
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        return ((x >> np.uint64(40)) % np.uint64(VARIANTS)).tolist()
+        for _ in range(2):
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
 
     def encode_many(self, texts: list[str], docs: list[int], seed: int, dropout: float) -> list[bytes]:
-        """Ids as little-endian 32-bit integers. ``docs`` key the draws of variants."""
+        """Ids as little-endian 32-bit integers. ``docs`` key the draws."""
         below = round(dropout * (1 << 32))
-        if self.known >= MEMO_UNITS:
-            self.memo.clear()
-            self.known = 0
-        memo = self.memo.setdefault((seed, below), [{} for _ in range(VARIANTS)])
-        cut, missing = [], set()
-        for text, doc in zip(texts, docs):
-            units = self.unit.findall(" " + text) if text else []  # the model's dummy prefix
-            draws = self.draws(len(units), doc, seed) if below else [0] * len(units)
-            cut.append((units, draws))
-            missing.update((v, u) for u, v in zip(units, draws) if u not in memo[v])
-        if missing:
-            self.learn(list(missing), memo, seed, below)
-        return [b"".join([memo[v][u] for u, v in zip(units, draws)]) for units, draws in cut]
+        # The model's dummy prefix stands before every text.
+        cut = [self.unit.findall(" " + text) if text else [] for text in texts]
+        units = [u for x in cut for u in x]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(self.draws(len(x), d, seed) for x, d in zip(cut, docs))])
+        ids: list[bytes] = []
+        for at in range(0, len(units), AT_ONCE):
+            ids += self.occurrences(units[at : at + AT_ONCE], keys[at : at + AT_ONCE], below)
+        ends = np.cumsum([len(x) for x in cut]).tolist()
+        return [b"".join(ids[e - len(x) : e]) for x, e in zip(cut, ends)]
 
     def encode(self, text: str, doc: int, seed: int, dropout: float) -> bytes:
         return self.encode_many([text], [doc], seed, dropout)[0]

@@ -311,6 +311,17 @@ def test_pieces(docs, nothing, rows):
     assert nothing.withColumn("ids", encoded(F.col("text"), F.col("doc_id"), PIECES)).count() == 0
 
 
+def test_every_occurrence_draws_its_own_form(rows):
+    model = Pieces(PIECES)
+    for text in [r[1] for r in rows if r[1]][:60] + AWKWARD:
+        units = model.unit.findall(" " + text) if text else []
+        keys = model.draws(len(units), 7, 1)
+        want = [np.array(model.segment(u, int(k), 1 << 29), "<i4").tobytes() for u, k in zip(units, keys)]
+        assert model.encode(text, 7, 1, 0.125) == b"".join(want)
+    forms = {model.encode("international", doc, 1, 0.3) for doc in range(400)}
+    assert len(forms) > 4
+
+
 @pytest.mark.parametrize("bits", [8, 12, 16, 17, 24])
 def test_range_coder_round_trip(bits):
     rng = np.random.default_rng(bits)
