@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prizelens.llm.common import table, word_count
+from prizelens.llm.conversations import damaged, repair_audit
 from prizelens.llm.extraction import extract_text
+from prizelens.llm.lexical import ranked_search
 from prizelens.llm.linededup import dedup_lines
 from prizelens.llm.mixing import mix
 from prizelens.llm.neardup import near_duplicates
+from prizelens.llm.packing import pack, pieces
 from prizelens.llm.pieces import decoded, encoded
 from prizelens.llm.quality import quality_verdicts
 from prizelens.llm.token_counts import count_tokens
@@ -175,3 +178,43 @@ FROM v JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) ON x = vec_id
 def op6_embedding_neardup(spark: SparkSession, sf: str) -> DataFrame:
     """Links and components of vectors of one label with a cosine of at least 0.98."""
     return linked_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    rows = table(spark, sf, "conversations")
+    kind = rows.schema["conv_id"].dataType
+    out = repair_audit(damaged(rows))
+    return out.withColumn("conv", F.col("conv").cast(kind)).withColumnRenamed("conv", "conv_id")
+
+
+SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+             x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ts FROM documents),
+q AS (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+             x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS t FROM benchmark),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+p AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY t, n_docs),
+i AS (SELECT rid, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * len(ts) * n_docs) // n_terms)))) AS impact
+      FROM p JOIN w USING (t) JOIN d USING (rid), s),
+f AS (SELECT item_id, rid, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (t) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank,
+             doc_id, score FROM f JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op12_lexical_search", SEARCH_SQL)
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 20)
+
+
+@query("op13_packing")
+def op13_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Where every piece of every document lies in sequences of 2048 tokens."""
+    encode = byte_bpe_encoder(public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+    rows = pieces(pack(table(spark, sf, "documents"), "doc_id", "text", encode, 2048))
+    return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
