@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-# Every code point that Python's ``str.split`` treats as a blank.
-BLANKS = r"(?U)[\s\x1c-\x1f]+"
-NON_ASCII = r"[^\x00-\x7F]"
+from pyspark.sql.types import ArrayType, StringType
+
+# Every code point that Python's ``str.split`` treats as a blank, and those of
+# them that are not the plain space.
+ODD_BLANKS = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = f"[ {ODD_BLANKS}]"
+# What a single plain blank replaces; a blank that is one already is left alone.
+BLANKS = f"[{ODD_BLANKS}]{BLANK}*+| {BLANK}++"
+# Nothing below the first combining mark changes under NFC or joins another character.
+FROM_FIRST_MARK = r"[\u0300-\x{10FFFF}]"
 # Characters that NFC may change or join to others: marks, Hangul letters, and the blocks
 # that hold characters with a canonical form of their own. All others stay as they are.
 MAY_COMPOSE = (
@@ -26,21 +31,54 @@ CHALLENGE_TITLES = "just a moment|access denied|attention required"
 SUPPLEMENT_PATTERN = r"(?i)\bcoach(?:es)?\b|\bsubstitut(?:e|es)\b"
 
 
-@F.pandas_udf(StringType())
-def _compose(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda v: None if v is None else unicodedata.normalize("NFC", v)
-    )
+@F.arrow_udf(StringType())
+def _compose(values: pa.Array) -> pa.Array:
+    return pa.array((nfc(v.as_py()) for v in values), pa.string())
+
+
+@F.arrow_udf(StringType())
+def _fold(values: pa.Array) -> pa.Array:
+    return pa.array((casefold(v.as_py()) for v in values), pa.string())
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _compose_all(lists: pa.Array) -> pa.Array:
+    return pa.array((x and [nfc(v) for v in x] for x in lists.to_pylist()), lists.type)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _fold_all(lists: pa.Array) -> pa.Array:
+    return pa.array((x and [casefold(v) for v in x] for x in lists.to_pylist()), lists.type)
+
+
+def nfc(text: str | None) -> str | None:
+    return None if text is None else unicodedata.normalize("NFC", text)
 
 
-@F.pandas_udf(StringType())
-def _fold(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else v.casefold())
+def casefold(text: str | None) -> str | None:
+    return None if text is None else text.casefold()
+
+
+def is_ascii(col: Column) -> Column:
+    """As many bytes as characters."""
+    return F.octet_length(col) == F.length(col)
+
+
+def may_compose(col: Column) -> Column:
+    """Whether NFC could change the text, by tests of rising cost."""
+    return ~is_ascii(col) & col.rlike(FROM_FIRST_MARK) & col.rlike(MAY_COMPOSE)
 
 
 def compose(col: Column) -> Column:
     """Unicode NFC. Text that NFC cannot change never reaches Python: it is sent as null."""
-    return F.coalesce(_compose(F.when(col.rlike(MAY_COMPOSE), col)), col)
+    return F.coalesce(_compose(F.when(may_compose(col), col)), col)
+
+
+def _where_needed(texts: Column, needed, udf) -> Column:
+    """``udf`` on the texts of an array that need it, null at all others; empty where none does,
+    and then nothing reaches Python."""
+    hard = F.when(F.exists(texts, needed), F.transform(texts, lambda x: F.when(needed(x), x)))
+    return F.coalesce(udf(hard), F.array().cast("array<string>"))
 
 
 def squeeze(col: Column) -> Column:
@@ -53,9 +91,21 @@ def clean_text(col: Column) -> Column:
     return squeeze(compose(col))
 
 
+def clean_texts(texts: Column) -> Column:
+    """``clean_text`` of every item of an array."""
+    done = _where_needed(texts, may_compose, _compose_all)
+    return F.zip_with(texts, done, lambda x, y: squeeze(F.coalesce(y, x)))
+
+
 def name_key(col: Column) -> Column:
     """Case-folded key for name equality (``ß`` equals ``ss``)."""
-    return F.coalesce(_fold(F.when(col.rlike(NON_ASCII), col)), F.lower(col))
+    return F.coalesce(_fold(F.when(~is_ascii(col), col)), F.lower(col))
+
+
+def name_keys(texts: Column) -> Column:
+    """``name_key`` of every item of an array."""
+    done = _where_needed(texts, lambda x: ~is_ascii(x), _fold_all)
+    return F.zip_with(texts, done, lambda x, y: F.coalesce(y, F.lower(x)))
 
 
 def is_supplement(col: Column) -> Column:

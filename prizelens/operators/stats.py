@@ -9,7 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prizelens.operators.joins import lookup, union_all
-from prizelens.operators.quantiles import exact_quantiles
+from prizelens.operators.quantiles import (
+    counted_values,
+    exact_quantiles,
+    moments_of_counts,
+    quantiles_of_counts,
+)
 from prizelens.operators.windows import (
     add_lags,
     from_first_observed,
@@ -180,21 +185,18 @@ def histogram_pct(
 def describe_by(df: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max per family and metric.
 
-    Mean is exact sum over count; quartiles come from ``exact_quantiles``.
+    All come from one table of distinct values with counts, so the input is read once.
+    Whole numbers (cents) stay whole: their moments are exact sums, free of any order.
     """
-    long = df.select(by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
+    types = {df.schema[m].dataType.typeName() for m in metrics}
+    kind = "bigint" if types <= {"byte", "short", "integer", "long"} else "double"
+    long = df.select(by, *[F.col(m).cast(kind).alias(m) for m in metrics]).unpivot(
         [by], list(metrics), "metric", "value"
     )
     keys = [by, "metric"]
-    basics = long.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.try_divide(F.sum("value"), F.count("value")).alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = exact_quantiles(long, keys, "value", QUARTILES)
-    return lookup(basics, q, keys)
+    counts = counted_values(long, keys, "value")
+    basics = moments_of_counts(counts, keys, "value")
+    return lookup(basics, quantiles_of_counts(counts, keys, "value", QUARTILES), keys)
 
 
 def robust_summary(df: DataFrame, by: str, x: str) -> DataFrame:
@@ -617,20 +619,3 @@ def consolidate_urls(df: DataFrame, url: str, source: str) -> DataFrame:
         F.sum("observations").alias("url_observations"), F.count(F.lit(1)).alias("n_sources")
     )
     return lookup(pairs, urls, [url], "inner")
-
-
-def kpi_rows(df: DataFrame, section: str, family: str, metrics: dict[str, tuple[str, str]]):
-    """Long KPI rows from an aggregate: ``metrics`` maps column to (unit, note)."""
-    names = list(metrics)
-    unit, note = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, (u, n) in metrics.items():
-        unit = F.when(F.col("metric") == name, F.lit(u)).otherwise(unit)
-        note = F.when(F.col("metric") == name, F.lit(n)).otherwise(note)
-    return (
-        df.select(F.col(family).alias("family"), *[F.col(m).cast("double") for m in names])
-        .unpivot(["family"], names, "metric", "value")
-        .select(
-            F.lit(section).alias("section"), "family", "metric", "value",
-            unit.alias("unit"), note.alias("note"),
-        )
-    )

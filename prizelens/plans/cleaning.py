@@ -6,15 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prizelens.functions import calendar as cal
 from prizelens.functions import money as m
 from prizelens.functions import text as t
-from prizelens.operators.joins import union_all
 from prizelens.operators.rules import first_reason
-from prizelens.session import ensure_checkpoint_dir
 from prizelens.sources.log import (
     PLACEMENTS_SCHEMA,
     TOURNAMENT_SCHEMA,
@@ -67,6 +64,7 @@ def parent_reason(low: str, high: str, first_year: dict[str, int]) -> Column:
     return first_reason(
         [
             ("game_outside_scope", F.col("game_family").isNull()),
+            ("unreadable_payload", F.col("t").isNull() | F.col("items").isNull()),
             ("failed_or_missing_tournament", (F.col("status") == "failed") | empty),
             ("invalid_tournament_id", ~F.col("tournament_id").rlike(r"^\d+$")),
             (
@@ -125,190 +123,258 @@ def judge_parents(
     ).drop("t")
 
 
-def judge_children(parents: DataFrame) -> DataFrame:
-    """Child rows of decoded parents, each with the first rule it breaks.
-
-    A parent's children come out of one log row, so a window over a parent is
-    bounded by that row; all windows share the one shuffle by parent.
-    """
-    items = parents.select(
-        "tournament_id", F.col("source_url").alias("parent_url"), "game_slug",
-        F.posexplode("items").alias("pos", "i"),
-    ).select(
-        "tournament_id", "parent_url", "game_slug", "pos",
-        F.col("i.source_tournament_id").alias("item_tournament_id"),
-        F.col("i.source_url").alias("item_url"),
-        F.col("i.game_slug").alias("item_slug"),
-        t.clean_text(F.col("i.team_name_raw")).alias("team_name"),
-        t.clean_text(F.col("i.source_team_id")).alias("source_team_id_raw"),
-        F.col("i.prize_money_usd").alias("raw_money"),
-        F.col("i.rank_min").alias("raw_min"),
-        F.col("i.rank_max").alias("raw_max"),
-        t.squeeze(F.col("i.result_outcome")).alias("result_outcome"),
-    )
-    named = items.withColumns(
-        {
-            "folded_name": t.name_key(F.col("team_name")),
-            "rank_min": m.rank_number(F.col("raw_min")),
-            "rank_max": m.rank_number(F.col("raw_max")),
-            "prize_cents": m.to_cents(m.money(F.col("raw_money")).cast("string")),
-        }
-    ).repartition("tournament_id")
-    by_name = W.partitionBy("tournament_id", "folded_name").orderBy("pos")
-    by_id = W.partitionBy("tournament_id", "source_team_id_raw")
-    raw_id = F.col("source_team_id_raw")
-    flagged = named.withColumns(
-        {
-            "repeated": F.row_number().over(by_name) > 1,
-            "ambiguous": raw_id.isNotNull()
-            & (F.min("folded_name").over(by_id) != F.max("folded_name").over(by_id)),
-        }
+def _repeats(order: Column) -> Column:
+    """Per position whether an earlier one has the same key; ``order`` holds (key, position)
+    sorted."""
+    flags = F.transform(
+        order,
+        lambda e, i: F.struct(
+            e["n"].alias("n"),
+            F.coalesce(e["k"] == F.get(order, i - 1)["k"], F.lit(False)).alias("again"),
+        ),
     )
+    return F.transform(F.array_sort(flags), lambda e: e["again"])
 
-    def differs(a: str, b: str) -> Column:
-        return ~F.col(a).eqNullSafe(F.col(b))
 
-    reason = first_reason(
+def _shared_ids(pairs: Column) -> Column:
+    """Ids that go with several keys; ``pairs`` holds distinct (id, key) sorted."""
+    second = F.filter(pairs, lambda p, i: p["id"] == F.get(pairs, i - 1)["id"])
+    return F.array_distinct(F.transform(second, lambda p: p["id"]))
+
+
+def child_reason(kid: Column) -> Column:
+    """Ordered child rules on one decoded item."""
+
+    def differs(a: str, b: Column) -> Column:
+        return ~kid[a].eqNullSafe(b)
+
+    return first_reason(
         [
-            ("placement_tournament_id_mismatch", differs("item_tournament_id", "tournament_id")),
-            ("placement_source_url_mismatch", differs("item_url", "parent_url")),
-            ("placement_game_mismatch", differs("item_slug", "game_slug")),
-            ("missing_team_name", F.col("team_name").isNull()),
-            ("duplicate_team_name", F.col("repeated")),
+            ("placement_tournament_id_mismatch", differs("item_tournament_id", F.col("tournament_id"))),
+            ("placement_source_url_mismatch", differs("item_url", F.col("source_url"))),
+            ("placement_game_mismatch", differs("item_slug", F.col("game_slug"))),
+            ("missing_team_name", kid["team_name"].isNull()),
+            ("duplicate_team_name", kid["repeated"]),
             (
                 "supplementary_roster_allocation_needs_review",
-                t.is_supplement(F.col("team_name")),
-            ),
-            (m.money_reason(F.col("raw_money")), None),
-            (m.rank_number_reason(F.col("raw_min")), None),
-            (m.rank_number_reason(F.col("raw_max")), None),
-            (
-                m.rank_reason(
-                    F.col("rank_min"), F.col("rank_max"), F.col("result_outcome")
-                ),
-                None,
+                t.is_supplement(kid["team_name"]),
             ),
+            (m.money_reason(kid["raw_money"]), None),
+            (m.rank_number_reason(kid["raw_min"]), None),
+            (m.rank_number_reason(kid["raw_max"]), None),
+            (m.rank_reason(kid["rank_min"], kid["rank_max"], kid["result_outcome"]), None),
         ]
     )
-    ambiguous = F.coalesce(F.col("ambiguous"), F.lit(False))
-    return flagged.select(
-        "tournament_id", "game_slug", "pos", "team_name", "folded_name",
-        "source_team_id_raw",
-        F.when(~ambiguous, raw_id).alias("source_team_id"),
-        F.when(ambiguous, F.lit("ambiguous_source_id"))
-        .when(raw_id.isNotNull(), F.lit("source_provided_not_verified"))
-        .otherwise(F.lit("source_id_missing"))
-        .alias("identity_status"),
-        "rank_min", "rank_max", "result_outcome", "prize_cents",
-        reason.alias("reason"),
+
+
+def judge_children(parents: DataFrame) -> DataFrame:
+    """Add ``kids`` (each with the first rule it breaks) to parents that pass their own rules.
+
+    A parent's children come out of one log row and are judged inside it, by array
+    functions: nothing is exploded, shuffled or stored. Sorted arrays find repeats, so
+    the cost grows like a sort (and with the number of ids that name several teams).
+    """
+    usable = F.col("parent_reason").isNull() & F.col("gate_reason").isNull()
+    items = parents.withColumn("_items", F.when(usable, F.col("items")))
+    named = items.withColumns(
+        {
+            "_names": F.transform("_items", lambda i: i["team_name_raw"]),
+            "_ids": F.transform("_items", lambda i: i["source_team_id"]),
+        }
+    ).withColumns({"_names": t.clean_texts(F.col("_names")), "_ids": t.clean_texts(F.col("_ids"))})
+    keyed = named.withColumn("_keys", t.name_keys(F.col("_names")))
+    pairs = F.filter(
+        F.arrays_zip(F.col("_ids").alias("id"), F.col("_keys").alias("k")),
+        lambda p: p["id"].isNotNull() & p["k"].isNotNull(),
+    )
+    order = F.array_sort(
+        F.transform("_keys", lambda k, n: F.struct(k.alias("k"), n.alias("n")))
+    )
+    flagged = keyed.withColumns(
+        {"_order": order, "_pairs": F.array_sort(F.array_distinct(pairs))}
+    ).withColumns(
+        {"_again": _repeats(F.col("_order")), "_shared": _shared_ids(F.col("_pairs"))}
     )
 
+    def kid(i: Column, n: Column) -> Column:
+        return F.struct(
+            n.alias("pos"),
+            i["source_tournament_id"].alias("item_tournament_id"),
+            i["source_url"].alias("item_url"),
+            i["game_slug"].alias("item_slug"),
+            F.get("_names", n).alias("team_name"),
+            F.get("_keys", n).alias("folded_name"),
+            F.get("_ids", n).alias("source_team_id_raw"),
+            F.get("_again", n).alias("repeated"),
+            F.coalesce(F.array_contains("_shared", F.get("_ids", n)), F.lit(False)).alias("ambiguous"),
+            i["prize_money_usd"].alias("raw_money"),
+            i["rank_min"].alias("raw_min"),
+            i["rank_max"].alias("raw_max"),
+            m.rank_number(i["rank_min"]).alias("rank_min"),
+            m.rank_number(i["rank_max"]).alias("rank_max"),
+            t.squeeze(i["result_outcome"]).alias("result_outcome"),
+            m.to_cents(m.money(i["prize_money_usd"]).cast("string")).alias("prize_cents"),
+        )
 
-def clean_log(
+    def judged(k: Column) -> Column:
+        return k.dropFields(
+            "item_tournament_id", "item_url", "item_slug", "repeated", "raw_money", "raw_min", "raw_max"
+        ).withField("reason", child_reason(k))
+
+    kids = flagged.withColumn("kids", F.transform("_items", kid))
+    return kids.withColumn("kids", F.transform("kids", judged)).drop(
+        "items", "_items", "_names", "_ids", "_keys", "_order", "_pairs", "_again", "_shared"
+    )
+
+
+def judge_log(
     log: DataFrame,
     config: DataFrame,
     low: str,
     high: str,
     first_year: dict[str, int] | None = None,
     tolerance: int = 2,
-) -> CleanLog:
-    """Apply the ordered rules to a raw result log.
-
-    ``config`` holds game_slug, game_id, earnings_game_id, game_family and
-    game_name of the enabled games. A rejected parent leaves with its children; a
-    parent that passes stays even when its children are rejected. Children are
-    rejected as a whole by their first bad row.
+) -> DataFrame:
+    """One row per log row with the verdicts on it, its children and the issues it raises.
 
-    The log is read and decoded once: judged parents and judged children are
-    checkpointed, and the four outputs start from there.
+    Only the join with ``config`` can shuffle. ``split_log`` makes the outputs of it.
     """
-    ensure_checkpoint_dir(log.sparkSession)
-    judged = judge_parents(log, config, low, high, first_year or {}).checkpoint()
-    accepted = judged.where(F.col("parent_reason").isNull())
-    rows = judge_children(accepted.where(F.col("gate_reason").isNull())).checkpoint()
-
-    bad = F.col("reason").isNotNull()
-    per_parent = rows.groupBy("tournament_id").agg(
-        F.min_by(F.when(bad, F.col("reason")), F.when(bad, F.col("pos"))).alias(
-            "veto_reason"
-        ),
-        F.sum("prize_cents").alias("child_cents"),
-        F.max(F.col("identity_status") == "ambiguous_source_id").alias("has_ambiguous"),
+    judged = judge_children(judge_parents(log, config, low, high, first_year or {}))
+    bad = F.filter("kids", lambda k: k["reason"].isNotNull())
+    total = F.aggregate(
+        "kids", F.lit(None).cast("bigint"),
+        lambda s, k: F.coalesce(s + k["prize_cents"], s, k["prize_cents"]),
     )
-    verdicts = (
-        accepted.drop("items")
-        .join(per_parent, "tournament_id", "left")
+    passed = F.col("parent_reason").isNull()
+    return (
+        judged.withColumns(
+            {
+                "veto_reason": F.get(bad, F.lit(0))["reason"],
+                "child_cents": total,
+                "has_ambiguous": F.exists("kids", lambda k: k["ambiguous"]),
+            }
+        )
         .withColumn("diff_cents", F.col("child_cents") - F.col("pool_cents"))
         .withColumn("recomputed_status", m.prize_status(F.col("diff_cents"), tolerance))
         .withColumn(
             "child_reason",
-            F.coalesce(
-                "gate_reason",
-                "veto_reason",
-                F.when(
-                    ~F.col("recomputed_status").eqNullSafe(F.col("status")),
-                    F.lit("stored_reconciliation_status_mismatch"),
+            F.when(
+                passed,
+                F.coalesce(
+                    "gate_reason",
+                    "veto_reason",
+                    F.when(
+                        ~F.col("recomputed_status").eqNullSafe(F.col("status")),
+                        F.lit("stored_reconciliation_status_mismatch"),
+                    ),
                 ),
             ),
         )
-        .withColumns(
-            {
-                "eligible": F.col("child_reason").isNull(),
-                "identity_note": F.when(
-                    F.col("child_reason").isNull() & F.col("has_ambiguous"),
-                    F.lit("ambiguous_source_team_id"),
-                ),
-            }
+        .withColumn("eligible", passed & F.col("child_reason").isNull())
+        .withColumn(
+            "identity_note",
+            F.when(F.col("eligible") & F.col("has_ambiguous"), F.lit("ambiguous_source_team_id")),
         )
         .withColumn("quality_note", F.coalesce("child_reason", "identity_note"))
+        .drop("gate_reason", "veto_reason", "has_ambiguous")
     )
-    parents = cal.with_calendar(verdicts, "start_date").select(
+
+
+def _rows_where(df: DataFrame, kept: Column, *columns: str | Column) -> DataFrame:
+    """The columns of the rows that are kept, as a generator: a filter would be pushed into
+    the rules and judge every row twice."""
+    row = F.struct(*columns)
+    return df.select(F.explode(F.when(kept, F.array(row)).otherwise(F.array()))).select("col.*")
+
+
+def split_log(judged: DataFrame) -> CleanLog:
+    """Clean parents and children, quarantine and diverted rows of judged log rows.
+
+    Each output is a narrow pass over ``judged``. Whoever writes several stores
+    ``judged`` first; nothing is stored here.
+    """
+    passed, diverted = F.col("parent_reason").isNull(), F.col("parent_reason").isin(*DIVERTED)
+    parents = cal.with_calendar(_rows_where(
+        judged, passed,
         t.namespaced_id("earnings", F.col("tournament_id")).alias("tournament_id"),
         "game_slug", "game_id", "game_family",
         F.col("game_name").alias("game_version"), "version_evidence",
-        "tournament_name", "start_date", "end_date", "year", "quarter", "pool_cents",
+        "tournament_name", "start_date", "end_date", "pool_cents",
         F.col("status").alias("crawler_status"), "eligible", "quality_note",
         F.when(F.col("eligible"), F.col("child_cents")).alias("child_cents"),
         t.strict_quality(F.col("quality_note"), F.col("eligible")).alias("strict"),
-    )
-    good = verdicts.where("eligible").select(
-        "tournament_id", "game_family", F.col("game_name").alias("game_version"),
-        "start_date", F.col("recomputed_status").alias("validation_status"),
-        "diff_cents",
-    )
-    key = t.placement_key(
-        F.col("tournament_id"), F.col("source_team_id"), F.col("folded_name")
-    )
-    children = rows.join(good, "tournament_id").select(
+    ), "start_date")
+    kid = F.col("kid")
+    raw_id, ambiguous = kid["source_team_id_raw"], kid["ambiguous"]
+    team_id = F.when(~ambiguous, raw_id)
+    key = t.placement_key(F.col("source_id"), team_id, kid["folded_name"])
+    children = judged.select(
+        F.col("tournament_id").alias("source_id"), "game_slug", "game_family",
+        F.col("game_name").alias("game_version"), "start_date",
+        F.col("recomputed_status").alias("validation_status"), "diff_cents",
+        F.explode(F.when(F.col("eligible"), F.col("kids"))).alias("kid"),
+    ).select(
         key["placement_id"].alias("placement_id"),
-        t.namespaced_id("earnings", F.col("tournament_id")).alias("tournament_id"),
-        "game_slug", "game_family", "game_version", "pos", "team_name",
-        "source_team_id", "source_team_id_raw", "identity_status",
+        t.namespaced_id("earnings", F.col("source_id")).alias("tournament_id"),
+        "game_slug", "game_family", "game_version", kid["pos"].alias("pos"),
+        kid["team_name"].alias("team_name"),
+        team_id.alias("source_team_id"),
+        raw_id.alias("source_team_id_raw"),
+        F.when(ambiguous, F.lit("ambiguous_source_id"))
+        .when(raw_id.isNotNull(), F.lit("source_provided_not_verified"))
+        .otherwise(F.lit("source_id_missing"))
+        .alias("identity_status"),
         key["key_basis"].alias("key_basis"),
-        "rank_min", "rank_max", "result_outcome", "prize_cents", "start_date",
-        "validation_status", "diff_cents",
+        kid["rank_min"].alias("rank_min"), kid["rank_max"].alias("rank_max"),
+        kid["result_outcome"].alias("result_outcome"), kid["prize_cents"].alias("prize_cents"),
+        "start_date", "validation_status", "diff_cents",
     )
 
-    def issues(df: DataFrame, reason: str, affected: str) -> DataFrame:
-        return df.where(F.col(reason).isNotNull()).select(
-            "tournament_id", "game_slug", F.col(reason).alias("reason"),
-            F.lit(affected).alias("affected_table"),
-            F.col("status").alias("crawler_status"), "source_url", "html_file",
-            F.col("error").alias("crawler_error"),
-            "tournament_json", "placements_json", "audit_json",
+    def issue(reason: Column, affected: str) -> Column:
+        return F.when(
+            reason.isNotNull(), F.struct(reason.alias("reason"), F.lit(affected).alias("affected_table"))
         )
 
-    diverted = F.col("parent_reason").isin(*DIVERTED)
+    issues = F.array_compact(F.array(
+        issue(F.when(~diverted, F.col("parent_reason")), "both"),
+        issue(F.col("child_reason"), "placements"),
+        issue(F.col("identity_note"), "team_identity"),
+    ))
+    quarantine = judged.select("*", F.explode(issues).alias("_i")).select(
+        "tournament_id", "game_slug", "_i.reason", "_i.affected_table",
+        F.col("status").alias("crawler_status"), "source_url", "html_file",
+        F.col("error").alias("crawler_error"),
+        "tournament_json", "placements_json", "audit_json",
+    )
     return CleanLog(
-        parents=parents,
-        children=children,
-        quarantine=union_all(
-            issues(judged.where(~diverted), "parent_reason", "both"),
-            issues(verdicts, "child_reason", "placements"),
-            issues(verdicts, "identity_note", "team_identity"),
+        parents=parents.select(
+            "tournament_id", "game_slug", "game_id", "game_family", "game_version",
+            "version_evidence", "tournament_name", "start_date", "end_date", "year", "quarter",
+            "pool_cents", "crawler_status", "eligible", "quality_note", "child_cents", "strict",
         ),
-        out_of_scope=judged.where(diverted).select(
-            "game_slug", "tournament_id",
+        children=children,
+        quarantine=quarantine,
+        out_of_scope=_rows_where(
+            judged, diverted, "game_slug", "tournament_id",
             F.col("parent_reason").alias("reason"), "source_url",
         ),
     )
+
+
+def clean_log(
+    log: DataFrame,
+    config: DataFrame,
+    low: str,
+    high: str,
+    first_year: dict[str, int] | None = None,
+    tolerance: int = 2,
+) -> CleanLog:
+    """Apply the ordered rules to a raw result log.
+
+    ``config`` holds game_slug, game_id, earnings_game_id, game_family and
+    game_name of the enabled games. A rejected parent leaves with its children; a
+    parent that passes stays even when its children are rejected. Children are
+    rejected as a whole by their first bad row. A payload that is not JSON of its kind is
+    ``unreadable_payload``.
+    """
+    return split_log(judge_log(log, config, low, high, first_year, tolerance))

@@ -12,7 +12,7 @@ from prizelens.operators import stats as st
 from prizelens.operators.grid import missing_periods
 from prizelens.operators.rules import null_ambiguous_ids
 from prizelens.operators.windows import argmax_by, top_n
-from prizelens.plans.release import kpi_table
+from prizelens.plans.release import Release, kpi_table
 from prizelens.queries.registry import query
 from prizelens.queries.shapes import (
     ATTENTION,
@@ -778,21 +778,76 @@ def run_summary(spark, sf):
     return st.run_summary(table(spark, sf, "orders"), "o_orderstatus")
 
 
-@query(
-    "a38_kpi_table",
-    f"""
-    WITH {GRID}, k AS (SELECT family, CAST(sum(pool_cents) / 100.0 AS DOUBLE) AS total_pool_usd, count(*) AS tournaments,
-        sum(pool_cents) FILTER (strict) / sum(pool_cents) * 100 AS strict_share_pct FROM parents GROUP BY family),
-    m AS (SELECT family, max(target_usd) AS peak_quarter_usd, count(*) - count(target_usd) AS missing_quarters FROM grid GROUP BY family)
-    SELECT 'money' AS section, family, 'total_pool_usd' AS metric, round(total_pool_usd, 2) AS value, 'USD' AS unit, 'source pools' AS note FROM k
-    UNION ALL SELECT 'money', family, 'tournaments', tournaments, 'rows', 'observed rows' FROM k
-    UNION ALL SELECT 'money', family, 'strict_share_pct', round(strict_share_pct, 2), 'percent', 'strict money over source money' FROM k
-    UNION ALL SELECT 'series', family, 'peak_quarter_usd', round(peak_quarter_usd, 2), 'USD', 'largest observed quarter' FROM m
-    UNION ALL SELECT 'series', family, 'missing_quarters', missing_quarters, 'periods', 'not observed, never zero' FROM m
-    """,
-)
+KPI_YEAR = 2001
+KPI_SQL = f"""
+    WITH {PREDICTIONS}, {CHILDREN}, {ATTENTION}, {PANEL}, {OWNER_COUNTRY[len(PARENTS) + 2:]},
+    y AS (SELECT family, year(start_date) AS y, count(*) AS n, CAST(sum(pool_cents) AS DOUBLE) AS pool,
+                 CAST(coalesce(sum(pool_cents) FILTER (strict), 0) AS DOUBLE) AS strict,
+                 CAST(coalesce(sum(pool_cents) FILTER (eligible), 0) AS DOUBLE) AS reconciled,
+                 min(start_date) AS first, max(start_date) AS last FROM parents GROUP BY ALL),
+    f AS (SELECT family, sum(n) AS n, sum(pool) AS pool, sum(strict) AS strict, sum(reconciled) AS reconciled,
+                 min(reconciled / pool * 100) AS least, coalesce(sum(n) FILTER (y = {KPI_YEAR}), 0) AS of_year FROM y GROUP BY family),
+    a AS (SELECT sum(n) AS n, sum(pool) AS pool, sum(strict) AS strict, sum(reconciled) AS reconciled,
+                 CAST(min(first) AS VARCHAR) AS first, CAST(max(last) AS VARCHAR) AS last FROM y),
+    med AS (SELECT family, quantile_cont(pool_cents, 0.5) / 100 AS v FROM parents GROUP BY family),
+    pan AS (SELECT family, count(*) FILTER (pool IS NOT NULL) AS n, count(hours) AS h, quantile_cont(hours, 0.5) AS med,
+                   CASE WHEN stddev_pop(hours) FILTER (pool IS NOT NULL) * stddev_pop(pool) > 0 THEN
+                     covar_pop(CAST(hours AS DOUBLE), CAST(pool AS DOUBLE)) / (stddev_pop(hours) FILTER (pool IS NOT NULL) * stddev_pop(pool)) END AS r
+            FROM panel GROUP BY family),
+    att AS (SELECT family, count(*) AS n, min(day) || ' to ' || max(day) AS note FROM attention GROUP BY family),
+    top AS (SELECT family, country_code, m / sum(m) OVER (PARTITION BY family) * 100 AS v,
+                   row_number() OVER (PARTITION BY family ORDER BY m DESC, country_code) AS k
+            FROM (SELECT family, country_code, sum(pool_cents) AS m FROM owner_country WHERE eligible GROUP BY ALL)),
+    g AS (SELECT family, sum(target_usd) AS total, max(target_usd) AS peak, max_by(quarter, (target_usd, quarter)) FILTER (target_usd IS NOT NULL) AS at,
+                 string_agg(quarter, ' | ' ORDER BY quarter) FILTER (target_usd IS NULL AND quarter LIKE '{KPI_YEAR}%') AS missing FROM grid GROUP BY family),
+    e AS (SELECT * FROM long WHERE is_primary_model AND absolute_error_usd IS NOT NULL
+          ORDER BY absolute_error_usd DESC, family, quarter LIMIT 10),
+    k(section, family, metric, period, value, text, unit, note) AS (
+    SELECT 'release', 'All', 'release_folder', '', NULL, 'v1', 'text', 'newest release'
+    UNION ALL SELECT 'release', 'All', 'release_stage', '', NULL, 'policy_clean', 'text', 'coverage not verified'
+    UNION ALL SELECT 'scope', 'All', 'tournaments', '', n, NULL, 'rows', 'one row per tournament' FROM a
+    UNION ALL SELECT 'scope', 'All', 'total_source_pool', '', pool / 100, NULL, 'USD', 'nominal, not inflation-adjusted' FROM a
+    UNION ALL SELECT 'scope', 'All', 'earliest_tournament', '', NULL, first, 'date', 'first day in scope' FROM a
+    UNION ALL SELECT 'scope', 'All', 'latest_tournament', '', NULL, last, 'date', 'source coverage not verified' FROM a
+    UNION ALL SELECT 'quality', 'All', 'strict_pool_retained', '', strict / pool * 100, NULL, 'percent', 'what the strict filter keeps' FROM a
+    UNION ALL SELECT 'quality', 'All', 'country_pool_coverage', '', reconciled / pool * 100, NULL, 'percent', 'of the source pool, not the market' FROM a
+    UNION ALL SELECT 'scope', 'All', 'placements', '', count(*), NULL, 'rows', 'accepted team results' FROM children
+    UNION ALL SELECT 'scope', 'All', 'attention_observations', '', count(*), NULL, 'family-months', 'main category, not per tournament' FROM attention
+    UNION ALL SELECT 'scope', 'All', 'country_observations', '', count(*), NULL, 'rows', 'reconciled tables only' FROM owner_country WHERE eligible
+    UNION ALL SELECT 'family', family, 'tournaments', '', n, NULL, 'rows', 'observed tournaments' FROM f
+    UNION ALL SELECT 'family', family, 'source_pool', '', pool / 100, NULL, 'USD', 'nominal source total' FROM f
+    UNION ALL SELECT 'family', family, 'strict_pool_retained', '', strict / pool * 100, NULL, 'percent', 'sensitivity to the quality policy' FROM f
+    UNION ALL SELECT 'family', family, 'least_country_coverage', '', least, NULL, 'percent', 'lowest year of reconciled money' FROM f
+    UNION ALL SELECT 'family', family, 'tournaments_of_year', '{KPI_YEAR}', of_year, NULL, 'rows', 'may reflect incomplete coverage' FROM f
+    UNION ALL SELECT 'countries', family, 'country_pool_coverage', 'all observed', reconciled / pool * 100, NULL, 'percent', 'reconciled over source money' FROM f
+    UNION ALL SELECT 'family', family, 'median_pool', '', v, NULL, 'USD', 'typical tournament' FROM med
+    UNION ALL SELECT 'family', family, 'attention_months', '', n, NULL, 'months', note FROM att
+    UNION ALL SELECT 'attention', CAST(family AS VARCHAR), 'pearson_hours_pool', 'matched periods', r, NULL, 'coefficient', 'descriptive, n=' || n FROM pan
+    UNION ALL SELECT 'attention', CAST(family AS VARCHAR), 'median_hours', 'n=' || h, med, NULL, 'hours', 'per period' FROM pan
+    UNION ALL SELECT 'countries', family, 'top_country_' || country_code || '_share', 'all observed', v, NULL, 'percent', 'share of reconciled money' FROM top WHERE k = 1
+    UNION ALL SELECT 'forecast', family, 'missing_quarters', '{KPI_YEAR}', NULL, coalesce(missing, 'no missing quarters'), 'quarters', 'never imputed as zero' FROM g
+    UNION ALL SELECT 'prizes', family, 'total_source_pool', 'all observed', total, NULL, 'USD', 'sum of observed quarters' FROM g
+    UNION ALL SELECT 'prizes', family, 'peak_quarter_pool', at, peak, NULL, 'USD', 'largest observed quarter' FROM g
+    UNION ALL SELECT 'errors', family, 'absolute_error', quarter, absolute_error_usd, NULL, 'USD', 'largest errors of the primary model' FROM e)
+    SELECT section, family, metric, period, round(CAST(value AS DOUBLE), CASE unit WHEN 'USD' THEN 2 ELSE 5 END) AS value, text, unit, note FROM k
+"""
+
+
+@query("a38_kpi_table", KPI_SQL)
 def kpi(spark, sf):
-    return rounded(kpi_table(parents(spark, sf), grid(spark, sf)), 2, "value")
+    release = Release(
+        "v1", "policy_clean",
+        parents=parents(spark, sf).withColumn("reconciled", F.col("eligible")),
+        children=children(spark, sf).withColumnRenamed("flag", "family"),
+        attention=attention(spark, sf).withColumnRenamed("day", "month_start"),
+        countries=owner_country(spark, sf).where("eligible").withColumnRenamed("pool_cents", "prize_cents"),
+        panel=panel(spark, sf),
+        grid=grid(spark, sf),
+        errors=long_predictions(spark, sf).where("is_primary_model"),
+        year=KPI_YEAR,
+    )
+    digits = F.when(F.col("unit") == "USD", F.round("value", 2)).otherwise(F.round("value", 5))
+    return kpi_table(release).withColumn("value", digits)
 
 
 @query(

@@ -46,10 +46,21 @@ def read_result_log(
 
 
 def decode_payload(df: DataFrame, col: str, schema: str, name: str) -> DataFrame:
-    """JSON text to a typed column; empty text decodes like ``{}`` or ``[]``."""
-    empty = "[]" if schema.lstrip().lower().startswith("array") else "{}"
-    text = F.coalesce(F.nullif(F.trim(F.col(col)), F.lit("")), F.lit(empty))
-    return df.withColumn(name, F.from_json(text, schema))
+    """JSON text to a typed column; null and blank text decode like ``{}`` or ``[]``.
+
+    Null where the text is not JSON of the kind that ``schema`` asks for, so that a broken
+    payload is told from an empty one.
+    """
+    is_array = schema.lstrip().lower().startswith("array")
+    text = F.coalesce(F.nullif(F.trim(F.col(col)), F.lit("")), F.lit("[]" if is_array else "{}"))
+    if is_array:
+        return df.withColumn(name, F.when(text.startswith("["), F.from_json(text, schema)))
+    options = {"columnNameOfCorruptRecord": "_broken"}
+    found = F.from_json(text, f"{schema}, _broken string", options)
+    df = df.withColumn(name, F.when(text.startswith("{"), found))
+    return df.withColumn(
+        name, F.when(F.col(name)["_broken"].isNull(), F.col(name).dropFields("_broken"))
+    )
 
 
 def explode_payload(df: DataFrame, name: str, keep: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prizelens.sources.files import CHUNK_BYTES, file_digests, stored_files
+
 
 def write_release(
     df: DataFrame, root: str, run_id: str, name: str, fmt: str = "parquet"
@@ -18,19 +20,11 @@ def write_release(
     return target
 
 
-def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """Relative path, size and SHA-256 of each data file below ``folder``."""
+def file_hashes(spark: SparkSession, folder: str, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """Relative path, size and SHA-256 of each data file below ``folder``, of any size."""
     base = folder.rstrip("/").split("/")[-1]
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select(
-            F.substring_index("path", f"/{base}/", -1).alias("file"),
-            F.col("length").alias("bytes"),
-            F.sha2("content", 256).alias("sha256"),
-        )
-    )
+    found = file_digests(stored_files(spark, folder), chunk)
+    return found.select(F.substring_index("path", f"/{base}/", -1).alias("file"), "bytes", "sha256")
 
 
 def build_manifest(

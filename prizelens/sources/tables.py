@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -41,15 +39,14 @@ def read_table(
     empty text is null, so a code such as ``NA`` survives. A cell that does not fit
     stops the scan unless ``mode`` says otherwise. ``multi_line`` reads quoted line
     breaks, at the price of one task per file. ``encoding`` holds for all of ``path``
-    unless it is ``auto``: then each file is read by its own (``windows-1252`` where it
-    is not UTF-8).
+    unless it is ``auto``: then each file is read by its own (``windows-1252`` where any
+    line of it is not UTF-8). Files of both kinds go through one scan that keeps their bytes,
+    columns are then taken by position, and cells are decoded behind it; which files are
+    not UTF-8 is a table that never leaves the executors.
     """
-    if encoding == "auto":
-        parts = [
-            read_table(spark, files, schema, fmt, name, required, multi_line, mode)
-            for name, files in file_encodings(spark, path).items()
-        ]
-        return reduce(lambda a, b: a.unionByName(b), parts)
+    if encoding == "auto" and fmt == "csv":
+        df = _decoded_by_file(spark, path, schema, multi_line, mode)
+        return require_columns(df, required) if required else df
     western = encoding == WESTERN
     reader = spark.read
     if fmt == "csv":
@@ -77,15 +74,41 @@ def readable_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if broken.isEmpty() else WESTERN
 
 
-def file_encodings(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
-    """The files of ``path`` by encoding; tested line by line on the executors."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok")
+def broken_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file`` of each file that holds a line which is not UTF-8; tested on the executors."""
+    lines = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    return lines.select(F.col("_metadata.file_path").alias("file")).distinct()
+
+
+def _from_bytes(cell: Column, broken: Column) -> Column:
+    """A cell that was read byte by byte, as its file's encoding means it."""
+    as_utf8 = F.decode(F.encode(cell, "ISO-8859-1"), "UTF-8")
+    return F.when(broken, F.translate(cell, *western_marks())).otherwise(as_utf8)
+
+
+def _decoded_by_file(
+    spark: SparkSession, path: str | list[str], schema: StructType | str | None,
+    multi_line: bool, mode: str,
+) -> DataFrame:
+    reader = spark.read.options(
+        header=True, nullValue="", multiLine=multi_line, mode=mode, escape='"',
+        encoding="ISO-8859-1",
     )
-    found: dict[str, list[str]] = {}
-    for row in lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).orderBy("file").collect():
-        found.setdefault("UTF-8" if row.ok else WESTERN, []).append(row.file)
-    return found or {"UTF-8": path if isinstance(path, list) else [path]}
+    if schema is not None:
+        reader = reader.schema(schema)
+    scan = reader.csv(path)
+    names = scan.columns
+    if schema is None:  # names come from the bytes of a header
+        names = [c.encode("latin-1").decode("utf-8", "replace").lstrip("\ufeff") for c in names]
+    found = scan.withColumn("_file", F.col("_metadata.file_path")).toDF(*names, "_file")
+    broken = broken_files(spark, path).withColumn("_broken", F.lit(True))
+    marked = found.join(broken, F.col("_file") == F.col("file"), "left")
+    is_broken = F.coalesce("_broken", F.lit(False))
+    texts = {f.name for f in found.schema.fields if f.dataType == StringType()}
+    return marked.select(*[
+        _from_bytes(F.col(f"`{n}`"), is_broken).alias(n) if n in texts else F.col(f"`{n}`")
+        for n in names
+    ])
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:

@@ -271,6 +271,11 @@ LOG = {
     "18": (log_row("18", tournament={"start_date": "2012-01-01", "end_date": "2012-01-01"}), None),
     "19": (log_row("19", slug="other"), "game_outside_scope"),
     "20": (log_row("20", tournament={"date_validation_status": "invalid_date"}), "invalid_date"),
+    "22": ((*log_row("22")[:9], '{"source_url": "x"', *log_row("22")[10:]), "unreadable_payload"),
+    "23": ((*log_row("23")[:10], '[{"a": 1}, ', None), "unreadable_payload"),
+    "24": ((*log_row("24")[:9], "[]", *log_row("24")[10:]), "unreadable_payload"),
+    "25": (log_row("25", items=[("Ａe\u0301", "1", "60.00"), ("Ａé", "2", "40.00")]), "duplicate_team_name"),
+    "26": (log_row("26", items=[("Straße", "1", "60.00"), ("STRASSE", "1", "40.00")]), "duplicate_team_name"),
     "21": (log_row("21", items=[("A", "1", "100.00", {"rank_min": None, "rank_max": None, "result_outcome": "WIN"})]), None),
 }
 
@@ -282,6 +287,11 @@ def test_clean_log_rules(spark):
         "game_slug string, game_id string, earnings_game_id string, game_family string, game_name string",
     )
     out = clean_log(log, config, "2012-01-01", "2025-12-31")
+    for df in (out.parents, out.children, out.quarantine, out.out_of_scope):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # Only the configuration is joined; rules and Python calls stand once.
+        assert plan.count("Join") == 1 and plan.count("hashpartitioning") <= 2
+        assert plan.count("from_json") <= 4 and plan.count("ArrowEvalPython") <= 3
     got = {x.tournament_id: x.reason for x in out.quarantine.collect()}
     got.update({x.tournament_id: x.reason for x in out.out_of_scope.collect()})
     assert got == {k: reason for k, (_, reason) in LOG.items() if reason}

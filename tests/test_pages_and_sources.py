@@ -1,13 +1,16 @@
 import datetime
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from prizelens.operators import pages as pg
+from prizelens.operators.markup import elements
 from prizelens.sources.log import RETRY, pending_keys, upsert_log
 from prizelens.sources.pages import read_pages
-from prizelens.sources.release import build_manifest, verify_manifest, write_release
+from prizelens.sources.files import stored_files
+from prizelens.sources.release import build_manifest, file_hashes, verify_manifest, write_release
 from prizelens.sources.tables import (
     read_table,
     read_url_list,
@@ -119,7 +122,7 @@ def test_listing(spark):
         listing(line(1), line(1)), listing(), listing(line(1), title="Just a moment..."),
     ]
     df = pages(spark, *cases, url="https://c.org/tournaments/cup")
-    got = pg.extract_listing(df, ["c.org"], "2012-01-01", "2025-12-31").orderBy("page_id", "pos").collect()
+    got = pg.extract_listing(df, ["c.org"], "cup", "2012-01-01", "2025-12-31").orderBy("page_id", "pos").collect()
     assert [(x.source_url, x.start_date_hint, x.scope_hint) for x in got[:3]] == [
         ("https://c.org/tournaments/cup/1", D(2020, 2, 1), "in_scope"),
         ("https://c.org/tournaments/cup/2", None, "unknown_date"),
@@ -130,7 +133,7 @@ def test_listing(spark):
 
 def test_script_text_and_comments_are_not_content(spark):
     html = '<main><!-- <h2>x</h2> --><script>var a = "<h2>Prize Money By Country</h2>";</script><h2>A &amp; B</h2></main>'
-    nodes, texts = pg._elements(html)
+    nodes, texts = elements(html)
     assert [n.tag for n in nodes] == ["main", "script", "h2"] and texts == ["A & B"]
 
 
@@ -156,6 +159,40 @@ def test_csv_keeps_na_and_reads_both_encodings(spark, tmp_path):
     assert [tuple(x) for x in read_table(spark, str(western), schema, encoding=encodings[1]).collect()] == [("NA", "é €")]
 
 
+def test_many_files_each_by_its_own_encoding(spark, tmp_path):
+    for i in range(10_000):
+        text = f"code,name\n{i},é{i}\n{i},Ã© plain\n"
+        (tmp_path / f"{i}.csv").write_bytes(text.encode("cp1252" if i % 3 == 0 else "utf-8"))
+    (tmp_path / "marked.csv").write_bytes("\ufeffcode,name\n-1,ß €\n".encode())
+    (tmp_path / "empty.csv").write_bytes(b"code,name\n")
+    df = read_table(spark, str(tmp_path), "code int, name string", encoding="auto")
+    # In UTF-8, the bytes of "Ã©" in windows-1252 would be "é": the whole file decides.
+    bad = df.where(~F.col("name").isin("Ã© plain", "ß €") & (F.col("name") != F.concat(F.lit("é"), "code")))
+    assert df.count() == 20_001 and bad.count() == 0
+
+
+def test_names_of_a_header_by_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\ufeffpaís,x\nñ,1\n".encode())
+    got = read_table(spark, str(tmp_path), encoding="auto")
+    assert got.columns == ["país", "x"] and [tuple(r) for r in got.collect()] == [("ñ", "1")]
+
+
+def test_digest_of_a_file_beyond_the_chunk(spark, tmp_path):
+    folder = tmp_path / "v 1"
+    (folder / "deep").mkdir(parents=True)
+    data = bytes(range(256)) * 4096
+    (folder / "big.bin").write_bytes(data)
+    (folder / "deep" / "small é.bin").write_bytes(b"abc")
+    (folder / "none.bin").write_bytes(b"")
+    got = {x.file: (x.bytes, x.sha256) for x in file_hashes(spark, str(folder), chunk=1000).collect()}
+    assert got == {
+        "big.bin": (len(data), hashlib.sha256(data).hexdigest()),
+        "deep/small é.bin": (3, hashlib.sha256(b"abc").hexdigest()),
+    }
+    plan = stored_files(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
 def test_row_numbers_of_a_split_csv(spark, tmp_path):
     path = tmp_path / "many.csv"
     path.write_text("n\n" + "\n".join(str(i) for i in range(2, 40002)) + "\n")
@@ -202,8 +239,11 @@ def test_release_is_immutable_and_verified(spark, tmp_path):
     (victim.parent / f".{victim.name}.crc").unlink()
     victim.write_bytes(victim.read_bytes() + b"x")
     (tmp_path / "v1" / "extra.bin").write_bytes(b"1")
+    gone = sorted((tmp_path / "v1" / "t").glob("*.parquet"))[1]
+    gone.unlink()
     states = {x.file.split("/")[-1]: x.state for x in verify_manifest(spark, folder, stored).collect()}
     assert states[victim.name] == "changed" and states["extra.bin"] == "unexpected"
+    assert states[gone.name] == "missing" and "unchanged" in states.values()
 
 
 def test_upsert_is_idempotent_and_resume_filter(spark):
@@ -266,6 +306,62 @@ def test_first_link_of_each_item_in_a_region(spark):
     assert sorted((x.item_id, x.label) for x in got.collect()) == [("2", "a"), ("3", "c")]
 
 
+def test_links_of_broken_and_long_tags(spark):
+    long_tag = f'<a data-x="{"y" * 200_000}" href="/long">long</a>'
+    bare = "<a href=" + "z" * 200_000 + ">bare</a>"
+    cases = [
+        long_tag + bare,
+        '<a href="/1">one</a> <a <p>x</p><a href="/2">two</a>',
+        '<a href="/1">one</a> <a title="open <a href=/2>two</a> <a href="/3">three</a>',
+        '<a href="/1">one</a> <a href="/never',
+        '<a href="/caf&#233;?a=1&amp;b&#x3D;2">&eacute;t&eacute; &nbsp;&#8364;</a>',
+        "<a '>' " * 30_000, "<!-- " * 30_000 + '<a href="/x">x</a>', "< a href='/x'> 1 < 2 <a href='/y'>y", None,
+        '<A HREF="/up" href="/no">Up</A><script>"<a href=/s>"</script><a href="/1">open<a href="/2">next</a>',
+    ]
+    df = pages(spark, *cases)
+    got = {}
+    for x in pg.page_links(df).orderBy("page_id", "pos").collect():
+        got.setdefault(x.page_id, []).append((x.href, x.label))
+    assert [(len(h), t) for h, t in got[0]] == [(5, "long"), (200_000, "bare")]
+    assert ("/2", "two") in got[1] and ("/3", "three") in got[2] and got[3] == [("/1", "one")]
+    assert got[4] == [("/café?a=1&b=2", "été €")]
+    assert got[7] == [("/y", "y")] and set(got) == {0, 1, 2, 3, 4, 7, 9}
+    assert got[9] == [("/up", "Up"), ("/1", "open"), ("/2", "next")]
+    assert [x.url for x in pg.extract_navigation(df).collect()] == ["https://x.org/2"]
+
+
+def test_listing_links_of_the_first_cell_and_game(spark):
+    other = '<tr><td><a href="/tournaments/cup/1">Cup</a><td><a href="/tournaments/cup/2">x</a><td>3<td>4<td>5<td>6<td>01.02.20'
+    foreign = '<tr><td><a href="/tournaments/chess/1">C</a>' + "<td>1" * 6
+    deep = '<tr><td><a href="/tournaments/cup/1/tournaments/cup/2">C</a>' + "<td>1" * 6
+    two = '<tr><td><a href="/tournaments/cup/1">a</a><a href="/tournaments/cup/2">b</a>' + "<td>1" * 6
+    df = pages(spark, *[listing(x) for x in (other, foreign, deep, two)], url="https://c.org/tournaments/cup")
+    got = pg.extract_listing(df, ["c.org"], "cup", "2012-01-01", "2025-12-31").orderBy("page_id").collect()
+    assert got[0].source_url == "https://c.org/tournaments/cup/1" and got[0].page_error is None
+    assert [x.page_error for x in got[1:]] == ["listing_url_missing_or_ambiguous"] * 3
+
+
+def test_batch_checks_ids_and_repeated_teams(spark):
+    good = box(*GOOD) + block("1st", "$1,000.00", "A") + "</main>"
+    twice = box(*GOOD) + block("1st", "$500.00", "A") + block("2nd", "$500.00", "A") + "</main>"
+    df = pages(spark, good, good, twice).withColumn("file_id", F.when(F.col("page_id") == 1, "8").otherwise("7"))
+    got = pg.extract_batch(df, expected_id=F.col("file_id")).orderBy("page_id").collect()
+    assert [(x.status, x.error) for x in got] == [
+        ("matched", None), ("failed", "id_mismatch"), ("tournament_only", "repeated_team")]
+    no_id = pages(spark, good, url="https://x.org/other")
+    assert pg.extract_batch(no_id, expected_id=F.lit("7")).first().error == "url_without_id"
+
+
+def test_tournament_jobs_share_one_scan(spark):
+    good = box(*GOOD) + block("1st", "$1,000.00", "A") + "</main>"
+    parsed = pg.tournament_blocks(pages(spark, good))
+    for out in (pg.extract_parents(parsed), pg.extract_children(parsed, currency_field="Currency"),
+                pg.extract_breakdown(parsed), pg.extract_batch(parsed)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [parse(") == 1 and "Join" not in plan
+    assert pg.extract_children(parsed, currency_field="Currency").first().prize_cents == 100000
+
+
 def test_one_bad_row_stops_nothing(spark):
     from prizelens.functions import money as m
 
