@@ -235,35 +235,51 @@ def predict_rows_of(featured: DataFrame, split: str) -> DataFrame:
     return featured.where((F.col("split") == split) & F.col("lag_4").isNotNull())
 
 
-def tune_forest(
+CANDIDATE = ["candidate_id", "max_depth", "min_leaf", "feature_share"]
+
+
+def candidate_predictions(
     featured: DataFrame,
     target: str,
     grid: Sequence[ForestSetting] = FOREST_GRID,
     trees: int = 500,
 ) -> DataFrame:
-    """Each setting fitted on train and scored on validation, best first."""
+    """Validation rows with each candidate's prediction; the candidate is a column.
+
+    Every candidate is fitted on the same train rows. Scores are taken from this table,
+    so a choice can be repeated from stored predictions without a fit.
+    """
     train = fit_rows_of(featured, target, ["train"]).persist()
     check = fit_rows_of(featured, target, ["validation"])
     parts = []
     for number, setting in enumerate(grid, start=1):
-        fitted = fit_forest(train, target, setting, trees)
-        scored = fitted.predict(check, "prediction")
+        scored = fit_forest(train, target, setting, trees).predict(check, "prediction")
         parts.append(
-            baseline_scores(
-                scored.select(
-                    F.lit(number).alias("candidate_id"),
-                    F.lit(setting.depth).alias("max_depth"),
-                    F.lit(setting.leaf).alias("min_leaf"),
-                    F.lit(setting.features).alias("feature_share"),
-                    target,
-                    "prediction",
-                ),
-                ["candidate_id", "max_depth", "min_leaf", "feature_share"],
-                target,
+            scored.select(
+                F.lit(number).alias("candidate_id"),
+                F.lit(setting.depth).alias("max_depth"),
+                F.lit(setting.leaf).alias("min_leaf"),
+                F.lit(setting.features).alias("feature_share"),
+                "family", "period_start", target, "prediction",
             )
         )
     train.unpersist()
-    return union_all(*parts).orderBy("rmse", "mae", "candidate_id")
+    return union_all(*parts)
+
+
+def candidate_scores(predictions: DataFrame, target: str) -> DataFrame:
+    """Scores of all candidates in one pass, best first."""
+    return baseline_scores(predictions, CANDIDATE, target).orderBy("rmse", "mae", "candidate_id")
+
+
+def tune_forest(
+    featured: DataFrame,
+    target: str,
+    grid: Sequence[ForestSetting] = FOREST_GRID,
+    trees: int = 500,
+) -> DataFrame:
+    """Each setting fitted on train and scored on validation, best first."""
+    return candidate_scores(candidate_predictions(featured, target, grid, trees), target)
 
 
 def rolling_one_step(

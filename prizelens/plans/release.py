@@ -130,11 +130,12 @@ def counted(section: str, name: str, unit: str, note: str) -> list[Metric]:
     return [Metric(section, name, unit, note, F.count(F.lit(1)), overall=True, each=False)]
 
 
-ATTENTION = [
-    *counted("scope", "attention_observations", "family-months", "main category, not per tournament"),
-    Metric("family", "attention_months", "months",
-           F.concat_ws(" to ", F.min("month_start"), F.max("month_start")), F.count(F.lit(1))),
-]
+def attention_metrics() -> list[Metric]:
+    span = F.concat_ws(" to ", F.min("month_start"), F.max("month_start"))
+    return [
+        *counted("scope", "attention_observations", "family-months", "main category, not per tournament"),
+        Metric("family", "attention_months", "months", span, F.count(F.lit(1))),
+    ]
 
 
 def panel_metrics() -> list[Metric]:
@@ -201,7 +202,7 @@ def kpi_table(release: Release) -> DataFrame:
     if r.children is not None:
         parts.append(measured(r.children, counted("scope", "placements", "rows", "accepted team results")))
     if r.attention is not None:
-        parts.append(measured(r.attention, ATTENTION))
+        parts.append(measured(r.attention, attention_metrics()))
     if r.countries is not None:
         parts.append(measured(r.countries, counted("scope", "country_observations", "rows", "reconciled tables only")))
         shares = country_totals(r.countries, "family", "country_code", "country_name", "prize_cents")

@@ -798,7 +798,7 @@ KPI_SQL = f"""
     top AS (SELECT family, country_code, m / sum(m) OVER (PARTITION BY family) * 100 AS v,
                    row_number() OVER (PARTITION BY family ORDER BY m DESC, country_code) AS k
             FROM (SELECT family, country_code, sum(pool_cents) AS m FROM owner_country WHERE eligible GROUP BY ALL)),
-    g AS (SELECT family, sum(target_usd) AS total, max(target_usd) AS peak, max_by(quarter, (target_usd, quarter)) FILTER (target_usd IS NOT NULL) AS at,
+    g AS (SELECT family, sum(target_usd) AS total, max(target_usd) AS peak, max_by(quarter, (target_usd, quarter)) FILTER (target_usd IS NOT NULL) AS peak_at,
                  string_agg(quarter, ' | ' ORDER BY quarter) FILTER (target_usd IS NULL AND quarter LIKE '{KPI_YEAR}%') AS missing FROM grid GROUP BY family),
     e AS (SELECT * FROM long WHERE is_primary_model AND absolute_error_usd IS NOT NULL
           ORDER BY absolute_error_usd DESC, family, quarter LIMIT 10),
@@ -827,7 +827,7 @@ KPI_SQL = f"""
     UNION ALL SELECT 'countries', family, 'top_country_' || country_code || '_share', 'all observed', v, NULL, 'percent', 'share of reconciled money' FROM top WHERE k = 1
     UNION ALL SELECT 'forecast', family, 'missing_quarters', '{KPI_YEAR}', NULL, coalesce(missing, 'no missing quarters'), 'quarters', 'never imputed as zero' FROM g
     UNION ALL SELECT 'prizes', family, 'total_source_pool', 'all observed', total, NULL, 'USD', 'sum of observed quarters' FROM g
-    UNION ALL SELECT 'prizes', family, 'peak_quarter_pool', at, peak, NULL, 'USD', 'largest observed quarter' FROM g
+    UNION ALL SELECT 'prizes', family, 'peak_quarter_pool', peak_at, peak, NULL, 'USD', 'largest observed quarter' FROM g
     UNION ALL SELECT 'errors', family, 'absolute_error', quarter, absolute_error_usd, NULL, 'USD', 'largest errors of the primary model' FROM e)
     SELECT section, family, metric, period, round(CAST(value AS DOUBLE), CASE unit WHEN 'USD' THEN 2 ELSE 5 END) AS value, text, unit, note FROM k
 """

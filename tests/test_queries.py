@@ -2,11 +2,13 @@
 
 import pytest
 
-from prizelens.queries import ORACLES, QUERIES
+from prizelens.queries import ORACLES, QUERIES, forecasts
 from tests.oracle import compare, connect
 
-# Fitting 500 trees several times is left to the driver and to test_forecast.
-SLOW = {"m05_forest_tuning", "m07_prediction_table", "m08_target_policies", "m09_primary_model"}
+@pytest.fixture(autouse=True)
+def few_trees(monkeypatch):
+    """Results that have a closed form do not depend on the number of trees."""
+    monkeypatch.setattr(forecasts, "TREES", 12)
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +16,7 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, sf, name):
     if name in ORACLES:
         assert compare(spark, con, QUERIES[name], ORACLES[name], sf) == ""
