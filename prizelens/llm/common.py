@@ -29,11 +29,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, group_bytes: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: read again with pruned columns,
-    and no lost executor can take it along."""
+    and no lost executor can take it along. ``group_bytes`` bounds what a task buffers before
+    it writes a row group."""
     path = new_run_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ from prizelens.llm.common import worker_memo
 
 DEPTH = 2  # skips that remembered forms have at most
 AT_ONCE = 100_000  # occurrences worked on together, which bounds a task's memory
-MEMO_UNITS = 600_000  # a full memo is emptied and fills again; results do not depend on it
+MEMO_UNITS = 200_000  # a full memo is emptied and fills again; results do not depend on it
 TEXTS = 500  # encoded together
 TOGETHER, SHORT = 4_096, 64  # units segmented side by side, and their length at most
 SPACE = "▁"  # how the vocabulary writes a space

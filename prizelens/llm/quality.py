@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from prizelens.llm.common import BLANKS, WORD, stored, words
 
 STEPS = 16  # buckets per doubling
+TEXT_GROUP = 16 << 20  # bytes of texts a task holds while it writes them
 MIN_ROWS = 200  # texts below which a source takes its language's thresholds
 MIN_WORDS = 50
 FENCE = 8  # spreads above the upper quartile
@@ -197,6 +198,7 @@ def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     alone, and no filter is pushed into the array expressions that compute them.
     """
     packed = docs.select(F.struct("*").alias("_row"), "lang", "source", text)
-    seen = stored(measured(packed, text).drop(text), "measured").where(~F.col("base_failed"))
+    measures = stored(measured(packed, text).drop(text), "measured", TEXT_GROUP)
+    seen = measures.where(~F.col("base_failed"))
     limits = stored(thresholds(seen.drop("_row")), "thresholds")
     return with_verdict(seen, limits).where("kept").select("_row.*")
