@@ -15,6 +15,9 @@ ODD_BLANKS = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 BLANK = f"[ {ODD_BLANKS}]"
 # What a single plain blank replaces; a blank that is one already is left alone.
 BLANKS = f"[{ODD_BLANKS}]{BLANK}*+| {BLANK}++"
+# The rare ones among them, and a few ranges that hold these and little else.
+RARE_ASCII = r"[\x0b\x0c\x1c-\x1f]"
+NEAR_RARE = r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u3000]"
 # Nothing below the first combining mark changes under NFC or joins another character.
 FROM_FIRST_MARK = r"[\u0300-\x{10FFFF}]"
 # Characters that NFC may change or join to others: marks, Hangul letters, and the blocks
@@ -82,8 +85,21 @@ def _where_needed(texts: Column, needed, udf) -> Column:
 
 
 def squeeze(col: Column) -> Column:
-    """Collapse runs of blanks, trim, empty becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(col, BLANKS, " ")), F.lit(""))
+    """Collapse runs of blanks, trim, empty becomes null.
+
+    Line ends and tabs are replaced byte by byte; a pattern runs only over texts that hold
+    a rarer blank or, after that, two blanks in a row.
+    """
+    plain = col
+    for c in "\n\r\t":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    rare = F.when(is_ascii(col), col.rlike(RARE_ASCII)).otherwise(col.rlike(NEAR_RARE))
+    single = (
+        F.when(rare, F.regexp_replace(col, BLANKS, " "))
+        .when(plain.contains("  "), F.regexp_replace(plain, " {2,}", " "))
+        .otherwise(plain)
+    )
+    return F.nullif(F.trim(single), F.lit(""))
 
 
 def clean_text(col: Column) -> Column:

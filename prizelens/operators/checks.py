@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from prizelens.functions.calendar import quarter_label
 from prizelens.operators.joins import set_difference_sizes
+from prizelens.session import ensure_checkpoint_dir
 
 SAMPLE_SIZE = 20
 
@@ -67,6 +68,15 @@ def require_passed(results: DataFrame) -> DataFrame:
     return results
 
 
+def checked_table(df: DataFrame, checks: dict[str, Column], id_col: str) -> DataFrame:
+    """``df``, worked out once, stored and proven: the checks and the caller read the same
+    rows. Raises when a check fails."""
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint()
+    require_passed(run_checks(kept, checks, id_col))
+    return kept
+
+
 def numeric_checks(cols: Sequence[str]) -> dict[str, Column]:
     """Fail conditions: not a number, missing, negative (per column)."""
     checks: dict[str, Column] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prizelens.functions.text import label_or
-from prizelens.operators.checks import require_passed, run_checks
+from prizelens.operators.checks import checked_table
 from prizelens.operators.joins import apply_null_policy, assert_unique, enrich, split_by_keys
 from prizelens.operators.rules import flag_duplicates
 from prizelens.operators.stats import monthly_rollup, pct
@@ -97,16 +97,14 @@ def monthly_panel(
     )
 
 
-def panel_checks(panel: DataFrame) -> DataFrame:
-    """The panel's own rules: a platform total for each row, share within 0-100."""
-    return require_passed(
-        run_checks(
-            panel,
-            {
-                "platform_missing": F.col("platform_hours").isNull(),
-                "platform_not_positive": F.col("platform_hours") <= 0,
-                "share_out_of_range": ~F.col("share_of_platform_pct").between(0, 100),
-            },
-            "family",
-        )
+def checked_panel(panel: DataFrame) -> DataFrame:
+    """The panel, stored once and proven: a platform total for each row, share within 0-100."""
+    return checked_table(
+        panel,
+        {
+            "platform_missing": F.col("platform_hours").isNull(),
+            "platform_not_positive": F.col("platform_hours") <= 0,
+            "share_out_of_range": ~F.col("share_of_platform_pct").between(0, 100),
+        },
+        "family",
     )

@@ -10,7 +10,7 @@ from prizelens.operators import scoring as s
 from prizelens.operators.checks import check_close, run_checks
 from prizelens.operators.grid import calendar_rows
 from prizelens.operators.stats import quality_sensitivity
-from prizelens.plans.attention import monthly_panel, panel_checks
+from prizelens.plans.attention import monthly_panel, checked_panel
 from prizelens.queries.registry import query
 from prizelens.queries.shapes import (
     ATTENTION,
@@ -125,7 +125,7 @@ def game_monthly_panel(spark, sf):
     att = att.checkpoint()
     platform = att.groupBy("month_start").agg(F.sum("hours").alias("hours"))
     panel, _ = monthly_panel(att, parents(spark, sf), platform)
-    panel_checks(panel)
+    panel = checked_panel(panel)
     return panel.withColumn("share_of_platform_pct", F.round("share_of_platform_pct", 6))
 
 

@@ -9,7 +9,8 @@ from prizelens.operators import checks as c
 from prizelens.operators import rules as r
 from prizelens.operators.grid import regularity
 from prizelens.plans.attention import peak_check, quality_status
-from prizelens.plans.cleaning import clean_log
+from prizelens.plans.audit import audit_clean_log
+from prizelens.plans.cleaning import CleanLog, clean_log
 from prizelens.queries.registry import query
 from prizelens.queries.shapes import (
     ATTENTION,
@@ -27,6 +28,7 @@ from prizelens.queries.shapes import (
     user_days,
 )
 from prizelens.queries.sources import STATUS_OF, result_log
+from prizelens.session import ensure_checkpoint_dir
 
 RULES = [
     ("too_large", "quantity > 48"),
@@ -326,6 +328,43 @@ def complete_cleaning_partition(spark, sf):
     )
 
 
+@query(
+    "q10_clean_log_audit",
+    f"""
+    WITH {PARENTS}, {CHILDREN}, {POOLS}, {FAULTS},
+    p AS (SELECT * FROM final WHERE parent_reason IS NULL),
+    bad_year AS (SELECT count(*) AS n FROM p WHERE parent_id % 97 = 0),
+    bad_sum AS (SELECT count(*) AS n FROM p WHERE note IS NULL AND parent_id % 89 = 0),
+    lost AS (SELECT count(*) AS n FROM p WHERE note IS NULL AND parent_id % 83 = 0 AND parent_id % 89 <> 0)
+    SELECT name AS "check", n = 0 AS passed, n AS bad_rows FROM (
+      SELECT unnest(['parents: key_empty_or_repeated', 'children: key_empty_or_repeated', 'parents: id_without_source',
+        'parents: game_out_of_scope', 'parents: start_date_out_of_scope', 'parents: quarter_differs', 'parents: range_invalid',
+        'parents: money_invalid', 'children: id_without_source', 'children: game_out_of_scope', 'children: start_date_out_of_scope',
+        'children: ambiguous_id_kept', 'children: name_empty_or_repeated', 'children: status_not_accepted', 'children: money_invalid',
+        'children: parent_missing', 'children: differs_from_parent', 'places: not_in_exactly_one', 'places: blocked_but_clean',
+        'places: review_but_children', 'children: fewer_than_required']) AS name, 0 AS n
+      UNION ALL SELECT 'parents: year_differs', n FROM bad_year
+      UNION ALL SELECT 'totals: sum_or_status_differs', n FROM bad_sum
+      UNION ALL SELECT 'totals: eligible_without_children', n FROM lost)
+    """,
+)
+def clean_log_audit(spark, sf):
+    """The audit finds what was done to the cleaned tables: years, amounts and lost children."""
+    ensure_checkpoint_dir(spark)
+    log, out = _faulty_log(spark, sf), _cleaned(spark, sf)
+    number = F.regexp_replace("tournament_id", "^earnings:", "").cast("bigint")
+    changed = CleanLog(
+        parents=out.parents.withColumn("year", F.col("year") + (number % 97 == 0).cast("int")).checkpoint(),
+        children=out.children.where((number % 83 != 0) | (number % 89 == 0)).withColumn(
+            "prize_cents", F.col("prize_cents") + F.when(number % 89 == 0, 1000).otherwise(0)
+        ).checkpoint(),
+        quarantine=out.quarantine.select("tournament_id", "reason", "affected_table").checkpoint(),
+        out_of_scope=out.out_of_scope.checkpoint(),
+    )
+    slugs = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return audit_clean_log(log, changed, slugs, "1996-01-01", "2000-12-31").drop("sample_ids")
+
+
 @query(
     "q03_quarantine_record",
     f"""

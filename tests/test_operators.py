@@ -1,6 +1,8 @@
 import datetime
+import math
 import random
 import statistics
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,8 @@ from prizelens.operators import stats as st
 from prizelens.operators import windows as w
 from prizelens.operators.grid import complete_grid, missing_periods
 from prizelens.operators.quantiles import exact_quantiles
-from prizelens.plans.cleaning import clean_log
+from prizelens.plans.audit import audit_clean_log
+from prizelens.plans.cleaning import CleanLog, clean_log
 from prizelens.sources.log import LOG_SCHEMA
 
 D = datetime.date
@@ -302,3 +305,39 @@ def test_clean_log_rules(spark):
     assert out.children.select("placement_id").distinct().count() == out.children.count()
     nine = out.children.where("tournament_id = 'earnings:9'").collect()
     assert {(x.source_team_id, x.key_basis) for x in nine} == {(None, "tournament_and_team_name")}
+
+
+def test_audit_of_a_clean_log(spark):
+    log = spark.createDataFrame([v[0] for v in LOG.values()], LOG_SCHEMA)
+    config = spark.createDataFrame(
+        [("dota-2", "g1", "231", "Dota 2", "Dota 2")],
+        "game_slug string, game_id string, earnings_game_id string, game_family string, game_name string",
+    )
+    out = clean_log(log, config, "2012-01-01", "2025-12-31")
+    out = CleanLog(*(df.cache() for df in (out.parents, out.children, out.quarantine, out.out_of_scope)))
+    scope = (["dota-2"], "2012-01-01", "2025-12-31")
+    found = audit_clean_log(log, out, *scope, minimum_children=5).collect()
+    assert len(found) == 24 and [x.check for x in found if not x.passed] == []
+    twice = CleanLog(out.parents.union(out.parents.limit(1)), out.children.union(out.children.limit(1)), out.quarantine, out.out_of_scope)
+    failed = {x.check for x in audit_clean_log(log, twice, *scope, minimum_children=99).collect() if not x.passed}
+    assert {"parents: key_empty_or_repeated", "children: key_empty_or_repeated", "children: name_empty_or_repeated",
+            "children: fewer_than_required"} <= failed
+    none = CleanLog(*(df.limit(0) for df in (out.parents, out.children, out.quarantine, out.out_of_scope)))
+    assert {x.check for x in audit_clean_log(log, none, *scope).collect() if not x.passed} == {"places: not_in_exactly_one"}
+
+
+def test_moments_of_very_large_cents(spark):
+    big = 2**53
+    values = [big, big + 1, big + 3, -big, 7, 7, None]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None)] + [("c", big)], "family string, x long")
+    got = {r.family: r for r in st.describe_by(df, "family", ["x"]).collect()}
+    known = [v for v in values if v is not None]
+    mean = Fraction(sum(known), len(known))
+    exact = math.sqrt(sum((v - mean) ** 2 for v in known) / (len(known) - 1))
+    assert got["a"].n == 6 and got["a"]["std"] == pytest.approx(exact, rel=1e-14)
+    near = spark.createDataFrame([("a", big + d) for d in (0, 1, 2, 3)], "family string, x long")
+    assert st.describe_by(near, "family", ["x"]).first()["std"] == pytest.approx(math.sqrt(5 / 3), rel=1e-14)
+    assert (got["b"].n, got["b"]["mean"], got["b"]["std"]) == (0, None, None)
+    assert (got["c"].n, got["c"]["std"], got["c"]["max"]) == (1, None, float(big))
+    halves = spark.createDataFrame([("a", 0.5), ("a", 1.5), ("a", 4.0)], "family string, x double")
+    assert st.describe_by(halves, "family", ["x"]).first()["std"] == pytest.approx(1.8027756, rel=1e-6)
