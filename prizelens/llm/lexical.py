@@ -34,6 +34,7 @@ FOLD = bytes(
     for b in range(256)
 )
 BLOCK_TERMS = 400_000  # terms of the items in one broadcast
+BLOCK_ITEMS = 10_000  # items of one broadcast, whose best documents a task holds
 SHARD_POSTINGS = 3_000_000  # postings of a shard before it is searched
 FIRST_STEP = 32  # positions read at first; doubled each time, so few steps reach any depth
 
@@ -217,11 +218,12 @@ def searcher(shared, k: int, shard_postings: int):
 
 
 def item_blocks(items: DataFrame, block_terms: int) -> Iterator[list]:
-    """Items as ``(item_id, terms)`` in blocks of about ``block_terms`` terms."""
+    """Items as ``(item_id, terms)`` in blocks of about ``block_terms`` terms, one by one
+    through the driver."""
     block, size = [], 0
     for row in items.toLocalIterator():
         found = terms_of(None if row.text is None else row.text.encode())
-        if block and size + len(found) > block_terms:
+        if block and (size + len(found) > block_terms or len(block) == BLOCK_ITEMS):
             yield block
             block, size = [], 0
         block.append((row.item_id, found))
