@@ -93,7 +93,7 @@ def linear_regression(spark, sf):
 # A straight line in time per family, with the real gaps; its first fit row has period 5.
 LINE = """line AS (
       SELECT *, lag(y, 4) OVER (PARTITION BY family ORDER BY period_start) AS y_4 FROM (
-        SELECT family, quarter, period_start, split, CASE WHEN {t} IS NOT NULL THEN {base} + CAST(
+        SELECT family, quarter, period_start, split, CASE WHEN target_usd IS NOT NULL THEN {base} + CAST(
           CAST(substr(family, 1, 1) AS INTEGER) * 10000 + 100 * (year(period_start) * 4 + quarter(period_start)) AS DOUBLE) END AS y
         FROM grid))"""
 # Distance of a train row from the step: bagging blurs the two periods next to it.
@@ -104,11 +104,11 @@ STEPPED = f"""stepped AS (
 
 
 def line_grid(spark, sf):
-    """The grid with two straight lines as targets, null where the money is."""
+    """The grid with two straight lines as targets, null where no money was observed."""
     start = F.col("period_start")
     line = F.substring("family", 1, 1).cast("int") * 10000 + 100 * (F.year(start) * 4 + F.quarter(start))
     lines = {
-        t: F.when(F.col(t).isNotNull(), (line + base).cast("double"))
+        t: F.when(F.col("target_usd").isNotNull(), (line + base).cast("double"))
         for base, t in zip((0, 5_000_000), TARGETS.values())
     }
     return grid(spark, sf).select(*KEYS, *[c.alias(t) for t, c in lines.items()])
@@ -224,7 +224,7 @@ FRAME = """SELECT family, quarter, split, '{policy}' AS target_policy, y AS actu
 def _frame_sql(*policies: str) -> str:
     bases = dict(zip(TARGETS, (0, 5_000_000)))
     return f"WITH {GRID} " + " UNION ALL ".join(
-        FRAME.format(policy=p, base=bases[p], cte="WITH " + LINE.format(t=TARGETS[p], base=bases[p]))
+        FRAME.format(policy=p, base=bases[p], cte="WITH " + LINE.format(base=bases[p]))
         for p in policies
     )
 
@@ -294,7 +294,7 @@ def target_policies(spark, sf):
 @query(
     "m09_primary_model",
     f"""
-    WITH {GRID}, {LINE.format(t="target_usd", base=0)}
+    WITH {GRID}, {LINE.format(base=0)}
     SELECT 'linear_regression' AS model, count(*) AS n_evaluated, 0.0::DOUBLE AS rmse_usd
     FROM line WHERE split = 'validation' AND y_4 IS NOT NULL AND y IS NOT NULL
     """,
