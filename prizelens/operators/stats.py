@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from prizelens.operators.joins import lookup, union_all
 from prizelens.operators.quantiles import (
     counted_values,
-    exact_quantiles,
     moments_of_counts,
     quantiles_of_counts,
 )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prizelens.functions.text import label_or
-from prizelens.operators.checks import checked_table
+from prizelens.operators.checks import checked_table, run_checks
 from prizelens.operators.joins import apply_null_policy, assert_unique, enrich, split_by_keys
 from prizelens.operators.rules import flag_duplicates
 from prizelens.operators.stats import monthly_rollup, pct

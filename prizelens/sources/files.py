@@ -9,7 +9,6 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8 << 20
 DIGESTS = "path string, bytes long, sha256 string"
