@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,33 @@ def stored(df: DataFrame, label: str, group_bytes: int | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Turns:
+    """Stored tables that replace each other turn by turn: the next, once committed, removes
+    the one of the same label, which nothing reads any more."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, DataFrame] = {}
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        out = stored(df, label)
+        self.discard(label)
+        self.last[label] = out
+        return out
+
+    def discard(self, label: str) -> None:
+        old = self.last.pop(label, None)
+        if old is not None:
+            remove_stored(old)
+
+
+def remove_stored(df: DataFrame) -> None:
+    """Remove the folder of a table that ``stored`` wrote."""
+    files = df.inputFiles()
+    if files:
+        filesystem, folder = fs.FileSystem.from_uri(files[0].rsplit("/", 1)[0])
+        filesystem.delete_dir(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small iterated table through the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -7,11 +7,13 @@ shares a table unless it misses all left or all right bands, about
 ``2 (1 - s**WIDTH)**SIDE``: 6 in 10,000 at 0.8, 7 in 100,000 at 0.85.
 
 Texts with equal shingle sets are one class and only classes are compared. Within a table
-entry, a few heads at a time are compared with the members that are not yet in their
-component, by their full sets, and then leave the entry, until all that remain are of one
-component or so few that their pairs are compared at once. So a large group of copies
-costs a few stars, never all its pairs, and no pair that an entry holds together is left
-undecided.
+entry, a few heads are compared with the members that are not yet in their component, by
+their full sets, and then leave the entry. An entry is done when all that remain are of one
+component, or so few that their pairs are compared at once. What is still larger is mostly
+unlike: it is dealt anew to finer entries, which share one more of the ``2 * SIDE`` bands
+each, up to ``DEEP`` bands. A pair of similarity 0.8 that an entry holds shares fewer in 2 of
+10,000 cases, and only where all its entries are that large. So a large group of copies
+costs a few stars, never all its pairs, and a frequent phrase does not pair all who use it.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prizelens.llm.common import stored
+from prizelens.llm.common import Turns, stored
 from prizelens.llm.components import components
 
 SIDE, WIDTH = 8, 2
 HEADS = 4  # compared with an entry at a time, after the first
-SMALL = 32  # members of an entry whose pairs are compared at once; four times as many
-# with every turn, so that the turns stay few
+SMALL = 32  # members of an entry whose pairs are compared at once
+DEEP = 4  # bands of the finest entries; what is larger even there is settled by heads and
+# pairs of four times as many members with every turn, so that the turns stay few
 SEED = 20_240
 ROWS_AT_ONCE = 16_384  # shingles hashed at once, which bounds a task's memory
 MANY = 0xFF51AFD7ED558CCD  # odd multiplier
@@ -76,7 +79,7 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 SIGNED_SQL = "n long, cls binary, bands array<long>"
-SETS_SQL = "nid long, shingles array<long>"
+SETS_SQL = "cls binary, shingles array<long>"
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -105,27 +108,46 @@ def signer(k: int):
 def set_maker(k: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nid, sets = [], []
-            for i, cls, text in zip(batch.column("nid"), batch.column("cls"), batch.column("text")):
-                s = shingle_set(text.as_py(), k)
-                if len(s) and digest(s) == cls.as_py():
-                    nid.append(i.as_py())
-                    sets.append(s.view(np.int64))
+            sets = [s for s in (shingle_set(t.as_py(), k) for t in batch.column("text")) if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nid, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                names=["nid", "shingles"],
+                [pa.array(map(digest, sets), pa.binary()),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["cls", "shingles"],
             )
 
     return make
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
-    """``key, nid, n``: one row per class and table."""
+    """``key, mask, nid, n``: one row per class and table. The mask tells the bands in the key."""
     pairs = F.explode(F.array(*(
-        F.xxhash64(F.lit(i * SIDE + j), F.col("bands")[i], F.col("bands")[SIDE + j])
+        F.struct(
+            F.xxhash64(F.lit(i * SIDE + j), F.col("bands")[i], F.col("bands")[SIDE + j]).alias("key"),
+            F.lit(1 << i | 1 << (SIDE + j)).alias("mask"),
+        )
         for i in range(SIDE) for j in range(SIDE)
     )))
-    return reps.select(pairs.alias("key"), "nid", "n")
+    return reps.select(pairs.alias("p"), "nid", "n").select("p.key", "p.mask", "nid", "n")
+
+
+def finer_entries(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """``members`` with every large entry that still holds several components dealt to
+    finer ones, whose keys hold one more band each. Entries of one component go."""
+    still = members.groupBy("key").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")
+    ).where("c0 < c1").select("key", "size")
+    found = members.join(still, "key")
+    coarse = (F.col("size") > SMALL) & (F.bit_count("mask") < DEEP)
+    bands = reps.select(F.col("nid").alias("_n"), "bands")
+    split = found.where(coarse).join(bands, F.col("nid") == F.col("_n"))
+    # The key is a function of the bands alone, so entries that meet in finer ones become one.
+    more = F.array(*(F.col("mask").bitwiseOR(F.lit(1 << b)) for b in range(2 * SIDE)))
+    split = split.withColumn("m", F.explode(F.filter(more, lambda m: m != F.col("mask"))))
+    chosen = F.array(*(
+        F.when(F.col("m").bitwiseAND(F.lit(1 << b)) != 0, F.col("bands")[b]) for b in range(2 * SIDE)
+    ))
+    split = split.select(F.xxhash64("m", chosen).alias("key"), F.col("m").alias("mask"), "nid", "n", "comp")
+    return found.where(~coarse).drop("size").unionByName(split.dropDuplicates(["key", "nid"]))
 
 
 def similar_sizes(percent: int, n: str, m: str):
@@ -173,24 +195,28 @@ def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 
     ``reps`` has ``nid, doc_id, cls, n, bands``; ``texts`` has ``doc_id, text``.
     """
+    turns = Turns()
     keys = table_keys(reps)
     entries = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = stored(keys.join(entries, "key").withColumn("comp", F.col("nid")), "minhash-entries")
-    wanted = members.select("nid").distinct().join(reps, "nid").select(
-        "nid", "cls", F.col("doc_id").alias("_d")
-    )
-    sets = stored(
-        texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")))
-        .select("nid", "cls", "text").mapInArrow(set_maker(k), SETS_SQL).dropDuplicates(["nid"]),
-        "shingle-sets",
-    )
+    members = turns.stored(keys.join(entries, "key").withColumn("comp", F.col("nid")), "minhash-entries")
+    wanted = members.select("nid").distinct().join(reps, "nid").select("nid", "cls", F.col("doc_id").alias("_d"))
+    # Every text is read once at most, however often its id repeats, and gives its class.
+    ids = wanted.select("_d").distinct()
+    found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").select("text")
+    found = found.mapInArrow(set_maker(k), SETS_SQL).dropDuplicates(["cls"])
+    sets = stored(found.join(wanted.select("nid", "cls"), "cls").select("nid", "shingles"), "shingle-sets")
     labels, turn = reps.select("nid", F.col("nid").alias("comp")), 0
     while True:
-        chosen = stored(open_entries(members, turn), "minhash-heads")
+        if turn > 1:
+            members = turns.stored(finer_entries(members, reps), "minhash-entries")
+        chosen = turns.stored(open_entries(members, turn), "minhash-heads")
         if chosen.isEmpty():
+            turns.discard("minhash-entries")
             return labels
         together = members.join(chosen, "key")
-        small = F.lit(turn > 0) & (F.col("size") <= SMALL * 4 ** max(0, turn - 1))
+        deepest = F.bit_count("mask") >= DEEP
+        limit = F.when(deepest, F.lit(SMALL * 4 ** max(0, turn - DEEP))).otherwise(SMALL)
+        small = F.lit(turn > 0) & (F.col("size") <= limit)
         stars = ordered_pairs(together.where(~small).withColumn("h", F.explode("heads")), percent)
         few = together.where(small).select("key", "nid", "n", "comp")
         other = few.select(F.col("key").alias("_k"), F.struct("nid", "n", "comp").alias("h"))
@@ -202,11 +228,11 @@ def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> D
         merged = components(verified(pairs, sets, percent))
         moved = merged.select(F.col("id").alias("_id"), "component")
         rest = together.where(~small).where(~F.exists("heads", lambda h: h["nid"] == F.col("nid")))
-        members = stored(
-            rest.select("key", "nid", "n", "comp").join(moved, F.col("comp") == F.col("_id"), "left")
-            .select("key", "nid", "n", F.coalesce("component", "comp").alias("comp")), "minhash-entries",
+        members = turns.stored(
+            rest.select("key", "mask", "nid", "n", "comp").join(moved, F.col("comp") == F.col("_id"), "left")
+            .select("key", "mask", "nid", "n", F.coalesce("component", "comp").alias("comp")), "minhash-entries",
         )
-        labels = stored(
+        labels = turns.stored(
             labels.join(moved, F.col("comp") == F.col("_id"), "left")
             .select("nid", F.coalesce("component", "comp").alias("comp")), "minhash-labels",
         )
