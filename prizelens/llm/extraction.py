@@ -31,9 +31,11 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LABEL = re.compile(r'data-label="([01])"')
+BLOCK_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 # What HTML says of elements.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button datalist title".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+MUTE = frozenset("template svg canvas audio video select button datalist annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset((
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure"
@@ -71,6 +73,45 @@ N_FEATURES = 1 + N_KINDS + N_HINTS + 7
 STEPS, STEP_SIZE, DECAY = 400, 0.1, 5e-4
 
 
+def element_ends(page: str, tag: str) -> dict[int, int]:
+    """Where the elements of a kind end, by where they open; those never closed are left out."""
+    opened: list[int] = []
+    ends: dict[int, int] = {}
+    until = 0
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])", page, re.I):
+        if m.start() < until:  # inside the tag before
+            continue
+        until = page.find(">", m.end())
+        if until < 0:
+            break
+        if m[1]:
+            if opened:
+                ends[opened.pop()] = m.start()
+        elif page[until - 1] != "/":
+            opened.append(m.start())
+    return ends
+
+
+def mute_end(page: str, at: int, end: int | None, outer: set[str]) -> int:
+    """Where an element without text of the article ends: at its end tag, or before it where
+    a block of ``outer`` ends; one never closed holds no block."""
+    inner: list[str] = []
+    for m in BLOCK_TAG.finditer(page, at, len(page) if end is None else end):
+        tag = m[2].lower()
+        if tag not in BLOCK:
+            continue
+        if end is None:
+            return m.start()
+        if not m[1]:
+            inner.append(tag)
+        elif tag in inner:
+            while inner.pop() != tag:
+                pass
+        elif tag in outer:
+            return m.start()
+    return len(page) if end is None else end
+
+
 def read_page(page: str) -> tuple[list, list, list]:
     """Blocks ``[parent, depth, kind, hints, label, chars, link chars, stops]`` in page order,
     texts ``(block, text)`` in page order, nothing else of the page."""
@@ -78,6 +119,7 @@ def read_page(page: str) -> tuple[list, list, list]:
     texts: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]
     pieces: list[str] = []
+    ends: dict[str, dict[int, int]] = {}
     links, at, in_head = 0, 0, False
 
     def flush() -> None:
@@ -146,7 +188,13 @@ def read_page(page: str) -> tuple[list, list, list]:
                     if stack[k][0] in BLOCK:
                         break
             continue
-        if tag in SILENT:
+        if tag in MUTE:
+            if not attrs.endswith("/"):
+                if tag not in ends:
+                    ends[tag] = element_ends(page, tag)
+                at = mute_end(page, at, ends[tag].get(m.start()), {t for t, _ in stack})
+            continue
+        if tag in RAW:
             if not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
@@ -297,7 +345,8 @@ def extract_text(pages: DataFrame, html_column: str = "html", sample: int = N_PA
 
     The model is trained on ``sample`` labelled pages, a fixed number that does not grow
     with the input. Null or empty html gives an empty text. White space inside a block
-    becomes one space; blocks are joined in page order. Columns named like the new ones
+    becomes one space; blocks are joined in page order. A button, drawing or player that is not
+    closed ends where the next block begins or ends, so it takes no text along. Columns named like the new ones
     are replaced; repeated rows get the same text.
     """
     extract = extractor(*train(labelled_pages(sample)))
