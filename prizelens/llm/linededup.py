@@ -160,7 +160,7 @@ def repeated_places(slim: DataFrame) -> DataFrame:
     often = found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
     wanted = (
         found.join(often, "hash").groupBy("doc_id", "tag")
-        .agg(F.collect_list(F.struct("start", "n")).alias("wanted"))  # chunks of one text
+        .agg(F.collect_set(F.struct("start", "n")).alias("wanted"))  # chunks of one text, rows may repeat it
         .withColumnsRenamed({"doc_id": "_d", "tag": "_t"})
     )
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("tag").eqNullSafe(F.col("_t"))
@@ -181,7 +181,7 @@ def repeated_places(slim: DataFrame) -> DataFrame:
     )
     later = parts.join(first, "digest").where(~overlaps)
     return later.groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("start", "n")).alias("spans")
+        F.collect_set(F.struct("start", "n")).alias("spans")
     )
 
 
