@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LABEL = re.compile(r'data-label="([01])"')
+CUT_TAG = re.compile(r"<[/a-zA-Z]")  # behind the last ">": a tag that the page's end cuts off
 BLOCK_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 # What HTML says of elements.
@@ -92,7 +94,7 @@ def element_ends(page: str, tag: str) -> dict[int, int]:
     return ends
 
 
-def mute_end(page: str, at: int, end: int | None, outer: set[str]) -> int:
+def mute_end(page: str, at: int, end: int | None, outer: Counter) -> int:
     """Where an element without text of the article ends: at its end tag, or before it where
     a block of ``outer`` ends; one never closed holds no block."""
     inner: list[str] = []
@@ -107,7 +109,7 @@ def mute_end(page: str, at: int, end: int | None, outer: set[str]) -> int:
         elif tag in inner:
             while inner.pop() != tag:
                 pass
-        elif tag in outer:
+        elif outer[tag]:
             return m.start()
     return len(page) if end is None else end
 
@@ -118,9 +120,13 @@ def read_page(page: str) -> tuple[list, list, list]:
     blocks = [[-1, 0, N_KINDS - 1, 0, -1, 0, 0, 0]]
     texts: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]
+    opened: Counter = Counter()  # how often a tag stands in the stack
     pieces: list[str] = []
     ends: dict[str, dict[int, int]] = {}
     links, at, in_head = 0, 0, False
+    cut = CUT_TAG.search(page, page.rfind(">") + 1)
+    if cut:
+        page = page[: cut.start()]
 
     def flush() -> None:
         if pieces:
@@ -145,9 +151,12 @@ def read_page(page: str) -> tuple[list, list, list]:
         flush()
         for tag, _ in stack[k:]:
             links -= tag == "a"
+            opened[tag] -= 1
         del stack[k:]
 
     def close(tags: set[str], stops: set[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 close_to(k)
@@ -172,9 +181,9 @@ def read_page(page: str) -> tuple[list, list, list]:
         if m["end"] or m["end2"]:
             if tag == "head":
                 in_head = False
-            elif tag == "br" or tag == "p" and all(t != "p" for t, _ in stack):
+            elif tag == "br" or tag == "p" and not opened["p"]:
                 pieces.append(" ")
-            elif tag in BLOCK:
+            elif tag in BLOCK and opened[tag]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         close_to(k)
@@ -183,6 +192,7 @@ def read_page(page: str) -> tuple[list, list, list]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "a":
                         del stack[k]
+                        opened["a"] -= 1
                         links -= 1
                         break
                     if stack[k][0] in BLOCK:
@@ -192,7 +202,7 @@ def read_page(page: str) -> tuple[list, list, list]:
             if not attrs.endswith("/"):
                 if tag not in ends:
                     ends[tag] = element_ends(page, tag)
-                at = mute_end(page, at, ends[tag].get(m.start()), {t for t, _ in stack})
+                at = mute_end(page, at, ends[tag].get(m.start()), opened)
             continue
         if tag in RAW:
             if not attrs.endswith("/"):
@@ -208,6 +218,7 @@ def read_page(page: str) -> tuple[list, list, list]:
         elif tag == "a":
             links += 1
             stack.append(("a", stack[-1][1]))
+            opened["a"] += 1
         elif tag in BLOCK:
             in_head = False
             if tag in ("html", "body"):
@@ -230,6 +241,7 @@ def read_page(page: str) -> tuple[list, list, list]:
                 label = int(marked[1]) if marked else -1
             blocks.append([parent, blocks[parent][1] + 1, KIND_OF.get(tag, 4), hints, label, 0, 0, 0])
             stack.append((tag, len(blocks) - 1))
+            opened[tag] += 1
     flush()
     return blocks, texts, stack
 

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
@@ -96,6 +97,30 @@ def test_awkward_pages(model):
     assert len(extraction.main_texts(["<div>" * 3000 + "deep"], *model)) == 1
 
 
+@pytest.mark.parametrize("inside, want", [
+    ("<p>We know <button>Share that holds.</p><p>Second one here.</p>", "We know Second one here."),
+    ("<p>One two three.</p><video src=v><p>Second one here.</p>", "One two three. Second one here."),
+    ("<p>One <math><mi>x</mi><mo>=</mo><mi>y</mi><annotation encoding=t>x{=}y</annotation></math> holds.</p>", "One x=y holds."),
+    ("<p>One <svg><svg><text>in</text></svg><text>inner</text></svg> two three.</p>", "One two three."),
+    ("<object data=f><p>The fallback is a paragraph.</p></object>", "The fallback is a paragraph."),
+    ("<p>One <button><div>Share</div></button> two three.</p>", "One two three."),
+    ("<p>One <svg/> two <select><option>a<option>b</select>three.</p>", "One two three."),
+    ("<div><p>One two three.</p><canvas></div><p>Second one here.</p></canvas>", "One two three. Second one here."),
+])
+def test_elements_without_text_take_nothing_along(model, inside, want):
+    tail = "<p>The last sentence of the article stays where it is.</p>"
+    page = f"<html><body><article><h1>A headline</h1>{inside}{tail}</article></body></html>"
+    assert extraction.main_texts([page], *model)[0] == f"A headline {want} The last sentence of the article stays where it is."
+
+
+@pytest.mark.parametrize("part", ["<svg>", "<svg ", "<button>", "<svg></svg", "</svg>", "<select><div>", "<video><p></video>"])
+def test_elements_without_text_take_linear_time(model, part):
+    page = part * 40_000
+    started = time.perf_counter()
+    extraction.read_page(page)
+    assert time.perf_counter() - started < 10
+
+
 def test_extraction_of_a_table(spark, pages):
     out = extraction.extract_text(pages, sample=60)
     assert set(out.columns) == {*pages.columns, "text", "n_chars"}
