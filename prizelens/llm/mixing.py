@@ -176,10 +176,9 @@ def mix(
     return copies, targets
 
 
-def mixed_documents(docs: DataFrame, key: str, stratum: str, size: Column, **options) -> DataFrame:
-    """The mix itself: every document as often as its copies say, columns as they are."""
-    copies, _ = mix(docs, key, stratum, size, **options)
-    copies = stored(copies.where("copies > 0").select("id", "stratum", "size", "copies"), "copies")
+def with_copies(docs: DataFrame, copies: DataFrame, key: str, stratum: str, size: Column) -> DataFrame:
+    """``_row``, the whole row of every document that ``copies`` of ``mix`` names, with those
+    columns. Repeated rows meet their one entry in a join, so no task makes them all."""
     packed = docs.select(
         F.struct("*").alias("_row"), F.col(key).alias("_k"), F.col(stratum).alias("_s"),
         F.coalesce(size, F.lit(0)).cast("long").alias("_z"),
@@ -189,8 +188,15 @@ def mixed_documents(docs: DataFrame, key: str, stratum: str, size: Column, **opt
         & F.col("_s").eqNullSafe(F.col("stratum"))
         & (F.col("_z") == F.col("size"))
     )
+    return packed.join(copies, same).drop("_k", "_s", "_z")
+
+
+def mixed_documents(docs: DataFrame, key: str, stratum: str, size: Column, **options) -> DataFrame:
+    """The mix itself: every document as often as its copies say, columns as they are."""
+    copies, _ = mix(docs, key, stratum, size, **options)
+    copies = stored(copies.where("copies > 0").select("id", "stratum", "size", "copies"), "copies")
     return (
-        packed.join(copies, same)
+        with_copies(docs, copies, key, stratum, size)
         .select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
         .select("_row.*")
     )

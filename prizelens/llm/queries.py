@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prizelens.llm.common import table, word_count
+from prizelens.llm.common import stored, table, word_count
 from prizelens.llm.conversations import damaged, repair_audit
 from prizelens.llm.extraction import extract_text
 from prizelens.llm.lexical import ranked_search
 from prizelens.llm.linededup import dedup_lines
-from prizelens.llm.mixing import mix
+from prizelens.llm.mixing import mix, with_copies
 from prizelens.llm.neardup import near_duplicates
 from prizelens.llm.packing import pack, pieces
 from prizelens.llm.pieces import decoded, encoded
@@ -99,15 +99,15 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_mixing")
 def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes from every document, with its source's target."""
-    docs = table(spark, sf, "documents")
-    copies, targets = mix(docs, "doc_id", "source", word_count(F.col("text")))
-    sources = targets.select(F.col("stratum").alias("_s"), "source_size", "target")
-    rows = copies.join(sources, F.col("stratum").eqNullSafe(F.col("_s")))
+    docs, size = table(spark, sf, "documents"), word_count(F.col("text"))
+    copies, targets = mix(docs, "doc_id", "source", size)
+    sources = targets.select(F.col("stratum").alias("_t"), "source_size", "target")
+    shared = copies.join(sources, F.col("stratum").eqNullSafe(F.col("_t")))
+    rows = with_copies(docs.select("doc_id", "source", "text"), stored(shared, "mix-copies"), "doc_id", "source", size)
     return rows.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies",
-        F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_row"),
-    ).drop("_row")
+    )
 
 
 @query("op3_warc")
