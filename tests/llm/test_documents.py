@@ -219,6 +219,52 @@ def test_near_duplicates_go_by_row_and_not_by_key(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("null_keys", [False, True])
+def test_large_groups_and_null_keys_cost_in_proportion(spark, monkeypatch, null_keys):
+    """Pairs and texts that are looked at, for 500 near copies and 120 texts with half their words."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+
+    def copy():
+        at = rng.randrange(200)
+        return " ".join([*base[:at], f"v{rng.random()}", *base[at + 1 :]])
+
+    half = lambda: " ".join(base[:120] + [f"u{rng.random()}" for _ in range(80)])
+    texts = [copy() for _ in range(500)] + [half() for _ in range(120)]
+    rng.shuffle(texts)
+    groups = [1 if "u0." in t else 0 for t in texts]
+    pairs, read = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    verified, set_maker = neardup.verified, neardup.set_maker
+
+    def counted(found, sets, percent):
+        found = found.cache()
+        pairs.add(found.count())
+        return verified(found, sets, percent)
+
+    def counting(k):
+        make = set_maker(k)
+
+        def run(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield from make(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(neardup, "verified", counted)
+    monkeypatch.setattr(neardup, "set_maker", counting)
+    rows = [(None if null_keys else i, t) for i, t in enumerate(texts)]
+    out = neardup.without_near_duplicates if null_keys else neardup.near_duplicates
+    got = out(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    if null_keys:
+        assert len(got) == 1 + sum(groups)
+    else:
+        least = min(i for i, g in enumerate(groups) if not g)
+        assert {x.doc_id: x.component_id for x in got} == {i: i if g else least for i, g in enumerate(groups)}
+    assert pairs.value < 60 * len(texts)
+    assert read.value <= len(texts)
+
+
 def test_tensored_bands_share_a_table_where_sets_are_similar():
     rng = np.random.default_rng(5)
     missed = 0
@@ -284,6 +330,18 @@ def test_passages_of_few_lines_go_whole(spark, n_lines, n_words):
         assert removed == 0 or not set(passage) & set(x.text.split("\n"))
 
 
+def test_rows_that_repeat_cost_in_proportion(spark):
+    text = "\n".join(f"line {i} of a text with some words in it" for i in range(30))
+    rows = [(1, text)] * 200 + [(2, text), (None, text), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    slim = df.select("doc_id", F.lit(7).cast("long").alias("tag"), "text")
+    assert all(len(x.spans) == len({(s.start, s.n) for s in x.spans}) for x in linededup.repeated_places(slim).collect())
+    got = linededup.dedup_lines(df).collect()
+    assert len(got) == len(rows)
+    # The null key comes first and keeps its text.
+    assert all((x.text == text) if x.doc_id is None else x.n_removed == 30 for x in got)
+
+
 def test_a_repeated_line_keeps_one_passage(spark):
     texts = [(1, "\n".join(["word"] * 120)), (2, "\n".join(["word"] * 119))]
     spans = linededup.repeated_places(spark.createDataFrame(
