@@ -15,6 +15,12 @@ from prizelens.operators.windows import add_lags, global_rank
 PROTOCOL = "rolling_one_step"
 
 
+def _squared(error: Column) -> Column:
+    """As a double, since squares of cents pass the range of whole numbers."""
+    error = error.cast("double")
+    return error * error
+
+
 def seasonal_naive(
     grid: DataFrame, family: str, period: str, x: str, lag: int = 4, clipped=False
 ) -> DataFrame:
@@ -34,7 +40,7 @@ def baseline_scores(
     return predicted.groupBy(*by).agg(
         F.count(error).alias("n"),
         F.avg(F.abs(error)).alias("mae"),
-        F.sqrt(F.avg(error * error)).alias("rmse"),
+        F.sqrt(F.avg(_squared(error))).alias("rmse"),
     )
 
 
@@ -120,8 +126,8 @@ def score(
             F.count(F.lit(1)).alias("n_total"),
             F.count_if(ok).alias("n_evaluated"),
             F.avg(F.abs(error)).alias("mae_usd"),
-            F.sqrt(F.avg(error * error)).alias("rmse_usd"),
-            F.sum(error * error).alias("_sse"),
+            F.sqrt(F.avg(_squared(error))).alias("rmse_usd"),
+            F.sum(_squared(error)).alias("_sse"),
             F.var_pop(actual).alias("_var"),
         ],
     )
@@ -152,7 +158,7 @@ def forecast_summary(long: DataFrame, by: Sequence[str], family: str) -> DataFra
             F.sum("predicted_usd").alias("predicted_all_usd"),
             F.avg(residual).alias("mean_residual_usd"),
             F.avg(F.abs(residual)).alias("mae_usd"),
-            F.sqrt(F.avg(residual * residual)).alias("rmse_usd"),
+            F.sqrt(F.avg(_squared(residual))).alias("rmse_usd"),
         ],
     )
     return out.withColumn(

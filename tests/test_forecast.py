@@ -87,3 +87,15 @@ def test_levels_have_no_limit(spark):
     assert len(fitted.design.levels["family"]) == 3_000
     other = rows.limit(5).withColumn("family", F.lit("unseen"))
     assert fitted.predict(other, "p").where("p is not null").count() == 5
+
+
+def test_baseline_scores_of_large_whole_numbers(spark):
+    from prizelens.operators.scoring import baseline_scores
+
+    df = spark.createDataFrame(
+        [("a", 0, 4_000_000_000), ("a", 4_000_000_000, 0), ("a", None, 5)],
+        "family string, x bigint, prediction bigint",
+    )
+    assert [tuple(r) for r in baseline_scores(df, ["family"], "x").collect()] == [
+        ("a", 2, 4e9, 4e9)
+    ]
