@@ -386,3 +386,39 @@ def test_quantiles_of_a_crowded_range(spark):
     spark.conf.set(name, "true")
     odd = spark.createDataFrame([(1, float("inf")), (1, 1.0), (1, 3.0)], "g int, x double")
     assert exact_quantiles(odd, ["g"], "x", {"median": 0.5}).first().median == 3.0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rendered_pages_are_dealt_by_key_not_to_a_fixed_number(spark, sf):
+    from prizelens.queries import page_jobs as jobs
+
+    for pages_of in (jobs.head_pages, jobs.nation_pages, jobs.tournament_pages):
+        assert "RepartitionByExpression [page_id" in _plan(pages_of(spark, sf))
+
+
+def test_scan_holds_few_pages_at_a_time_and_keeps_odd_pages(monkeypatch):
+    import pyarrow as pa
+
+    from prizelens.operators import markup
+
+    html = ['<h2>A > B</h2>tail > x', None, '<H2 title="a>b">B<br>&amp;<script><h2>no</h2></script></h2>',
+            "<!-- <h2>c</h2> --><h2>D", "< b <h2>E</h2>", ""]
+    kinds = {"heads": markup.Blocks(markup.Select(tag="h2", keep=("title",)))}
+    whole = markup.scan_batch(pa.array(html), kinds).to_pylist()
+    monkeypatch.setattr(markup, "CHUNK", 0)
+    assert markup.scan_batch(pa.array(html), kinds).to_pylist() == whole
+    assert [[b["text"] for b in x["heads"]] for x in whole] == [["A > B"], [], ["B &"], ["D"], ["E"], []]
+    assert whole[2]["heads"][0]["attrs"] == {"title": "a>b"}
+    assert [e.tag for e in elements(html[2])[0]] == ["h2", "br", "script"]
+
+
+def test_last_value_of_a_repeated_label_counts(spark):
+    row = '<div class="format_row"><b class="info_text_header">{}:</b><b class="info_text_value">{}</b></div>'
+    rows = [("Date", "2020-01-01"), ("Game", "x"), ("Date", "2021-01-01"), ("Currency", "USD")]
+    html = '<div class="info_box"><h1 class="info_box_title">T</h1>' + "".join(row.format(*r) for r in rows) + "</div>"
+    got = pg.extract_fields(pages(spark, html)).collect()[0]
+    assert got.fields == {"Game": "x", "Date": "2021-01-01", "Currency": "USD"}
+    assert got.error == "missing_fields: Prize Pool"
