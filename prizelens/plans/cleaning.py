@@ -113,7 +113,7 @@ def judge_parents(
         {
             "start_date": cal.parse_day(F.col("t.start_date")),
             "end_date": cal.parse_day(F.col("t.end_date")),
-            "pool_cents": m.to_cents(m.money(F.col("t.prize_pool_usd")).cast("string")),
+            "pool_cents": m.money_cents(F.col("t.prize_pool_usd")),
             "version_evidence": F.col("t.game_source_url"),
             "gate_reason": F.coalesce(
                 status_gate_reason(F.col("status")),
@@ -159,9 +159,11 @@ def child_reason(kid: Column) -> Column:
                 "supplementary_roster_allocation_needs_review",
                 t.is_supplement(kid["team_name"]),
             ),
-            (m.money_reason(kid["raw_money"]), None),
-            (m.rank_number_reason(kid["raw_min"]), None),
-            (m.rank_number_reason(kid["raw_max"]), None),
+            # Where a text is there but no number came of it, the text is at fault.
+            ("missing_money", kid["raw_money"].isNull()),
+            ("invalid_money", kid["prize_cents"].isNull()),
+            ("invalid_rank", kid["raw_min"].isNotNull() & kid["rank_min"].isNull()),
+            ("invalid_rank", kid["raw_max"].isNotNull() & kid["rank_max"].isNull()),
             (m.rank_reason(kid["rank_min"], kid["rank_max"], kid["result_outcome"]), None),
         ]
     )
@@ -213,7 +215,7 @@ def judge_children(parents: DataFrame) -> DataFrame:
             m.rank_number(i["rank_min"]).alias("rank_min"),
             m.rank_number(i["rank_max"]).alias("rank_max"),
             t.squeeze(i["result_outcome"]).alias("result_outcome"),
-            m.to_cents(m.money(i["prize_money_usd"]).cast("string")).alias("prize_cents"),
+            m.money_cents(i["prize_money_usd"]).alias("prize_cents"),
         )
 
     def judged(k: Column) -> Column:

@@ -10,7 +10,7 @@ from prizelens.operators import rules as r
 from prizelens.operators.grid import regularity
 from prizelens.plans.attention import peak_check, quality_status
 from prizelens.plans.audit import audit_clean_log
-from prizelens.plans.cleaning import CleanLog, clean_log
+from prizelens.plans.cleaning import CleanLog, clean_log, judge_log, split_log
 from prizelens.queries.registry import query
 from prizelens.queries.shapes import (
     ATTENTION,
@@ -28,7 +28,7 @@ from prizelens.queries.shapes import (
     user_days,
 )
 from prizelens.queries.sources import STATUS_OF, result_log
-from prizelens.session import ensure_checkpoint_dir
+from prizelens.session import ensure_checkpoint_dir, new_run_dir
 
 RULES = [
     ("too_large", "quantity > 48"),
@@ -224,8 +224,8 @@ def _faulty_log(spark, sf):
     )
 
 
-def _cleaned(spark, sf):
-    config = (
+def _config(spark, sf):
+    return (
         table(spark, sf, "orders")
         .select(F.col("o_orderpriority").alias("game_slug"))
         .distinct()
@@ -238,11 +238,23 @@ def _cleaned(spark, sf):
             F.col("game_slug").alias("game_name"),
         )
     )
+
+
+def _cleaned(spark, sf):
     return clean_log(
-        _faulty_log(spark, sf), config, "1996-01-01", "2000-12-31", {"2-HIGH": 1998}
+        _faulty_log(spark, sf), _config(spark, sf), "1996-01-01", "2000-12-31", {"2-HIGH": 1998}
     )
 
 
+def _stored_cleaned(spark, sf):
+    """``_cleaned`` for flows that read several outputs: the log is judged and stored once."""
+    path = new_run_dir(spark, "judged")
+    judge_log(
+        _faulty_log(spark, sf), _config(spark, sf), "1996-01-01", "2000-12-31", {"2-HIGH": 1998}
+    ).write.parquet(path)
+    return split_log(spark.read.parquet(path))
+
+
 @query(
     "q03_cleaning_quarantine",
     f"""
@@ -311,7 +323,7 @@ def cleaning_children(spark, sf):
 )
 def complete_cleaning_partition(spark, sf):
     log = _faulty_log(spark, sf)
-    out = _cleaned(spark, sf)
+    out = _stored_cleaned(spark, sf)
     blocked = out.quarantine.where(F.col("affected_table") == "both")
     clean = out.parents.select(
         F.regexp_replace("tournament_id", "^earnings:", "").alias("tournament_id")
@@ -351,7 +363,7 @@ def complete_cleaning_partition(spark, sf):
 def clean_log_audit(spark, sf):
     """The audit finds what was done to the cleaned tables: years, amounts and lost children."""
     ensure_checkpoint_dir(spark)
-    log, out = _faulty_log(spark, sf), _cleaned(spark, sf)
+    log, out = _faulty_log(spark, sf), _stored_cleaned(spark, sf)
     number = F.regexp_replace("tournament_id", "^earnings:", "").cast("bigint")
     changed = CleanLog(
         parents=out.parents.withColumn("year", F.col("year") + (number % 97 == 0).cast("int")).checkpoint(),

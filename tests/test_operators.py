@@ -341,3 +341,20 @@ def test_moments_of_very_large_cents(spark):
     assert (got["c"].n, got["c"]["std"], got["c"]["max"]) == (1, None, float(big))
     halves = spark.createDataFrame([("a", 0.5), ("a", 1.5), ("a", 4.0)], "family string, x double")
     assert st.describe_by(halves, "family", ["x"]).first()["std"] == pytest.approx(1.8027756, rel=1e-6)
+
+
+def test_flows_with_several_outputs_judge_the_log_once(spark, sf):
+    from prizelens.queries.rules import _stored_cleaned
+
+    out = _stored_cleaned(spark, sf)
+    for df in (out.parents, out.children, out.quarantine, out.out_of_scope):
+        assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_money_cents_rounds_half_up_and_refuses_what_is_no_amount(spark):
+    from prizelens.functions.money import money_cents
+
+    texts = ["1.005", "0", "-1", "x", "9999999999999999.99", "10000000000000000", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [x.c for x in df.select("i", money_cents(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert got == [101, 0, None, None, 999999999999999999, None, None]
