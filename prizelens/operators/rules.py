@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 from prizelens.functions.text import name_key
 from prizelens.operators.joins import duplicate_keys, lookup
 from prizelens.operators.quantiles import exact_quantiles
+from prizelens.session import stored_small
 
 
 def first_reason(rules: Sequence[tuple[str | Column, Column | None]]) -> Column:
@@ -139,14 +140,19 @@ def flag_duplicates(
 def iqr_fences(
     df: DataFrame, by: Sequence[str], metric: str, k: float = 1.5
 ) -> DataFrame:
-    """Per group the lower and upper fence ``q1 - k*iqr`` and ``q3 + k*iqr``."""
+    """Per group the lower and upper fence ``q1 - k*iqr`` and ``q3 + k*iqr``.
+
+    The fences are stored, so that rows of a few large groups are not shuffled by group to
+    meet them.
+    """
     q = exact_quantiles(df, by, metric, {"q1": 0.25, "q3": 0.75})
     spread = F.col("q3") - F.col("q1")
-    return q.select(
+    fences = q.select(
         *by,
         (F.col("q1") - F.lit(k) * spread).alias("lower_fence"),
         (F.col("q3") + F.lit(k) * spread).alias("upper_fence"),
     )
+    return stored_small(fences, "fences")
 
 
 def iqr_flag(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on: UTC dates, ANSI errors, and adaptive
 # execution with skew-join splitting for hot keys.
@@ -69,3 +69,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
+
+
+def stored_small(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder. Its size is then known before a join
+    with it is planned, so a small table is sent to the rows instead of the rows to its keys."""
+    path = new_run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -154,6 +154,15 @@ def test_iqr_flag_excludes_the_fence_itself(spark):
     assert rows(flagged.select("f", "v"), "f") == [("b", 60.01)]
 
 
+def test_iqr_flag_sends_the_fences_to_the_rows(spark):
+    df = spark.range(2000).selectExpr("if(id % 2 = 0, null, 'a') f", "id * 1.0d v")
+    flagged = r.iqr_flag(df, ["f"], "v")
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(f" not in plan
+    # Quartiles of 0, 2, .. 1998 are 499.5 and 1498.5: no value lies outside, nulls included.
+    assert flagged.count() == 2000 and flagged.where("v_iqr_flag").isEmpty()
+
+
 def test_reconcile_statuses(spark):
     parents = spark.createDataFrame([(i, 1000) for i in range(5)], "k int, pool long")
     kids = spark.createDataFrame([(0, 600), (0, 400), (1, 1001), (2, 998), (3, 1003)], "k int, v long")
