@@ -15,6 +15,7 @@ from prizelens.queries.shapes import (
     table,
 )
 from prizelens.session import new_run_dir
+from prizelens.sources.files import write_files
 from prizelens.sources.log import (
     LOG_SCHEMA,
     PLACEMENTS_SCHEMA,
@@ -222,23 +223,23 @@ def filtered_log_read(spark, sf):
 )
 def pages_with_metadata(spark, sf):
     root = new_run_dir(spark, "pages")
-    pages = table(spark, sf, "pages").withColumn("id", F.col("page_id"))
-    pages.select("html", "id").write.partitionBy("id").option("lineSep", "\n").text(
-        f"{root}/html"
-    )
-    pages.select(
-        F.col("url").alias("source_url"),
-        F.lit("2024-01-01").alias("crawled_at"),
-        "id",
-    ).write.partitionBy("id").json(f"{root}/meta")
-    stored = read_pages(
-        spark,
+    name = F.concat(F.lit("id="), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
+    pages = table(spark, sf, "pages")
+    described = F.struct(F.col("url").alias("source_url"), F.lit("2024-01-01").alias("crawled_at"))
+    html = write_files(
+        pages.select(F.concat(name, F.lit(".html")).alias("name"), F.col("html").alias("content")),
         f"{root}/html",
+    )
+    meta = write_files(
+        pages.select(F.concat(name, F.lit(".json")).alias("name"), F.to_json(described).alias("content")),
         f"{root}/meta",
-        key=lambda file: F.regexp_extract(file, r"/id=(\d+)/", 1),
-        page_files="*.txt",
     )
-    # The text sink ends every file with one line break.
+    if not html:
+        return spark.createDataFrame([], "page_id string, url string, html_sha256 string")
+    stored = read_pages(
+        spark, html, meta, key=lambda file: F.regexp_extract(file, r"/id=(\d+)\.[a-z]+$", 1)
+    )
+    # Every file ends with one line break.
     return stored.select(
         "page_id",
         "url",

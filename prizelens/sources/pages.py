@@ -19,8 +19,8 @@ def stem(file: Column) -> Column:
 
 def read_pages(
     spark: SparkSession,
-    pages: str,
-    meta: str | None = None,
+    pages: str | list[str],
+    meta: str | list[str] | None = None,
     meta_schema: str = PAGE_META,
     key: Callable[[Column], Column] = stem,
     page_files: str = "*.html",
@@ -28,7 +28,8 @@ def read_pages(
 ) -> DataFrame:
     """Pages joined to the metadata file of the same key (the file stem).
 
-    A page without metadata is left out. ``meta`` defaults to the page folder.
+    A page without metadata is left out. ``pages`` and ``meta`` name a folder or several;
+    ``meta`` defaults to the page folder.
     """
     content = (
         spark.read.format("binaryFile")

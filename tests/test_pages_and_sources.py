@@ -9,7 +9,7 @@ from prizelens.operators import pages as pg
 from prizelens.operators.markup import elements
 from prizelens.sources.log import RETRY, pending_keys, upsert_log
 from prizelens.sources.pages import read_pages
-from prizelens.sources.files import stored_files
+from prizelens.sources.files import stored_files, write_files
 from prizelens.sources.release import build_manifest, file_hashes, verify_manifest, write_release
 from prizelens.sources.tables import (
     read_table,
@@ -222,6 +222,35 @@ def test_pages_need_their_metadata(spark, tmp_path):
     assert [(x.page_id, x.url, x.html) for x in got] == [("a", "https://a", "<p>aé\n</p>")]
 
 
+def test_files_are_written_without_a_folder_each(spark, tmp_path):
+    rows = [("a.txt", "é"), ("b.txt", None), ("a.txt", "é"), ("c d%.txt", "x\ny")]
+    df = spark.createDataFrame(rows, "name string, content string").coalesce(1)
+    (folder,) = write_files(df, f"file:{tmp_path}/w")
+    found = {f.name: f.read_bytes().decode() for f in (tmp_path / "w").rglob("*") if f.is_file()}
+    # Rows of one name share a file; no checksum files and one folder per partition.
+    assert found == {"a.txt": "é\né\n", "b.txt": "\n", "c d%.txt": "x\ny\n"}
+    assert len([f for f in (tmp_path / "w").rglob("*") if f.is_dir()]) == 1
+    assert stored_files(spark, folder).count() == 3
+    assert write_files(df.limit(0), f"{tmp_path}/none") == []
+
+
+def test_stored_pages_are_dealt_to_few_folders(spark, tmp_path, monkeypatch):
+    from prizelens.queries import sources
+
+    monkeypatch.setattr(sources, "new_run_dir", lambda spark, label: f"{tmp_path}/kept")
+    rows = [(i, f"https://x/{i}", f"<p>{i}</p>") for i in range(40)] + [(40, "u", None), (None, "v", "n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.coalesce(2).write.parquet(f"{tmp_path}/pages.parquet")
+    found = sources.pages_with_metadata(spark, str(tmp_path)).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    # An id that is no number has no key.
+    want = {("" if i is None else str(i), u, sha(h or "")) for i, u, h in rows}
+    assert {tuple(x) for x in found} == want and len(found) == len(rows)
+    assert len([f for f in (tmp_path / "kept").rglob("*") if f.is_dir()]) <= 6
+    spark.createDataFrame([], df.schema).write.parquet(f"{tmp_path}/empty/pages.parquet")
+    assert sources.pages_with_metadata(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_release_is_immutable_and_verified(spark, tmp_path):
     df = spark.range(5)
     folder = str(tmp_path / "v1")
