@@ -11,16 +11,19 @@ that follow something else, around line feeds, between letters and marks; the lo
 these up in the vocabulary).
 A worker remembers forms of a unit by the candidates that they skip: an occurrence starts
 at the form that skips none, hashes the merges that led to it, and goes on to the form that
-also skips the first of them that it must. Beyond ``DEPTH`` skips it is segmented by itself.
+also skips the first of them that it must; ids are gathered from the forms by place. Beyond ``DEPTH`` skips it is segmented by itself.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import Column
@@ -40,16 +43,26 @@ MARKS = ".,;:!?#$%&*|"
 
 
 LENGTHS = 2 * SHORT  # a candidate's code is its place times this, plus its length
+NONE = np.int32(2**31 - 1)  # the rank of a pair that makes no piece
 
 
-def skipped(keys: np.ndarray, codes: np.ndarray, below: int) -> np.ndarray:
-    """Which candidates their keys skip, as in ``Pieces.segment``."""
-    h = keys + (codes // LENGTHS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h += (codes % LENGTHS).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+def spread(codes: np.ndarray) -> np.ndarray:
+    """What a candidate adds to a key before it is hashed, as in ``Pieces.segment``."""
+    place = (codes // LENGTHS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return place + (codes % LENGTHS).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def skipped(h: np.ndarray, below: int) -> np.ndarray:
+    """Which candidates are skipped, of keys plus ``spread``."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return ((h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) < below
 
 
+def gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs ``values[first : first + count]``, one after the other."""
+    return values[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+
+
 class Pieces:
     """A BPE model with byte fallback; spaces are kept as spaces inside."""
 
@@ -78,6 +91,7 @@ class Pieces:
             raise ValueError("a piece reaches across a space")
         self.byte_ids = [byte_ids[b] for b in range(256)]
         self.pair_tables()
+        self.piece_bytes: pa.Array | None = None
         self.unit = self.unit_pattern()
         self.forget()
 
@@ -90,12 +104,15 @@ class Pieces:
 
     def forget(self) -> None:
         """Empty the memo. Form 0 stands for units that are not remembered."""
-        self.root: dict[str, int] = {}
-        self.child: dict[int, int] = {}  # of a form and the place of a merge among its own
-        self.forms: list[bytes] = [b""]
-        self.origin: list[tuple[str, tuple[int, ...]]] = [("", ())]  # unit and skips
-        self.first, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.merges = np.zeros(0, np.int64)
+        self.root: dict[str, int] = {}  # 0: met once
+        self.unit_of = [""]
+        self.skips = np.full((1, DEPTH), -1, np.int64)
+        # Ids and merges of all forms, one after the other, and how many each form has.
+        self.out, self.n_out = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.merges, self.count = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.first = self.first_out = np.zeros(1, np.int64)
+        # What each merge adds to a key, and the form that also skips it (0: not known).
+        self.spread, self.child = spread(self.merges), np.zeros(0, np.int64)
 
     def segment(self, unit: str, key: int, below: int) -> list[int]:
         """Ids of one unit; candidates whose hash with ``key`` is under ``below`` are skipped."""
@@ -131,15 +148,14 @@ class Pieces:
                 score = scores.get(symbols[b] + left)
                 if score is not None:
                     heapq.heappush(agenda, (-score, b, size + len(symbols[b])))
-        out, ids = [], self.ids
-        for s in symbols:
-            if s:
-                i = ids.get(s)
-                if i is None:
-                    out += [self.byte_ids[b] for b in s.encode()]
-                else:
-                    out.append(i)
-        return out
+        return self.numbers([s for s in symbols if s])
+
+    def numbers(self, symbols: list[str]) -> list[int]:
+        """Ids of symbols; of their bytes where they are no piece."""
+        out = list(map(self.ids.get, symbols))
+        if None not in out:
+            return out
+        return [i for s, n in zip(symbols, out) for i in ([self.byte_ids[b] for b in s.encode()] if n is None else [n])]
 
     def unit_pattern(self) -> re.Pattern:
         """Cuts before spaces, around line feeds and between a letter and a mark, each
@@ -152,162 +168,208 @@ class Pieces:
         return re.compile(words + r" +[^ \n]*|[^ \n]+|\n")
 
     def pair_tables(self) -> None:
-        """Symbols by number (pieces, then characters that are none) and what pairs make."""
-        chars = {c for t in self.ids for c in t}
-        number = dict(self.ids)
-        for c in sorted(chars - number.keys()):
-            number[c] = len(self.bytes_of) + len(number) - len(self.ids)
-        self.symbol = number
+        """Symbols by number (pieces, then characters that are none), the ids that stand for
+        them, and what pairs of them make."""
+        n = len(self.bytes_of)
+        self.number_of = np.full(0x110000, -1, np.int32)  # by code point; -1: not met yet
+        for t, i in self.ids.items():
+            if len(t) == 1:
+                self.number_of[ord(t)] = i
+        self.run, self.n_run = np.arange(n, dtype=np.int32), np.ones(n, np.int64)
+        self.first_run = np.arange(n)
+        self.numbered(np.array(sorted({ord(c) for t in self.ids for c in t}), np.int64))
+        number = lambda t: self.ids.get(t, int(self.number_of[ord(t)]) if len(t) == 1 else None)
+        # Ties in score are ties in rank; the rank of no piece stands last.
+        costs, ranks = np.unique([-self.scores.get(t, 0) for t in self.ids], return_inverse=True)
+        self.rank = np.full(n + 1, NONE, np.int32)
+        self.rank[list(self.ids.values())] = ranks
         made = {
-            (number[t[:k]] << 32) | number[t[k:]]: (i, -self.scores[t])
-            for t, i in self.ids.items() if len(t) > 1
-            for k in range(1, len(t)) if t[:k] in number and t[k:] in number
+            (left << 32) | right: i
+            for t, i in self.ids.items() for k in range(1, len(t))
+            if (left := number(t[:k])) is not None and (right := number(t[k:])) is not None
         }
-        self.pair = np.array(sorted(made), np.int64)
-        self.merged = np.array([made[k][0] for k in self.pair.tolist()], np.int64)
-        self.cost = np.array([made[k][1] for k in self.pair.tolist()])
-
-    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merged symbol and cost of pairs of symbols; infinite where there is none."""
-        key = (left << 32) | right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        good = (self.pair[at] == key) & (left >= 0) & (right >= 0)
-        return self.merged[at], np.where(good, self.cost[at], np.inf)
+        keys, values = np.array(list(made), np.int64), np.array(list(made.values()), np.int32)
+        # Hash tables: what finds its slot taken goes on to the next.
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]] = []
+        bits = max(4, len(keys).bit_length() + 2)
+        while len(keys):
+            times = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables) * 0xD6E8FEB86659FD93 & MASK)
+            shift = np.uint64(64 - bits)
+            slot, first = np.unique((keys.view(np.uint64) * times) >> shift, return_index=True)
+            table, value = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+            table[slot], value[slot] = keys[first], values[first]
+            self.tables.append((times, shift, table, value))
+            keys, values, bits = np.delete(keys, first), np.delete(values, first), max(4, bits - 2)
+
+    def numbered(self, points: np.ndarray) -> np.ndarray:
+        """Symbols of code points; characters that are no piece get theirs when first met."""
+        found = self.number_of[points]
+        if found.size and found.min() < 0:
+            new = np.unique(points[found < 0])
+            ids = [[self.byte_ids[b] for b in chr(c).encode()] for c in new.tolist()]
+            self.number_of[new] = len(self.n_run) + np.arange(len(new))
+            self.run = np.concatenate([self.run, np.array(list(chain.from_iterable(ids)), np.int32)])
+            self.n_run = np.concatenate([self.n_run, np.array(list(map(len, ids)), np.int64)])
+            self.first_run = np.cumsum(self.n_run) - self.n_run
+            found = self.number_of[points]
+        return found
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pieces that pairs of symbols make; -1 where there is none."""
+        key = (left.astype(np.int64) << 32) | right
+        key[(left < 0) | (right < 0)] = -2
+        out = np.full(len(key), -1, np.int32)
+        rest, wanted = slice(None), key
+        for times, shift, table, value in self.tables:
+            slot = (wanted.view(np.uint64) * times) >> shift
+            there = table[slot]
+            same = there == wanted
+            out[rest] = np.where(same, value[slot], -1)
+            go = np.flatnonzero(~same & (there >= 0))
+            if not len(go):
+                break
+            rest = go if isinstance(rest, slice) else rest[go]
+            wanted = wanted[go]
+        return out
 
     def segment_many(
         self, units: list[str], keys: np.ndarray | None, below: int, skips: np.ndarray | None = None,
-    ) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``segment`` of many short units side by side: one agenda per row.
 
-        With ``skips`` (codes of candidates per row) these are skipped instead. Besides the
-        ids: the codes of the merges made, row after row, and their number per row.
+        With ``skips`` (codes of candidates per row) these are skipped instead. Ids and their
+        number per row; codes of the merges made and their number per row.
         """
-        n, width = len(units), max(map(len, units))
-        number = self.symbol
-        sym = np.full((n, width + 1), -1, np.int64)
-        for r, u in enumerate(units):
-            sym[r, : len(u)] = [number.get(c, -2) for c in u]
-        start = np.tile(np.arange(width + 1), (n, 1))
-        made, cost = self.pairs(sym[:, :-1], sym[:, 1:])
-        rows, col, trail = np.arange(n), np.arange(width), []
+        n, size = len(units), np.fromiter(map(len, units), np.int64, len(units))
+        width = int(size.max()) + 1  # the last place stays empty
+        points = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
+        sym = np.full((n, width), -1, np.int32)
+        sym[np.arange(width) < size[:, None]] = self.numbered(points)
+        sym = sym.ravel()
+        made = np.append(self.pairs(sym[:-1], sym[1:]), np.int32(-1))
+        cost, rows, trail = self.rank[made].reshape(n, width), np.arange(n), []
+        after, before = np.arange(1, n * width + 1), np.arange(-1, n * width)
         while len(rows):
             i = cost.argmin(1)
-            go = np.flatnonzero(cost[np.arange(len(rows)), i] < np.inf)
-            if len(go) < len(rows):  # rows without candidates are done
-                rows, cost, made, i = rows[go], cost[go], made[go], i[go]
+            go = cost[np.arange(len(rows)), i] < NONE
+            if not go.all():  # rows without candidates are done
+                rows, cost, i = rows[go], cost[go], i[go]
                 if not len(rows):
                     break
-            own = np.arange(len(rows))
-            first = start[rows, i]
-            ends = start[rows, np.minimum(i + 2, width)]
-            code = first * LENGTHS + ends - first
+            place = rows * width + i
+            code = i * LENGTHS + after[after[place]] - place
             if skips is not None:
                 skip = (skips[rows] == code[:, None]).any(1)
             else:
-                skip = skipped(keys[rows], code, below) if below else np.zeros(len(rows), bool)
-            cost[own[skip], i[skip]] = np.inf
-            own, i = own[~skip], i[~skip]
-            trail.append((rows[own], code[~skip]))
-            if not len(own):
-                continue
-            r = rows[own]
-            take = col + (col > i[:, None])  # drop position i + 1
-            whole = np.concatenate([take, np.full((len(own), 1), width)], 1)
-            new = made[own, i]
-            sym[r] = np.take_along_axis(sym[r], whole, 1)
-            start[r] = np.take_along_axis(start[r], whole, 1)
-            sym[r, i] = new
-            # Costs belong to pairs: the one merged goes, its neighbours are new.
-            short = np.minimum(take, width - 1)
-            cost[own] = np.where(take < width, np.take_along_axis(cost[own], short, 1), np.inf)
-            made[own] = np.take_along_axis(made[own], short, 1)
-            made[own, i], cost[own, i] = self.pairs(new, sym[r, i + 1])
-            at = np.flatnonzero(i > 0)
-            made[own[at], i[at] - 1], cost[own[at], i[at] - 1] = self.pairs(sym[r[at], i[at] - 1], new[at])
-        out, most = [], len(self.bytes_of)
-        size = (sym != -1).sum(1)
-        plain = ((sym < most) & (sym != -2)).all(1)
-        codes = sym.astype("<i4")
-        for r, u in enumerate(units):
-            if plain[r]:
-                out.append(codes[r, : size[r]].tobytes())
-                continue
-            ids: list[int] = []
-            for k in range(size[r]):
-                x = int(sym[r, k])
-                if 0 <= x < most:
-                    ids.append(x)
-                else:
-                    ids += [self.byte_ids[b] for b in u[start[r, k]].encode()]
-            out.append(np.array(ids, "<i4").tobytes())
+                skip = skipped(keys[rows] + spread(code), below) if below else np.zeros(len(rows), bool)
+            flat = cost.ravel()
+            own = np.arange(len(rows)) * width
+            if skip.any():
+                flat[own[skip] + i[skip]] = NONE
+                keep = ~skip
+                own, i, place, code = own[keep], i[keep], place[keep], code[keep]
+                trail.append((rows[keep], code))
+            else:
+                trail.append((rows, code))
+            new, gone = made[place], after[place]
+            end, shift = after[gone], own - (place - i)  # from a place to its cost
+            sym[place], sym[gone] = new, -1
+            after[place], before[end] = end, place
+            flat[gone + shift] = NONE
+            made[place] = right = self.pairs(new, sym[end])
+            flat[place + shift] = self.rank[right]
+            inner = np.flatnonzero(i > 0)
+            at = before[place[inner]]
+            made[at] = left = self.pairs(sym[at], new[inner])
+            flat[at + shift[inner]] = self.rank[left]
+        alive = np.flatnonzero(sym >= 0)
+        found = sym[alive]
+        n_ids = self.n_run[found]
+        ids = gathered(self.run, self.first_run[found], n_ids)
+        counts = np.bincount(alive // width, n_ids, n).astype(np.int64)
         made_by = np.concatenate([t[0] for t in trail] or [np.zeros(0, np.int64)])
         codes = np.concatenate([t[1] for t in trail] or [np.zeros(0, np.int64)])
-        return out, codes[np.argsort(made_by, kind="stable")], np.bincount(made_by, minlength=n)
-
-    def learn(self, wanted: list[tuple[str, tuple[int, ...]]]) -> list[int]:
-        """Remember the forms of short units with their skips, those of like length together."""
-        order = sorted(range(len(wanted)), key=lambda k: len(wanted[k][0]))
-        numbers = [0] * len(wanted)
-        merges, counts = [self.merges], [self.count]
-        for at in range(0, len(order), TOGETHER):
-            part = [wanted[k] for k in order[at : at + TOGETHER]]
-            skips = np.array([s + (-1,) * (DEPTH - len(s)) for _, s in part], np.int64)
-            found, codes, count = self.segment_many([u for u, _ in part], None, 0, skips)
-            for k, number in zip(order[at : at + TOGETHER], range(len(self.forms), len(self.forms) + len(part))):
-                numbers[k] = number
-            self.forms += found
-            self.origin += part
-            merges.append(codes)
-            counts.append(count)
-        self.merges, self.count = np.concatenate(merges), np.concatenate(counts)
-        self.first = np.cumsum(self.count) - self.count
+        return ids, counts, codes[np.argsort(made_by, kind="stable")], np.bincount(made_by, minlength=n)
+
+    def learn(self, units: list[str], skips: np.ndarray) -> np.ndarray:
+        """Remember the forms of short units with their skips, those of like length together;
+        their numbers."""
+        order = np.argsort(np.fromiter(map(len, units), np.int64, len(units)), kind="stable")
+        numbers = np.empty(len(units), np.int64)
+        numbers[order] = np.arange(len(self.unit_of), len(self.unit_of) + len(units))
+        units, skips = [units[k] for k in order.tolist()], skips[order]
+        parts = [(self.out, self.n_out, self.merges, self.count)]
+        for at in range(0, len(units), TOGETHER):
+            parts.append(self.segment_many(units[at : at + TOGETHER], None, 0, skips[at : at + TOGETHER]))
+        self.unit_of += units
+        self.skips = np.concatenate([self.skips, skips])
+        self.out, self.n_out, self.merges, self.count = map(np.concatenate, zip(*parts))
+        new = self.merges[len(self.spread) :]
+        self.spread = np.concatenate([self.spread, spread(new)])
+        self.child = np.concatenate([self.child, np.zeros(len(new), np.int64)])
+        self.first_out, self.first = np.cumsum(self.n_out) - self.n_out, np.cumsum(self.count) - self.count
         return numbers
 
-    def alone(self, units: list[str], keys: np.ndarray, below: int) -> list[bytes]:
-        """Occurrences that are not remembered."""
-        out = [b""] * len(units)
-        order = sorted(range(len(units)), key=lambda k: len(units[k]))
+    def alone(self, units: list[str], keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences that are not remembered: ids and their numbers."""
+        order = np.argsort(np.fromiter(map(len, units), np.int64, len(units)), kind="stable")
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(order), TOGETHER):
             part = order[at : at + TOGETHER]
-            if len(units[part[-1]]) <= SHORT:
-                found = self.segment_many([units[k] for k in part], keys[part], below)[0]
+            some = [units[k] for k in part.tolist()]
+            if len(some[-1]) <= SHORT:
+                found, count, *_ = self.segment_many(some, keys[part], below)
             else:
-                found = [np.array(self.segment(units[k], int(keys[k]), below), "<i4").tobytes() for k in part]
-            for k, ids in zip(part, found):
-                out[k] = ids
-        return out
-
-    def occurrences(self, units: list[str], keys: np.ndarray, below: int) -> list[bytes]:
-        """The ids of units, each with its own key."""
-        if len(self.forms) >= MEMO_UNITS:
+                lists = [self.segment(u, k, below) for u, k in zip(some, keys[part].tolist())]
+                count = np.fromiter(map(len, lists), np.int64, len(lists))
+                found = np.fromiter(chain.from_iterable(lists), np.int32, count.sum())
+            ids.append(found)
+            counts.append(count)
+        values, count = np.concatenate(ids), np.concatenate(counts)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return gathered(values, (np.cumsum(count) - count)[back], count[back]), count[back]
+
+    def occurrences(self, units: list[str], keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, each with its own key, one after the other, and their numbers."""
+        if max(len(self.unit_of), len(self.root) // 2) >= MEMO_UNITS:
             self.forget()
-        new = [u for u in dict.fromkeys(units) if len(u) <= SHORT and u not in self.root]
-        self.root.update(zip(new, self.learn([(u, ()) for u in new])))
-        form = np.fromiter((self.root.get(u, 0) for u in units), np.int64, len(units))
+        form = np.fromiter(map(self.root.get, units, repeat(0)), np.int64, len(units))
+        unknown = np.flatnonzero(form == 0)
+        asked = [units[k] for k in unknown.tolist()]
+        # A unit is remembered when it comes again; many never do.
+        times = Counter(u for u in asked if len(u) <= SHORT)
+        new = [u for u, n in times.items() if n > 1 or u in self.root]
+        self.root.update(zip(times, repeat(0)))
+        self.root.update(zip(new, self.learn(new, np.full((len(new), DEPTH), -1, np.int64)).tolist()))
+        form[unknown] = np.fromiter(map(self.root.get, asked, repeat(0)), np.int64, len(asked))
         alone, left = np.flatnonzero(form == 0), np.arange(len(units))
         for depth in range(DEPTH + 1 if below else 0):
-            count = self.count[form[left]]
+            own = form[left]
+            count = self.count[own]
             who = np.repeat(np.arange(len(left)), count)
-            place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-            codes = self.merges[self.first[form[left]][who] + place]
-            hit = np.flatnonzero(skipped(keys[left][who], codes, below))
-            who, at = np.unique(who[hit], return_index=True)  # the first of each
-            left, place = left[who], place[hit[at]]
+            merge = np.arange(len(who)) + (self.first[own] - (np.cumsum(count) - count))[who]
+            hit = np.flatnonzero(skipped(keys[left][who] + self.spread[merge], below))
+            who = who[hit]
+            first = np.diff(who, prepend=-1) > 0  # of each
+            left, merge = left[who[first]], merge[hit[first]]
             if depth == DEPTH:
                 alone = np.concatenate([alone, left])
                 break
-            steps, back = np.unique(form[left] * SHORT + place, return_inverse=True)
-            missing = [x for x in steps.tolist() if x not in self.child]
-            wanted = []
-            for x in missing:
-                unit, skips = self.origin[x // SHORT]
-                wanted.append((unit, (*skips, int(self.merges[self.first[x // SHORT] + x % SHORT]))))
-            self.child.update(zip(missing, self.learn(wanted)))
-            form[left] = np.array([self.child[x] for x in steps.tolist()], np.int64)[back]
-        out = [self.forms[f] for f in form.tolist()]
-        for k, ids in zip(alone.tolist(), self.alone([units[k] for k in alone], keys[alone], below)):
-            out[k] = ids
-        return out
+            missing = self.child[merge] == 0
+            new, at = np.unique(merge[missing], return_index=True)
+            parents = form[left[missing][at]]
+            skips = self.skips[parents]
+            skips[:, depth] = self.merges[new]
+            numbers = self.learn([self.unit_of[k] for k in parents.tolist()], skips)
+            self.child[new] = numbers
+            form[left] = self.child[merge]
+        # What is not remembered is segmented by itself and stands behind the forms.
+        found, n_found = self.alone([units[k] for k in alone.tolist()], keys[alone], below)
+        values = np.concatenate([self.out, found])
+        first, count = self.first_out[form], self.n_out[form]
+        first[alone], count[alone] = len(self.out) + np.cumsum(n_found) - n_found, n_found
+        return gathered(values, first, count), count
 
     def draws(self, n: int, doc: int, seed: int) -> np.ndarray:
         """The key of each of a document's units."""
@@ -317,25 +379,41 @@ class Pieces:
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(32))
 
-    def encode_many(self, texts: list[str], docs: list[int], seed: int, dropout: float) -> list[bytes]:
-        """Ids as little-endian 32-bit integers. ``docs`` key the draws."""
+    def encode_many(
+        self, texts: list[str], docs: list[int], seed: int, dropout: float
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and their numbers. ``docs`` key the draws."""
         below = round(dropout * (1 << 32))
         # The model's dummy prefix stands before every text.
         cut = [self.unit.findall(" " + text) if text else [] for text in texts]
-        units = [u for x in cut for u in x]
+        units = list(chain.from_iterable(cut))
         keys = np.concatenate([np.zeros(0, np.uint64), *(self.draws(len(x), d, seed) for x, d in zip(cut, docs))])
-        ids: list[bytes] = []
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(units), AT_ONCE):
-            ids += self.occurrences(units[at : at + AT_ONCE], keys[at : at + AT_ONCE], below)
-        ends = np.cumsum([len(x) for x in cut]).tolist()
-        return [b"".join(ids[e - len(x) : e]) for x, e in zip(cut, ends)]
+            some, count = self.occurrences(units[at : at + AT_ONCE], keys[at : at + AT_ONCE], below)
+            ids.append(some)
+            counts.append(count)
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        return np.concatenate(ids), np.diff(upto[ends], prepend=0)
 
     def encode(self, text: str, doc: int, seed: int, dropout: float) -> bytes:
-        return self.encode_many([text], [doc], seed, dropout)[0]
-
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode()
-        return text[1:] if text[:1] == " " else text
+        return self.encode_many([text], [doc], seed, dropout)[0].astype("<i4").tobytes()
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids. Null: null."""
+        if self.piece_bytes is None:
+            self.piece_bytes = pa.array(self.bytes_of, pa.large_binary())
+        # Bytes of pieces taken one after the other are the texts, one after the other.
+        whole = self.piece_bytes.take(ids.flatten())
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        places = np.frombuffer(whole.buffers()[1], np.int64)[: len(whole) + 1]
+        starts = pa.array(places[np.concatenate([[0], ends])])
+        texts = pa.LargeStringArray.from_buffers(len(ids), starts.buffers()[1], whole.buffers()[2])
+        texts.validate(full=True)
+        texts = pc.if_else(ids.is_valid(), texts, None)
+        prefixed = pc.starts_with(texts, " ")
+        return pc.if_else(prefixed, pc.utf8_slice_codeunits(texts, 1), texts).cast(pa.string())
 
 
 def encode_pieces(path: str, seed: int, dropout: float):
@@ -347,16 +425,15 @@ def encode_pieces(path: str, seed: int, dropout: float):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array, keys: pa.Array) -> pa.Array:
         pieces = Pieces.of_worker(path)
-        parts: list[bytes] = []
+        parts, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
         for first in range(0, len(texts), TEXTS):
             some = [t or "" for t in texts.slice(first, TEXTS).to_pylist()]
             docs = [-1 if k is None else k for k in keys.slice(first, TEXTS).to_pylist()]
-            parts += pieces.encode_many(some, docs, seed, dropout)
-        values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
-        lengths = [len(p) // 4 for p in parts]
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        mask = texts.is_null()
-        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
+            ids, count = pieces.encode_many(some, docs, seed, dropout)
+            parts.append(ids)
+            counts.append(count)
+        offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)), mask=texts.is_null())
 
     return encode
 
@@ -366,8 +443,7 @@ def decode_pieces(path: str):
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        pieces = Pieces.of_worker(path)
-        return pa.array((pieces.decode(x.as_py()) if x.is_valid else None for x in ids), pa.string())
+        return Pieces.of_worker(path).decode(ids)
 
     return decode
 

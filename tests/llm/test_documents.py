@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -380,6 +381,36 @@ def test_every_occurrence_draws_its_own_form(rows):
     assert len(forms) > 4
 
 
+def test_units_that_do_not_come_again_are_segmented_once(monkeypatch):
+    """Rows that are segmented, for words that occur once and for words that occur often."""
+    model, rows, many = Pieces(PIECES), [], Pieces.segment_many
+    monkeypatch.setattr(
+        Pieces, "segment_many", lambda self, units, *a, **b: rows.append(len(units)) or many(self, units, *a, **b)
+    )
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("aeinrstlou", k=9))
+    rare = [word() for _ in range(3000)]
+    model.encode(" ".join(rare), 1, 1, 0.125)
+    assert sum(rows) <= len(rare)
+    often = " ".join(rare[:50] * 40)
+    rows.clear()
+    ids = model.encode(often, 2, 1, 0.125)
+    assert sum(rows) < 1000
+    units = model.unit.findall(" " + often)
+    keys = model.draws(len(units), 2, 1)
+    want = [np.array(model.segment(u, int(k), 1 << 29), "<i4").tobytes() for u, k in zip(units, keys)]
+    assert ids == b"".join(want)
+
+
+def test_pieces_decode_lists_of_ids():
+    model = Pieces(PIECES)
+    texts = ["two  spaces ", "", None, " \u2581 \u65e5\u672c \U0001f600\n", " lead", "end"]
+    ids = [None if t is None else np.frombuffer(model.encode(t, 5, 1, 0.5), "<i4").tolist() for t in texts]
+    lists = pa.array([[1], *ids], pa.list_(pa.int32()))
+    assert model.decode(lists.slice(1)).to_pylist() == texts
+    assert model.decode(lists.slice(0, 0)).to_pylist() == []
+
+
 @pytest.mark.parametrize("bits", [8, 12, 16, 17, 24])
 def test_range_coder_round_trip(bits):
     rng = np.random.default_rng(bits)
