@@ -9,9 +9,11 @@ decode to the same text.
 Texts are cut into units where no piece of the vocabulary reaches across (before spaces
 that follow something else, around line feeds, between letters and marks; the loader looks
 these up in the vocabulary).
-A worker remembers forms of a unit that comes again by the candidates that they skip: an occurrence starts
-at the form that skips none, hashes the merges that led to it, and goes on to the form that
-also skips the first of them that it must; ids are gathered from the forms by place. Beyond ``DEPTH`` skips it is segmented by itself.
+A worker remembers forms of units that come again by the candidates that they skip: an
+occurrence starts at the form that skips none, hashes the merges that led to it, and goes on
+to the form that also skips the first of them that it must; ids are gathered from the forms
+by place. Beyond ``DEPTH`` skips, or where it is met for the first time, a unit is segmented
+by itself.
 """
 
 from __future__ import annotations
