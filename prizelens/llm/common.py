@@ -67,6 +67,13 @@ def remove_stored(df: DataFrame) -> None:
         filesystem.delete_dir(folder)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join that deals its rows by key, whatever size Spark expects. An exploded
+    table is taken for as large as before, an array for one element, so that either would be
+    sent through the driver while its true size is many times the limit for that."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small iterated table through the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

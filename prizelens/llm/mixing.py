@@ -73,11 +73,13 @@ def tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         "stratum", "target", "source_size",
         (F.col("source_size") / F.col("n_docs")).alias("mean"),
     ).where((F.col("target") > 0) & (F.col("target") < cap * F.col("source_size")))
-    state = cut(goal.withColumns({
+    # One row per source each turn: stored, so that these are sent to the rows and not the
+    # rows, of which there may be as many as documents, to them.
+    state = stored(goal.withColumns({
         "tilt": F.log(F.col("target") / F.col("source_size")) * 2,
         "low": F.lit(None).cast("double"),
         "high": F.lit(None).cast("double"),
-    }))
+    }), "mix-tilts")
     rows = hist.where("size > 0").withColumnRenamed("stratum", "_s")
     for _ in range(MAX_STEPS):
         x = F.col("size") / (F.col("mean") + F.col("size"))
@@ -89,7 +91,7 @@ def tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
             (whole(F.least(rate, F.lit(float(cap)))).cast("double") / UNIT).alias("f"),
             (whole(F.when(rate < cap, rate * x).otherwise(0.0)).cast("double") / UNIT).alias("g"),
         )
-        sums = cut(sums)
+        sums = stored(sums, "mix-tilts")
         worst = sums.agg(F.max(F.abs(F.col("f") - F.col("target")) / F.col("target"))).first()[0]
         if worst is None or worst < TOLERANCE:
             return sums.select("stratum", "tilt")
@@ -158,7 +160,7 @@ def mix(
         (F.col("source_size") / F.col("n_docs")).alias("mean"),
         F.when(F.col("target") >= cap * F.col("source_size"), float(cap)).otherwise(0.0).alias("flat"),
     )
-    found = cut(found)
+    found = stored(found, "mix-rates")
     x = F.col("size") / (F.col("mean") + F.col("size"))
     rate = F.least(F.exp(F.least(F.col("tilt") * x, F.lit(50.0))), F.lit(float(cap)))
     draw = F.xxhash64(F.col("id"), F.lit(SEED))

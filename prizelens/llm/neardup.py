@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prizelens.llm.common import Turns, stored
+from prizelens.llm.common import Turns, dealt, stored
 from prizelens.llm.components import components
 
 SIDE, WIDTH = 8, 2
@@ -130,6 +130,12 @@ def table_keys(reps: DataFrame) -> DataFrame:
     return reps.select(pairs.alias("p"), "nid", "n").select("p.key", "p.mask", "nid", "n")
 
 
+def shared_entries(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` whose key comes more than once."""
+    entries = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    return dealt(keys).join(entries, "key")
+
+
 def finer_entries(members: DataFrame, reps: DataFrame) -> DataFrame:
     """``members`` with every large entry that still holds several components dealt to
     finer ones, whose keys hold one more band each. Entries of one component go."""
@@ -139,7 +145,7 @@ def finer_entries(members: DataFrame, reps: DataFrame) -> DataFrame:
     found = members.join(still, "key")
     coarse = (F.col("size") > SMALL) & (F.bit_count("mask") < DEEP)
     bands = reps.select(F.col("nid").alias("_n"), "bands")
-    split = found.where(coarse).join(bands, F.col("nid") == F.col("_n"))
+    split = found.where(coarse).join(dealt(bands), F.col("nid") == F.col("_n"))
     # The key is a function of the bands alone, so entries that meet in finer ones become one.
     more = F.array(*(F.col("mask").bitwiseOR(F.lit(1 << b)) for b in range(2 * SIDE)))
     split = split.withColumn("m", F.explode(F.filter(more, lambda m: m != F.col("mask"))))
@@ -196,9 +202,8 @@ def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     ``reps`` has ``nid, doc_id, cls, n, bands``; ``texts`` has ``doc_id, text``.
     """
     turns = Turns()
-    keys = table_keys(reps)
-    entries = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = turns.stored(keys.join(entries, "key").withColumn("comp", F.col("nid")), "minhash-entries")
+    shared = shared_entries(table_keys(reps))
+    members = turns.stored(shared.withColumn("comp", F.col("nid")), "minhash-entries")
     wanted = members.select("nid").distinct().join(reps, "nid").select("nid", "cls", F.col("doc_id").alias("_d"))
     # Every text is read once at most, however often its id repeats, and gives its class.
     ids = wanted.select("_d").distinct()

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from prizelens.llm import linededup, mixcoder, neardup, quality
 from prizelens.llm.byte_bpe import ByteBpe, newer_characters
-from prizelens.llm.common import word_count
+from prizelens.llm.common import Turns, word_count
 from prizelens.llm.mixing import mix, mixed_documents
 from prizelens.llm.pieces import Pieces, decoded, encoded
 from prizelens.llm.token_counts import count_tokens
@@ -171,6 +171,24 @@ def test_mixing(docs, nothing, rows):
     assert empty.count() == 0 and none.count() == 0
 
 
+def sent_whole(df):
+    """What the joins of a plan would send through the driver, as Spark expects before it runs."""
+    out, todo = [], [df._jdf.queryExecution().sparkPlan()]
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "BroadcastHashJoin":
+            out.append(children[0 if node.buildSide().toString() == "BuildLeft" else 1].toString())
+        todo += children
+    return out
+
+
+def test_mixing_sends_rates_and_not_documents(docs):
+    size = word_count(F.col("text"))
+    copies, _ = mix(docs, "doc_id", "source", size)
+    assert all("tilt" in side for side in sent_whole(copies))
+
+
 def brute_components(texts, k):
     sets = {}
     for i, t in texts.items():
@@ -266,6 +284,22 @@ def test_large_groups_and_null_keys_cost_in_proportion(spark, monkeypatch, null_
     assert read.value <= len(texts)
 
 
+def test_entries_and_bands_are_not_sent_whole(spark, monkeypatch):
+    """Exploded rows and arrays are many times what Spark takes them for."""
+    seen, keep = collections.defaultdict(list), Turns.stored
+
+    def recorded(self, df, label):
+        seen[label].append(sent_whole(df))
+        return keep(self, df, label)
+
+    monkeypatch.setattr(Turns, "stored", recorded)
+    common = [f"w{i}" for i in range(70)]
+    rows = [(i, " ".join(common + [f"u{i}x{j}" for j in range(40)])) for i in range(60)]
+    assert neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60
+    assert len(seen["minhash-entries"]) > 3  # entries were dealt to finer ones
+    assert not [side for sides in seen["minhash-entries"] for side in sides if "Generate" in side or "bands" in side]
+
+
 def test_tensored_bands_share_a_table_where_sets_are_similar():
     rng = np.random.default_rng(5)
     missed = 0
