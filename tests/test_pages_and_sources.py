@@ -2,6 +2,7 @@ import datetime
 import hashlib
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -451,3 +452,35 @@ def test_last_value_of_a_repeated_label_counts(spark):
     got = pg.extract_fields(pages(spark, html)).collect()[0]
     assert got.fields == {"Game": "x", "Date": "2021-01-01", "Currency": "USD"}
     assert got.error == "missing_fields: Prize Pool"
+
+
+def test_what_is_found_goes_to_spark_in_small_parts(spark, monkeypatch):
+    from prizelens.operators import markup
+
+    rows = "".join(f"<tr><td>{i}<td><a href='/x/{i}'>x</a>" for i in range(20))
+    html = pa.array([f"<table>{rows}</table>", None, "<p>"] * 30)
+    kinds = {"lines": markup.Blocks(markup.Select(tag="tr"), {"cell": markup.Select(tag="td")})}
+    whole = markup.scan_batch(html, kinds).to_pylist()
+    monkeypatch.setattr(markup, "CHUNK", 1000)
+    parts = list(markup.scan_parts(html, kinds))
+    assert max(map(len, parts)) < 10 and [x for p in parts for x in p.to_pylist()] == whole
+    pages = spark.createDataFrame([(i, x) for i, x in enumerate(html.to_pylist())], "page_id int, html string")
+    got = {r.page_id: r.lines for r in markup.page_blocks(pages, kinds).collect()}
+    assert [[b.pos for b in got[i]] for i in range(90)] == [[b["pos"] for b in x["lines"]] for x in whole]
+
+
+@pytest.mark.parametrize("html", [
+    "<!DOCTYPE html><table class='x'><tr><td>1 &amp; 2<td>3</table> tail", "a<b>c</b>d<br/><a href='?'>e",
+    "<h2 title='a > b'>x</h2><td>y", "<p>1 < 2<!-- <h2> --></p><script>'<td>'</script><td>z", "<td title='open>x</td><td>y",
+])
+def test_pages_read_alike_tag_by_tag(monkeypatch, html):
+    from prizelens.operators import markup
+
+    cell = markup.Select(tag="td", keep=("title",))
+    kinds = {"all": markup.Blocks(markup.Select()), "cells": markup.Blocks(cell, {"in": markup.Select()}, up=1)}
+    quick = markup.scan_batch(pa.array([html]), kinds).to_pylist()
+    monkeypatch.setattr(markup, "split_tokens", lambda html: [("", "", "")])
+    assert markup.scan_batch(pa.array([html]), kinds).to_pylist() == quick
+    counts = {k: markup.Blocks(markup.Select(tag="td", text=False)) for k in ("n",)}
+    found = markup.scan_batch(pa.array([html]), counts).to_pylist()[0]["n"]
+    assert found == [{"pos": b["pos"]} for b in quick[0]["cells"]]
